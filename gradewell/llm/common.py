@@ -30,6 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gradewell-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files behind what is now written
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import language, mixing, neardup, quality, segmentation, token_counts, vector_dedup, vector_search
+from gradewell.llm import language, lines, mixing, neardup, quality, segmentation, token_counts, urls, vector_dedup, vector_search
 from gradewell.llm.common import held_out
 
 
@@ -17,6 +17,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_left"), F.xxhash64("text").alias("text_hash"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.7, 1).otherwise(0).alias("predicted"))
@@ -50,5 +59,5 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op3_token_counts, op4_sentencepiece, op6_quality, op7_vector_dedup, op8_mixing, op9_language, op10_vector_search)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_line_dedup, op3_token_counts, op4_sentencepiece, op5_url_filter, op6_quality, op7_vector_dedup, op8_mixing, op9_language, op10_vector_search)}
 ORACLES = {"op8_mixing": mixing.ORACLE}
