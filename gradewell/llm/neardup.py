@@ -8,8 +8,9 @@ them with probability 1.6e-5 (0.9: 4e-9). Shared keys are only candidates:
 2. In each table entry that several classes share, every class is compared with the smallest and the largest id there: no entry's
    pairs are all written out, however many rows it has, and its rows meet in joins that Spark can split, never in a group.
 3. Links found so far make components. Where an entry still holds classes of several components, pairs between these remain. A pair
-   can't reach the threshold if sizes differ too much, or if its Jaccard distances to the entry's smallest or largest id, known
-   exactly from step 2, differ by more than the threshold's distance (the triangle inequality). Only what is left is compared.
+   can't reach the threshold if sizes differ too much; if its Jaccard distances to the entry's smallest or largest id, known
+   exactly from step 2, differ by more than the threshold's distance (the triangle inequality); or if too many of its shingles are
+   in no other document that is still open, as those can't be in the intersection. Only what is left is compared.
 
 So no candidate that could join two components goes uncompared. Comparison is exact: intersections of the sets of 64-bit shingle
 hashes, of all words of the texts. Rows: one for each row of docs, with doc_id, n_shingles, component_id (smallest id reachable,
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 
 from gradewell.llm.common import U64, WordHashes, components, discard, mix, stored, windows, words_of
 
+TILE = 256  # documents on a side of a tile
+GROUP = 2000  # documents, about, whose tiles are compared in one call
 SALTS = 64  # parts into which the comparisons with one document fall
 
 
@@ -78,6 +81,50 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "same", (F.col("sizes") - F.col("same")).alias("total"))
 
 
+def _tile(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Rows (tile, asks, id, set): in each tile every asking document against every other; (a, b), one for each a that has a link."""
+    tile, asks, sets = np.asarray(table.column("tile")), np.asarray(table.column("asks")), table.column("set").combine_chunks()
+    ids, flat, at = table.column("id").combine_chunks(), np.asarray(sets.values), np.asarray(sets.offsets)
+    size = np.diff(at)
+    order = np.argsort(tile, kind="stable")
+    a, b = [], []
+    for rows in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+        x, y = rows[asks[rows]], rows[~asks[rows]]
+        if not len(x) or not len(y):
+            continue
+        fx, fy = (np.concatenate([flat[at[r] : at[r + 1]] for r in z]) for z in (x, y))
+        both = np.intersect1d(fx, fy)
+        ox, oy = (np.repeat(np.arange(len(z)), size[z]) for z in (x, y))
+        kx, ky = np.searchsorted(both, fx), np.searchsorted(both, fy)
+        hx, hy = (both[np.minimum(k, len(both) - 1)] == f if len(both) else np.zeros(len(f), bool) for k, f in ((kx, fx), (ky, fy)))
+        same = np.zeros((len(x), len(y)), np.float32)  # exact: below 2^24
+        for lo in range(0, len(both), 8192):
+            mx, my = (np.zeros((len(z), min(8192, len(both) - lo)), np.float32) for z in (x, y))
+            for m, o, k, h in ((mx, ox, kx, hx), (my, oy, ky, hy)):
+                part = h & (k >= lo) & (k < lo + 8192)
+                m[o[part], k[part] - lo] = 1
+            same += mx @ my.T
+        total = size[x][:, None] + size[y][None, :] - same.astype(np.int64)
+        link = same.astype(np.int64) * den >= total * num
+        some = np.flatnonzero(link.any(1))
+        a.append(x[some])
+        b.append(y[link[some].argmax(1)])
+    a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
+    return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
+
+
+def _tiled(asks: DataFrame, asked: DataFrame, sets: DataFrame, num: int, den: int, kind: str) -> DataFrame:
+    """Documents (id) against all of a component (to), in tiles of about TILE by TILE; tiles are dealt out in groups of bounded size."""
+    parts = lambda df, name: df.groupBy("to").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+    cuts = parts(asks, "nx").join(parts(asked, "ny"), "to")
+    x = asks.join(cuts, "to").select("id", "to", F.pmod(F.xxhash64("id"), "nx").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"), F.lit(True).alias("asks"))
+    y = asked.join(cuts, "to").select("id", "to", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(F.xxhash64("id"), "ny").alias("by"), F.lit(False).alias("asks"))
+    rows = stored(x.union(y.select(x.columns)).select("id", "asks", F.xxhash64("to", "bx", "by").alias("tile")), "tiles")
+    groups = max(1, rows.count() // GROUP)
+    dealt = rows.join(sets, "id").select("tile", "asks", "id", "set", F.pmod("tile", F.lit(groups)).alias("g"))
+    return stored(dealt.groupBy("g").applyInArrow(lambda t: _tile(t, num, den), f"a {kind}, b {kind}"), "more")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8", m: int = 14, r: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """similarity: a decimal number, taken exactly."""
     least = Fraction(similarity)
@@ -111,20 +158,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8",
     to_lo = distance.select(F.col("a").alias("lo"), F.col("b").alias("id"), F.col("d").alias("d_lo"))
     to_hi = distance.select(F.col("b").alias("hi"), F.col("a").alias("id"), F.col("d").alias("d_hi"))
     inner = member.join(mixed, "key").where("id != lo AND id != hi").join(to_lo, ["lo", "id"]).join(to_hi, ["hi", "id"]).select("key", "id", "n", "c", "d_lo", "d_hi")
-    x, y = (inner.select(*[F.col(c).alias(f"{c}_{side}" if c != "key" else c) for c in inner.columns]) for side in "xy")
-    far = float(1 - least) + 1e-9
-    rest = x.join(
-        y,
-        (x["key"] == y["key"]) & (F.col("id_x") < F.col("id_y")) & (F.col("c_x") != F.col("c_y"))
-        & (F.least("n_x", "n_y") * F.lit(den) >= F.greatest("n_x", "n_y") * F.lit(num))
-        & (F.abs(F.col("d_lo_x") - F.col("d_lo_y")) <= F.lit(far)) & (F.abs(F.col("d_hi_x") - F.col("d_hi_y")) <= F.lit(far)),
-    ).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    rest = stored(rest, "rest")
-    if not rest.isEmpty():
-        more = compared(rest, sets).where(linked).select("a", "b").distinct()
-        found = components(links.union(more))
+    tight = inner = stored(inner, "inner")
+    open_sets = sets.join(inner.select("id").distinct(), "id", "left_semi")
+    alone = open_sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count("*").alias("alone"))
+    inner = inner.join(alone, "id", "left").withColumn("e", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(F.col("e") * F.lit(den) >= F.col("n") * F.lit(num))
+    # a document of one component and a component that it meets in an entry: the smaller component asks
+    size = inner.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("size"))
+    inner = stored(inner.join(size, "c"), "open")
+    ranges = inner.groupBy("key", F.col("c").alias("to")).agg(
+        F.max("size").alias("to_size"), F.min("n").alias("to_n"), F.max("n").alias("to_most"), F.max("e").alias("to_e"),
+        F.min("d_lo").alias("lo0"), F.max("d_lo").alias("lo1"), F.min("d_hi").alias("hi0"), F.max("d_hi").alias("hi1"),
+    )
+    far = F.lit(float(1 - least) + 1e-9)
+    near = lambda d, d0, d1: (F.col(d) >= F.col(d0) - far) & (F.col(d) <= F.col(d1) + far)
+    asks = inner.join(
+        ranges,
+        (inner["key"] == ranges["key"]) & ((F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("c") > F.col("to"))))
+        & (F.col("n") * F.lit(den) >= F.col("to_n") * F.lit(num)) & (F.col("to_most") * F.lit(den) >= F.col("n") * F.lit(num))
+        & (F.least("e", "to_e") * F.lit(den + num) >= (F.col("n") + F.col("to_n")) * F.lit(num)) & near("d_lo", "lo0", "lo1") & near("d_hi", "hi0", "hi1"),
+    ).select("id", "to").distinct()
+    asks, asked = stored(asks, "asks"), stored(inner.select("id", F.col("c").alias("to")).distinct(), "asked")
+    more = _tiled(asks, asked.join(asks.select("to").distinct(), "to", "left_semi"), sets, num, den, kind)
+    found = components(links.union(more))
+    discard(entries, pairs, sets, known, tight, inner, asks, asked)
 
     group = reps.join(found, "id", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("c"))
     own = signed.join(group, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
-    discard(entries, pairs, sets, known, rest)
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
