@@ -55,15 +55,33 @@ class PieceTable:
                     ends.append(-1)
                     keys.append((nodes[p[: k - 1]] << 21 | ord(p[k - 1]), nodes[p[:k]]))
             ends[nodes[p]] = i
-        keys.sort()
-        self.trie_key, self.trie_child = np.array([k for k, _ in keys], np.int64), np.array([c for _, c in keys], np.int64)
+        # open addressing: a key is at its hash's place or behind it, before the next free one
+        self.places = 1 << (4 * len(keys) + 16).bit_length()
+        self.trie_key, self.trie_child = np.full(self.places, -1, np.int64), np.full(self.places, -1, np.int64)
+        for key, child in keys:
+            k = int(self._place(np.array([key]))[0])
+            while self.trie_key[k] >= 0:
+                k = (k + 1) % self.places
+            self.trie_key[k], self.trie_child[k] = key, child
         self.node_piece = np.array(ends, np.int64)
 
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (self.places.bit_length() - 1))).astype(np.int64)
+
     def child_of(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next node, or -1."""
         key = node << 21 | char
-        at = np.minimum(np.searchsorted(self.trie_key, key), len(self.trie_key) - 1)
-        return np.where(self.trie_key[at] == key, self.trie_child[at], -1)
+        at = self._place(key)
+        there = self.trie_key[at]
+        out = np.where(there == key, self.trie_child[at], -1)
+        on = np.flatnonzero((there != key) & (there >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) % self.places
+            there = self.trie_key[at[on]]
+            hit = there == key[on]
+            out[on[hit]] = self.trie_child[at[on[hit]]]
+            on = on[~hit & (there >= 0)]
+        return out
 
     def merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two neighbours make, or size where there is none."""

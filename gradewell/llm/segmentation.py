@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from gradewell.llm.common import U64, mix
 from gradewell.llm.pieces import PieceTable, model_path, parts_of, piece_table
 
-STATES = 4_000_000  # lattice edges a worker remembers
-GROUP = 2_000_000  # characters drawn at once
+EDGES = 3_000_000  # lattice edges a worker remembers
+GROUP = 1_500_000  # characters drawn at once
 
 
 class Lattices:
@@ -41,11 +43,12 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.last: dict[str, int] = {}  # pre-token: its end state
-        self.states = 0
+        self.number: dict[str, int] = {}  # of a pre-token
+        self.last, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by number: end state, characters
+        self.first = np.zeros(0, np.int64)  # by state: its first edge
         self.wide: list[bytes] = []  # characters that go as bytes; their codes follow the pieces'
         self.wide_of: dict[int, int] = {}
-        self.key, self.code, self.back = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64)  # of edges; key: state + cumulative probability
+        self.upto, self.code, self.back = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64)  # of edges, a state's longest first; upto: cumulative probability
 
     def add(self, parts: list[str]) -> None:
         """Forward filtering of pre-tokens, all at once: first the pieces at each place, by the trie, then the sums, position by position."""
@@ -82,47 +85,52 @@ class Lattices:
         logp = np.concatenate([self.logp[np.concatenate(codes)], cost])
         owner = part[begun]
         back, state, depth = begun + owner, ended + owner, ended - begin[owner]  # a pre-token has a state more than characters
-        order = np.lexsort((begun, state, depth))
+        # by state, the longest piece first, which often is the likeliest; no two edges of a state are of one length
+        order = np.argsort((state << 21) + np.maximum((1 << 21) - 1 - (ended - begun), 0))
         back, state, depth, code, logp = (x[order] for x in (back, state, depth, code, logp))
         a = np.zeros(len(chars) + len(parts))
         weight = np.empty(len(back))
-        cut = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1], True])
+        level = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 65536 else depth, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(depth[level]) != 0, True])
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            s = state[lo:hi]
+            e = level[lo:hi]
+            s = state[e]
             first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            w = a[back[lo:hi]] + logp[lo:hi]
+            w = a[back[e]] + logp[e]
             top = np.maximum.reduceat(w, first)
             of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, hi - lo]))
             w = np.exp(w - top[of])
             whole = np.add.reduceat(w, first)
             a[s[first]] = top + np.log(whole)
-            weight[lo:hi] = w / whole[of]
-        order = np.argsort(state, kind="stable")
-        state, back, code, weight = state[order], back[order], code[order], weight[order]
+            weight[e] = w / whole[of]
         first = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
         size = np.diff(np.r_[first, len(state)])
         total = np.cumsum(weight)
-        upto = np.minimum(total - np.repeat(total[first] - weight[first], size), 1.0)
-        upto[first + size - 1] = 1.0
-        self.key = np.concatenate([self.key, self.states + state + upto])
+        upto = total - np.repeat(total[first] - weight[first], size)
+        upto[first + size - 1] = 2.0
+        base = len(self.first)
+        at = np.zeros(len(a), np.int64)
+        at[state[first]] = len(self.upto) + first
+        self.first = np.concatenate([self.first, at])
+        self.upto = np.concatenate([self.upto, upto])
         self.code = np.concatenate([self.code, code.astype(np.int32)])
-        self.back = np.concatenate([self.back, self.states + back])
-        self.last.update(zip(parts, (self.states + stop + np.arange(len(parts))).tolist(), strict=True))
-        self.states += len(a)
+        self.back = np.concatenate([self.back, base + back])
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts)), strict=True))
+        self.last = np.concatenate([self.last, base + stop + np.arange(len(parts))])
+        self.length = np.concatenate([self.length, n])
 
 
 def draw(lat: Lattices, cut: list[list[str]], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Backward sampling: the piece ids of all texts, one after another, and how many each has."""
-    if new := list(set().union(*cut).difference(lat.last)):
+    if new := list(set().union(*cut).difference(lat.number)):
         lat.add(new)
-    key, code, back = lat.key, lat.code, lat.back
     per = np.fromiter(map(len, cut), np.int64, len(cut))
     total = int(per.sum())
     if not total:
         return np.zeros(0, np.int32), per
-    end = np.fromiter((s for parts in cut for s in map(lat.last.__getitem__, parts)), np.int64, total)
-    width = np.fromiter((n for parts in cut for n in map(len, parts)), np.int64, total)
-    first = end - width
+    number = np.fromiter(map(lat.number.__getitem__, chain.from_iterable(cut)), np.int64, total)
+    end = lat.last[number]
+    first = end - lat.length[number]
     text_of = np.repeat(np.arange(len(cut)), per)
     start = np.cumsum(per) - per
     seed = mix(mix(seeds[text_of]) + (np.arange(total) - start[text_of]).astype(U64))
@@ -131,11 +139,15 @@ def draw(lat: Lattices, cut: list[list[str]], seeds: np.ndarray) -> tuple[np.nda
     step = 0
     while len(who):
         u = (mix(seed[who] + U64(step * 0x9E3779B97F4A7C15 % 2**64)) >> U64(12)).astype(np.float64) * 2.0**-52
-        edge = np.searchsorted(key, state + u, side="right")
+        edge = lat.first[state]
+        on = np.flatnonzero(lat.upto[edge] <= u)
+        while len(on):
+            edge[on] += 1
+            on = on[lat.upto[edge[on]] <= u[on]]
         steps.append(who)
-        drawn.append(code[edge])
+        drawn.append(lat.code[edge])
         count[who] += 1
-        state = back[edge]
+        state = lat.back[edge]
         going = state > first[who]
         who, state, step = who[going], state[going], step + 1
     place = np.cumsum(count) - 1  # of a pre-token's last piece, which is drawn first
@@ -163,23 +175,23 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, alpha: float, s
     """Last two columns: row key and text. All but the key are passed on, pieces appended."""
     lat = Lattices(piece_table(path), alpha)
     for batch in batches:
-        keys, texts = batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
-        ids, counts, lo = [], [], 0
-        while lo < len(texts):
+        lo, widths = 0, [n or 0 for n in pc.utf8_length(batch.column(batch.num_columns - 2)).to_pylist()]
+        while lo < batch.num_rows or not batch.num_rows:
             hi, room = lo, 0
-            while hi < len(texts) and (hi == lo or room + len(texts[hi] or "") <= GROUP):
-                room += len(texts[hi] or "")
+            while hi < len(widths) and (hi == lo or room + widths[hi] <= GROUP):
+                room += widths[hi]
                 hi += 1
-            seeds = np.array([xxhash.xxh64_intdigest(str(k), seed) for k in keys[lo:hi]], U64)
-            out, n = draw(lat, [parts_of(t) for t in texts[lo:hi]], seeds)
-            ids.append(out)
-            counts.append(n)
+            some = batch.slice(lo, hi - lo)
+            keys, texts = some.column(some.num_columns - 1).to_pylist(), some.column(some.num_columns - 2).to_pylist()
+            seeds = np.array([xxhash.xxh64_intdigest(str(k), seed) for k in keys], U64)
+            ids, n = draw(lat, [parts_of(t) for t in texts], seeds)
+            pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], pieces], [*some.schema.names[:-1], "pieces"])
             lo = hi
-            if len(lat.key) > STATES:
+            if len(lat.upto) > EDGES:
                 lat.clear()
-        offsets = np.r_[0, np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64))].astype(np.int32)
-        pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)), mask=pa.array([t is None for t in texts]) if texts else None)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pieces], [*batch.schema.names[:-1], "pieces"])
+            if not batch.num_rows:
+                break
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch], path: str, at: int, name: str) -> Iterator[pa.RecordBatch]:
