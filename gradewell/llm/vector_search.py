@@ -24,9 +24,14 @@ from gradewell.llm.vectors import BLOCK, basis, blocked, finite, matrix, sampled
 QUERIES = 1024  # of a block, about
 
 
+def _small(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether all products and their sums are integers below 2^53."""
+    return bool(np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53)
+
+
 def _exact(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Inner products of integer rows; doubles hold them exactly up to 2^53, Python's integers beyond."""
-    if len(i) and np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53:
+    if _small(q, x):
         return np.einsum("ij,ij->i", q[i], x[j]).astype(np.int64)
     return np.array([sum(int(a) * int(b) for a, b in zip(q[m], x[n], strict=True)) for m, n in zip(i, j, strict=True)], np.int64)
 
@@ -39,6 +44,7 @@ def best(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, x_i
     x, x_ids, length = x[order], x_ids[order], length[order]
     q_length = np.sqrt(np.einsum("ij,ij->i", q, q))
     lead = max(1, q.shape[1] // 4)
+    small = _small(q, x)
     qr, xr = q @ rot, x @ rot
     q_rest, x_rest = (np.sqrt(np.maximum(np.einsum("ij,ij->i", z[:, lead:], z[:, lead:]), 0)) for z in (qr, xr))
     held = (np.zeros(0, np.int64), np.zeros(0, x_ids.dtype), np.zeros(0, np.int64))
@@ -48,8 +54,10 @@ def best(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, x_i
         if not len(live):
             break  # all that follow are shorter
         hi = min(lo + 512, len(x))
-        bound = qr[live, :lead] @ xr[lo:hi, :lead].T + np.outer(q_rest[live], x_rest[lo:hi])
-        i, j = np.nonzero(bound + slack[live, None] >= floor[live, None])
+        may = qr[live, :lead] @ xr[lo:hi, :lead].T + np.outer(q_rest[live], x_rest[lo:hi]) + slack[live, None] >= floor[live, None]
+        if small and may.mean() > 0.02:  # where many are left, all products of the tile cost less than picking; exact as well
+            may &= q[live] @ x[lo:hi].T >= floor[live, None]
+        i, j = np.nonzero(may)
         i, j = live[i], j + lo
         other = q_ids[i] != x_ids[j]
         i, j = i[other], j[other]
