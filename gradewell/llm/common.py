@@ -58,26 +58,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash; a cache that clear_if_full() keeps bounded."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-    def clear_if_full(self) -> None:
-        if len(self) > self.LIMIT:
-            self.clear()
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """A-Z lower-cased words; bytes.split() and bytes.lower() know ASCII only, which is what is asked for."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+_BYTE = np.random.default_rng(64).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_BASE, _CHUNK = 0x9E3779B97F4A7C15, 1 << 20
+_POWER, _INVERSE = (np.r_[U64(1), np.cumprod(np.full(_CHUNK, U64(pow(_BASE, e, 2**64))))] for e in (1, -1))
+
+
+class Words:
+    """The words of texts that stand one after another in a buffer: hashes (A-Z lower-cased), and where each begins and ends."""
+
+    def __init__(self, raw: np.ndarray, cuts: np.ndarray):
+        """cuts: places where a word can't go on though there is no white space: where texts begin."""
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[cuts] = True
+        edge[[0, -1]] = True
+        ink = ~_WHITE[raw]
+        self.begin = np.flatnonzero(ink & (np.r_[True, ~ink[:-1]] | edge[:-1]))
+        self.end = np.flatnonzero(ink & (np.r_[~ink[1:], True] | edge[1:])) + 1
+        self.hash = np.zeros(len(self.begin), np.uint64)
+        lo = 0
+        while lo < len(self.begin):  # polynomials in a base, by prefix sums, for some words at a time
+            at = self.begin[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.end, at + _CHUNK, side="right")))
+            part = raw[at : self.end[hi - 1]]
+            if len(part) <= _CHUNK:
+                total = np.r_[U64(0), np.cumsum(_BYTE[part] * _POWER[: len(part)])]
+                b, e = self.begin[lo:hi] - at, self.end[lo:hi] - at
+                self.hash[lo:hi] = mix((total[e] - total[b]) * _INVERSE[b] + (e - b).astype(U64))
+            else:  # one very long word
+                self.hash[lo] = mix(np.array([xxhash.xxh64_intdigest(part.tobytes().lower())], U64))[0]
+            lo = hi
+
+
+def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow string column, and where its texts begin and the last one ends; null counts as empty."""
+    column = column.cast("large_string") if str(column.type) != "large_string" else column
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    column = column.fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def slices(offsets: np.ndarray, room: int = 4 << 20):
+    """Ranges of texts of about `room` bytes, one text at least."""
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + room, side="right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:

@@ -29,23 +29,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import U64, WordHashes, components, discard, mix, stored, windows, words_of
+from gradewell.llm.common import U64, Words, components, discard, mix, slices, stored, texts_of, windows
 
 TILE = 256  # documents on a side of a tile
 GROUP = 2000  # documents, about, whose tiles are compared in one call
 SALTS = 64  # parts into which the comparisons with one document fall
 
 
+def shingle_sets(column, n: int) -> Iterator[np.ndarray]:
+    """For each text of an Arrow column, the sorted hashes of its distinct shingles."""
+    raw, offsets = texts_of(column)
+    for lo, hi in slices(offsets):
+        words = Words(raw[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo])
+        cut = np.searchsorted(words.begin, offsets[lo : hi + 1] - offsets[lo])
+        for k in range(hi - lo):
+            yield np.unique(windows(words.hash[cut[k] : cut[k + 1]], n))
+
+
 def _sign(batches: Iterator[pa.RecordBatch], n: int, m: int, r: int) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(20)
     a = rng.integers(0, 2**63, (m * r, 1), dtype=np.uint64) * U64(2) + U64(1)
     b = rng.integers(0, 2**63, (m * r, 1), dtype=np.uint64)
-    seen = WordHashes()
     for batch in batches:
         sizes, s1, s2, u = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            s = np.unique(windows(seen.of(words_of(text)), n))
-            seen.clear_if_full()
+        for s in shingle_sets(batch.column(1), n):
             sizes.append(len(s))
             s1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
             s2.append(int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
@@ -63,12 +70,8 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, m: int, r: int) -> Iterator
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    seen = WordHashes()
     for batch in batches:
-        rows = []
-        for text in batch.column(1).to_pylist():
-            rows.append(np.unique(windows(seen.of(words_of(text)), n)).view(np.int64))
-            seen.clear_if_full()
+        rows = [s.view(np.int64) for s in shingle_sets(batch.column(1), n)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "set"])
 
 
