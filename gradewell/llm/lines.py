@@ -13,7 +13,8 @@ a coarse variant; a line whose cuts leave less than three chunks is cut finer to
 lines that share a coarse variant emit fine ones, within the shared gap. Equal fine variants are joined to the earliest line that has
 them, never to each other, and the edit distance is verified on the words.
 
-A group of any size is aggregated to its earliest line before the shuffle and joined back, which Spark can split; no group is gathered.
+Copies, and lines with an equal fine variant, are aggregated to the earliest before the shuffle and joined back, which Spark can split;
+lines with an equal coarse variant are marked by a window that streams and spills. No group is gathered.
 Null text stays null; empty text stays. A null id sorts first. Rows equal in id and text are one document and keep the same lines."""
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import U64, WordHashes, mix, stored
+from gradewell.llm.common import U64, Words, mix, slices, stored, texts_of
 
 _B = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _BINV = pow(_B, -1, 2**64)
@@ -101,71 +103,70 @@ def coarse(s: Sums, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
 
 
-def _words(text: str | None) -> tuple[list[int], list[list[bytes]]]:
-    """Numbers and words of the lines that have words."""
-    numbers, rows = [], []
-    for k, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n") if text else ()):
-        if words := line.split():
-            numbers.append(k)
-            rows.append(words)
-    return numbers, rows
+class Lines:
+    """The lines that have words, of some texts of a buffer: text and number in it (from 0), first and last byte, and sums of word hashes."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        words = Words(raw, offsets[:-1])
+        feeds = np.flatnonzero(raw == 10) + 1
+        begins = np.sort(np.concatenate([offsets[:-1], feeds]))
+        line = np.searchsorted(begins, words.begin, side="right") - 1
+        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+        self.text = np.searchsorted(offsets, words.begin[first], side="right") - 1
+        self.number = np.searchsorted(feeds, words.begin[first], side="right") - np.searchsorted(feeds, offsets[self.text], side="right")
+        self.begin, self.end = words.begin[first], words.end[np.r_[first[1:], len(line)][: len(first)] - 1]
+        self.sums = Sums(words.hash, np.diff(np.r_[first, len(line)]))
 
 
 def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    seen = WordHashes()
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for lo in range(0, len(texts), 500):
-            doc, number, rows = [], [], []
-            for k, text in enumerate(texts[lo : lo + 500]):
-                a, b = _words(text)
-                doc += [lo + k] * len(a)
-                number += a
-                rows += b
-            length = np.fromiter(map(len, rows), np.int64, len(rows))
-            s = Sums(seen.of([w for r in rows for w in r]), length)
-            seen.clear_if_full()
-            h1, h2 = s.whole()
-            line, key, _, _ = coarse(s, min_words)
+        raw, offsets = texts_of(batch.column(2))
+        for lo, hi in slices(offsets):
+            x = Lines(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            h1, h2 = x.sums.whole()
+            line, key, _, _ = coarse(x.sums, min_words)
             order = np.argsort(line, kind="stable")
-            offsets = np.r_[0, np.cumsum(np.bincount(line, minlength=len(rows)))].astype(np.int32)
-            at = pa.array(np.array(doc, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.array(number, np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64)))],
-                ["doc", "rk", "line", "h1", "h2", "keys"],
-            )
+            keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(line, minlength=len(h1)))].astype(np.int32)), pa.array(key[order].view(np.int64)))
+            at = pa.array(x.text + lo)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x.number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), keys], ["doc", "rk", "line", "h1", "h2", "keys"])
+
+
+def _spans(i: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """i, i + 1, ... of n numbers each."""
+    return np.repeat(i - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def _fine(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows of documents with (line, shared coarse keys) to their lines, words and fine variants within the shared gaps."""
-    seen = WordHashes()
+    """Rows of documents with (line, shared coarse keys) to their lines, their bytes and fine variants within the shared gaps."""
     for batch in batches:
-        doc, number, texts, keys = [], [], [], []
-        for k, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            want = {w["line"]: w["keys"] for w in wanted}
-            lines, rows = _words(text)
-            at = [x for x in range(len(lines)) if lines[x] in want]
-            rows, lines = [rows[x] for x in at], [lines[x] for x in at]
-            s = Sums(seen.of([w for r in rows for w in r]), np.fromiter(map(len, rows), np.int64, len(rows)))
-            seen.clear_if_full()
-            line, key, i, j = coarse(s, min_words)
+        raw, offsets = texts_of(batch.column(2))
+        wanted = batch.column(3)
+        for lo, hi in slices(offsets):
+            x = Lines(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            asked = wanted.slice(lo, hi - lo)
+            flat = asked.flatten()
+            text = np.repeat(np.arange(hi - lo), np.asarray(pc.list_value_length(asked)))
+            place = lambda t, k: t << 32 | k
+            at = np.searchsorted(place(x.text, x.number), place(text, np.asarray(flat.field("line")).astype(np.int64)))
+            keys = flat.field("keys")
+            want = np.asarray(keys.flatten()).view(np.uint64) ^ mix(np.repeat(at, np.asarray(pc.list_value_length(keys))).astype(U64))
+            line, key, i, j = coarse(x.sums, min_words)
+            hit = np.isin(key ^ mix(line.astype(U64)), want)
+            line, i, j = line[hit], i[hit], j[hit]
+            # a gap within a line can begin at each of its words and at its end: one place more than words
+            blank, empty = _spans(i + line, j - i), _spans(i + line, j - i + 1)
+            own = np.repeat(line, j - i), np.repeat(line, j - i + 1)
+            blank, one = np.unique(blank, return_index=True)
+            empty, two = np.unique(empty, return_index=True)
+            line = np.r_[own[0][one], own[1][two]]
+            start = np.r_[blank, empty] - line
+            fine = x.sums.key(line, start, start + np.r_[np.ones(len(blank), np.int64), np.zeros(len(empty), np.int64)], np.zeros(len(line), np.int64))
             order = np.argsort(line, kind="stable")
-            line, key, i, j = line[order], key[order].view(np.int64), i[order], j[order]
-            cut = np.searchsorted(line, np.arange(len(rows) + 1))
-            for x, number_ in enumerate(lines):
-                part = slice(cut[x], cut[x + 1])
-                hit = np.isin(key[part], np.array(want[number_], np.int64))
-                gaps = list(zip(i[part][hit].tolist(), j[part][hit].tolist(), strict=True))
-                blank = np.unique(np.concatenate([np.arange(a, b) for a, b in gaps]))
-                empty = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in gaps]))
-                start = np.r_[blank, empty]
-                fine = s.key(np.full(len(start), x), start, np.r_[blank + 1, empty], np.zeros(len(start), np.int64))
-                doc.append(k)
-                number.append(number_)
-                texts.append(b" ".join(rows[x]))
-                keys.append(fine.view(np.int64))
-        at = pa.array(np.array(doc, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.array(number, np.int32)), pa.array(texts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "rk", "line", "words", "fine"])
+            some, count = np.unique(line, return_counts=True)
+            at = pa.array(x.text[some] + lo)
+            text = [raw[offsets[lo] + b : offsets[lo] + e].tobytes().lower() for b, e in zip(x.begin[some].tolist(), x.end[some].tolist(), strict=True)]
+            fine = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(fine[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x.number[some].astype(np.int32)), pa.array(text, pa.binary()), fine], ["doc", "rk", "line", "words", "fine"])
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -200,12 +201,13 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", t
     """(doc, rk, line, near): the lines that go; line counts from 0, rk is a hash of id and text, near tells a near copy from an exact one."""
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
-    lines = src.mapInArrow(lambda it: _lines(it, min_words), f"doc {kind}, rk long, line int, h1 long, h2 long, keys array<long>")
-    firsts = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "rk", "line", "keys")).alias("x"), F.count("*").alias("many")).select("h1", "h2", "x.*", "many"), "firsts")
+    lines = stored(src.mapInArrow(lambda it: _lines(it, min_words), f"doc {kind}, rk long, line int, h1 long, h2 long, keys array<long>"), "lines")
+    firsts = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "rk", "line")).alias("a"), F.count("*").alias("many")), "firsts")
 
-    keys = firsts.select("doc", "rk", "line", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    wanted = keys.join(shared, "key").groupBy("doc", "rk", "line").agg(F.collect_set("key").alias("keys"))
+    one_key = Window.partitionBy("key")  # streams through a key's rows and spills; only ids, no texts
+    keys = lines.select("h1", F.explode("keys").alias("key"))
+    shared = keys.withColumns({"h0": F.min("h1").over(one_key), "h9": F.max("h1").over(one_key)}).where("h0 < h9").select("key", "h1").distinct()
+    wanted = shared.groupBy("h1").agg(F.collect_list("key").alias("keys")).join(firsts.select("h1", "a.*"), "h1")
     wanted = wanted.groupBy(F.col("doc").alias("d"), F.col("rk").alias("k")).agg(F.collect_list(F.struct("line", "keys")).alias("wanted"))
     same_doc = (F.col("rk") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d"))
     near = stored(src.join(wanted, same_doc).select("doc", "rk", "text", "wanted").mapInArrow(lambda it: _fine(it, min_words), f"doc {kind}, rk long, line int, words binary, fine array<long>"), "near")
@@ -217,7 +219,7 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", t
     checked = pairs.join(texts.select(F.col("s").alias("a"), F.col("words").alias("of_a")), "a").withColumn("s", F.struct("doc", "rk", "line")).join(texts, "s")
     gone = checked.select("doc", "rk", "line", "words", "of_a").mapInArrow(_verify, f"doc {kind}, rk long, line int").distinct().withColumn("near", F.lit(True))
 
-    first = firsts.where("many > 1").select("h1", "h2", F.struct("doc", "rk", "line").alias("a"))
+    first = firsts.where("many > 1").select("h1", "h2", "a")
     copies = lines.select("doc", "rk", "line", "h1", "h2").join(first, ["h1", "h2"]).where(F.struct("doc", "rk", "line") > F.col("a")).select("doc", "rk", "line", F.lit(False).alias("near"))
     # a copy of a line that goes as a near copy is behind it, so it goes as a copy
     return gone.union(copies)
