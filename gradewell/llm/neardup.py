@@ -160,30 +160,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8",
     distance = known.select("a", "b", (1 - F.col("same") / F.col("total")).alias("d"))
     to_lo = distance.select(F.col("a").alias("lo"), F.col("b").alias("id"), F.col("d").alias("d_lo"))
     to_hi = distance.select(F.col("b").alias("hi"), F.col("a").alias("id"), F.col("d").alias("d_hi"))
-    inner = member.join(mixed, "key").where("id != lo AND id != hi").join(to_lo, ["lo", "id"]).join(to_hi, ["hi", "id"]).select("key", "id", "n", "c", "d_lo", "d_hi")
-    tight = inner = stored(inner, "inner")
-    open_sets = sets.join(inner.select("id").distinct(), "id", "left_semi")
-    alone = open_sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count("*").alias("alone"))
-    inner = inner.join(alone, "id", "left").withColumn("e", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(F.col("e") * F.lit(den) >= F.col("n") * F.lit(num))
+    inner = member.join(mixed, "key").where("id != lo AND id != hi").join(to_lo, ["lo", "id"]).join(to_hi, ["hi", "id"]).select("key", "lo", "id", "n", "c", "d_lo", "d_hi")
+    inner = stored(inner, "inner")
+    steps = [inner]
+    for _ in range(2):  # what the first round closes leaves more shingles alone
+        open_sets = sets.join(inner.select("id").distinct(), "id", "left_semi")
+        alone = open_sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count("*").alias("alone"))
+        inner = inner.drop("e").join(alone, "id", "left").withColumn("e", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(F.col("e") * F.lit(den) >= F.col("n") * F.lit(num))
+        inner = stored(inner, "inner")
+        steps.append(inner)
     # a document of one component and a component that it meets in an entry: the smaller component asks
     size = inner.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("size"))
     inner = stored(inner.join(size, "c"), "open")
-    ranges = inner.groupBy("key", F.col("c").alias("to")).agg(
-        F.max("size").alias("to_size"), F.min("n").alias("to_n"), F.max("n").alias("to_most"), F.max("e").alias("to_e"),
-        F.min("d_lo").alias("lo0"), F.max("d_lo").alias("lo1"), F.min("d_hi").alias("hi0"), F.max("d_hi").alias("hi1"),
-    )
-    far = F.lit(float(1 - least) + 1e-9)
-    near = lambda d, d0, d1: (F.col(d) >= F.col(d0) - far) & (F.col(d) <= F.col(d1) + far)
-    asks = inner.join(
-        ranges,
-        (inner["key"] == ranges["key"]) & ((F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("c") > F.col("to"))))
-        & (F.col("n") * F.lit(den) >= F.col("to_n") * F.lit(num)) & (F.col("to_most") * F.lit(den) >= F.col("n") * F.lit(num))
-        & (F.least("e", "to_e") * F.lit(den + num) >= (F.col("n") + F.col("to_n")) * F.lit(num)) & near("d_lo", "lo0", "lo1") & near("d_hi", "hi0", "hi1"),
-    ).select("id", "to").distinct()
+    def asking(where: str, rows: DataFrame, big: bool) -> DataFrame:
+        """Documents and components that meet at `where` and may hold a link."""
+        ranges = rows.where("size > 1" if big else "size = 1").groupBy(where, F.col("c").alias("to")).agg(
+            F.max("size").alias("to_size"), F.min("n").alias("to_n"), F.max("n").alias("to_most"), F.max("e").alias("to_e"), F.min("d_lo").alias("lo0"), F.max("d_lo").alias("lo1"),
+        )
+        far = F.lit(float(1 - least) + 1e-9)
+        return rows.join(
+            ranges,
+            (rows[where] == ranges[where]) & ((F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("c") > F.col("to"))))
+            & (F.col("n") * F.lit(den) >= F.col("to_n") * F.lit(num)) & (F.col("to_most") * F.lit(den) >= F.col("n") * F.lit(num))
+            & (F.least("e", "to_e") * F.lit(den + num) >= (F.col("n") + F.col("to_n")) * F.lit(num))
+            & (F.col("d_lo") >= F.col("lo0") - far) & (F.col("d_lo") <= F.col("lo1") + far),
+        ).select("id", "to")
+
+    # with components of several, wherever both are known from the same smallest id: an entry's documents are, and it is asked once
+    by_lo = inner.select("lo", "id", "n", "e", "c", "size", "d_lo").distinct()
+    asks = asking("lo", by_lo, True).union(asking("key", inner.where("size = 1"), False)).distinct()
     asks, asked = stored(asks, "asks"), stored(inner.select("id", F.col("c").alias("to")).distinct(), "asked")
     more = _tiled(asks, asked.join(asks.select("to").distinct(), "to", "left_semi"), sets, num, den, kind)
     found = components(links.union(more))
-    discard(entries, pairs, sets, known, tight, inner, asks, asked)
+    discard(entries, pairs, sets, known, *steps, inner, asks, asked)
 
     group = reps.join(found, "id", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("c"))
     own = signed.join(group, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
