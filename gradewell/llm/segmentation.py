@@ -26,8 +26,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from gradewell.llm.common import U64, mix
 from gradewell.llm.pieces import PieceTable, model_path, parts_of, piece_table
 
-EDGES = 3_000_000  # lattice edges a worker remembers
-GROUP = 1_500_000  # characters drawn at once
+EDGES = 1_500_000  # lattice edges a worker remembers
+GROUP = 400_000  # characters drawn at once
 
 
 class Lattices:
@@ -195,14 +195,16 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, alpha: float, s
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch], path: str, at: int, name: str) -> Iterator[pa.RecordBatch]:
-    table = piece_table(path)
-    of = table.bytes_of
-    for batch in batches:
-        pieces = batch.column(at)
-        flat, offsets = np.asarray(pieces.values), np.asarray(pieces.offsets)
-        null = np.asarray(pieces.is_null())
-        texts = [None if null[k] else b"".join(map(of.__getitem__, flat[offsets[k] : offsets[k + 1]].tolist()))[1:].decode("utf-8", "surrogatepass") for k in range(len(pieces))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
+    of = piece_table(path).bytes_of
+    for whole in batches:
+        for lo in range(0, max(whole.num_rows, 1), 500):
+            batch = whole.slice(lo, 500)
+            flat, length = np.asarray(batch.column(at).flatten()), pc.list_value_length(batch.column(at)).to_pylist()
+            texts, k = [], 0
+            for n in length:
+                texts.append(None if n is None else b"".join(map(of.__getitem__, flat[k : k + n].tolist()))[1:].decode("utf-8", "surrogatepass"))
+                k += n or 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", alpha: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
