@@ -5,12 +5,12 @@ tables of 2 * r minhashes. With m = 14 and r = 2, 28 minhashes make 91 tables, a
 them with probability 1.6e-5 (0.9: 4e-9). Shared keys are only candidates:
 
 1. Documents with equal shingle sets become one class, kept by its smallest id.
-2. In each table entry that several classes share, every class is compared with the smallest and the largest id there: no entry's
-   pairs are all written out, however many rows it has, and its rows meet in joins that Spark can split, never in a group.
+2. In each table entry that several classes share, every class is compared with the smallest and the largest id there, unless their
+   sizes differ too much: no entry's pairs are all written out, however many rows it has, and its rows meet in joins that Spark can split, never in a group.
 3. Links found so far make components. Where an entry still holds classes of several components, pairs between these remain. A pair
-   can't reach the threshold if sizes differ too much; if its Jaccard distances to the entry's smallest or largest id, known
-   exactly from step 2, differ by more than the threshold's distance (the triangle inequality); or if too many of its shingles are
-   in no other document that is still open, as those can't be in the intersection. Only what is left is compared.
+   can't reach the threshold if sizes differ too much; if its Jaccard distances to the entry's smallest or largest id, where
+   step 2 has computed them, differ by more than the threshold's distance (the triangle inequality); or if too few of its shingles are
+   left in its intersection with the smallest id and in documents that are still open, as no others can be in the pair's. Only what is left is compared.
 
 So no candidate that could join two components goes uncompared. Comparison is exact: intersections of the sets of 64-bit shingle
 hashes, of all words of the texts. Rows: one for each row of docs, with doc_id, n_shingles, component_id (smallest id reachable,
@@ -142,10 +142,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8",
     # table entries that several classes share
     tables = F.expr(f"flatten(transform(sequence(0, {m - 2}), i -> transform(sequence(i + 1, {m - 1}), j -> xxhash64(i, j, u[i], u[j]))))")
     keys = reps.select("id", "n", F.explode(tables).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    shared = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("x"), F.max(F.struct("id", "n")).alias("y")).select("key", F.col("x.id").alias("lo"), F.col("x.n").alias("n_lo"), F.col("y.id").alias("hi"), F.col("y.n").alias("n_hi")).where("lo < hi")
     entries = stored(keys.join(shared, "key"), "entries")
-    ends = entries.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(entries.select(F.col("hi").alias("a"), F.col("id").alias("b")))
-    pairs = ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = entries.select(F.col("lo").alias("a"), F.col("id").alias("b"), "n", F.col("n_lo").alias("z")).union(entries.select(F.col("hi").alias("a"), F.col("id").alias("b"), "n", F.col("n_hi").alias("z")))
+    ends = ends.where((F.col("a") != F.col("b")) & (F.least("n", "z") * F.lit(den) >= F.greatest("n", "z") * F.lit(num)))
+    pairs = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "pairs")
 
     wanted = entries.select("id").distinct()
@@ -157,14 +158,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8",
     # entries with several components: what step 2 leaves open
     member = entries.join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    distance = known.select("a", "b", (1 - F.col("same") / F.col("total")).alias("d"))
-    to_lo = distance.select(F.col("a").alias("lo"), F.col("b").alias("id"), F.col("d").alias("d_lo"))
+    distance = known.select("a", "b", "same", (1 - F.col("same") / F.col("total")).alias("d"))
+    to_lo = distance.select(F.col("a").alias("lo"), F.col("b").alias("id"), F.col("d").alias("d_lo"), F.col("same").alias("s_lo"))
     to_hi = distance.select(F.col("b").alias("hi"), F.col("a").alias("id"), F.col("d").alias("d_hi"))
-    inner = member.join(mixed, "key").where("id != lo AND id != hi").join(to_lo, ["lo", "id"]).join(to_hi, ["hi", "id"]).select("key", "lo", "id", "n", "c", "d_lo", "d_hi")
+    inner = member.join(mixed, "key").where("id != lo AND id != hi").join(to_lo, ["lo", "id"], "left").join(to_hi, ["hi", "id"], "left").select("key", "lo", "id", "n", "c", "d_lo", "s_lo", "d_hi")
     inner = stored(inner, "inner")
     steps = [inner]
-    for _ in range(2):  # what the first round closes leaves more shingles alone
-        open_sets = sets.join(inner.select("id").distinct(), "id", "left_semi")
+    for _ in range(3):  # what the first round closes leaves more shingles alone
+        open_sets = sets.join(inner.select("id").union(inner.select(F.col("lo").alias("id"))).distinct(), "id", "left_semi")
         alone = open_sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count("*").alias("alone"))
         inner = inner.drop("e").join(alone, "id", "left").withColumn("e", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(F.col("e") * F.lit(den) >= F.col("n") * F.lit(num))
         inner = stored(inner, "inner")
@@ -175,19 +176,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8",
     def asking(where: str, rows: DataFrame, big: bool) -> DataFrame:
         """Documents and components that meet at `where` and may hold a link."""
         ranges = rows.where("size > 1" if big else "size = 1").groupBy(where, F.col("c").alias("to")).agg(
-            F.max("size").alias("to_size"), F.min("n").alias("to_n"), F.max("n").alias("to_most"), F.max("e").alias("to_e"), F.min("d_lo").alias("lo0"), F.max("d_lo").alias("lo1"),
+            F.max("size").alias("to_size"), F.min("n").alias("to_n"), F.max("n").alias("to_most"), F.max("e").alias("to_e"),
+            F.max(F.coalesce("s_lo", "n")).alias("to_s"), F.max(F.col("e") - F.coalesce("s_lo", F.lit(0))).alias("to_v"), *[f(F.coalesce(d, F.lit(edge))).alias(name) for d, low, high in (("d_lo", "lo0", "lo1"), ("d_hi", "hi0", "hi1")) for f, edge, name in ((F.min, 0.0, low), (F.max, 1.0, high))],
         )
+        near = lambda d, low, high: F.col(d).isNull() | ((F.col(d) >= F.col(low) - far) & (F.col(d) <= F.col(high) + far))
         far = F.lit(float(1 - least) + 1e-9)
         return rows.join(
             ranges,
             (rows[where] == ranges[where]) & ((F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("c") > F.col("to"))))
             & (F.col("n") * F.lit(den) >= F.col("to_n") * F.lit(num)) & (F.col("to_most") * F.lit(den) >= F.col("n") * F.lit(num))
             & (F.least("e", "to_e") * F.lit(den + num) >= (F.col("n") + F.col("to_n")) * F.lit(num))
-            & (F.col("d_lo") >= F.col("lo0") - far) & (F.col("d_lo") <= F.col("lo1") + far),
+            # what both share with the smallest id, and what they may share beside it
+            & (F.col("s_lo").isNull() | ((F.least("s_lo", "to_s") + F.least(F.col("e") - F.col("s_lo"), F.col("to_v"))) * F.lit(den + num) >= (F.col("n") + F.col("to_n")) * F.lit(num)))
+            & near("d_lo", "lo0", "lo1") & (F.lit(True) if big else near("d_hi", "hi0", "hi1")),
         ).select("id", "to")
 
     # with components of several, wherever both are known from the same smallest id: an entry's documents are, and it is asked once
-    by_lo = inner.select("lo", "id", "n", "e", "c", "size", "d_lo").distinct()
+    by_lo = inner.select("lo", "id", "n", "e", "c", "size", "d_lo", "s_lo", F.lit(None).cast("double").alias("d_hi")).distinct()
     asks = asking("lo", by_lo, True).union(asking("key", inner.where("size = 1"), False)).distinct()
     asks, asked = stored(asks, "asks"), stored(inner.select("id", F.col("c").alias("to")).distinct(), "asked")
     more = _tiled(asks, asked.join(asks.select("to").distinct(), "to", "left_semi"), sets, num, den, kind)
