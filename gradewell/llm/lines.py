@@ -7,7 +7,7 @@ line is within the bound.
 
 The neighbourhood of a line is every way to blank one word, and every place where a word could have gone; two lines are one edit apart
 exactly if they share a variant (words before the gap, words behind it). Emitting 2n + 1 variants of every line is too much, so a coarse
-round goes before: content-defined cuts (a word's own hash ends a chunk) make about four to eight chunks of a line of any length, and
+round goes before: content-defined cuts (a word's own hash ends a chunk) make about three to five chunks of a line of any length, and
 the coarse variants blank one chunk or two neighbours. An edit changes one chunk, or splits or joins two, so lines within the bound share
 a coarse variant; a line whose cuts leave less than three chunks is cut finer too, and so is one at a length where cuts change. Only
 lines that share a coarse variant emit fine ones, within the shared gap. Equal fine variants are joined to the earliest line that has
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import U64, Words, mix, slices, stored, texts_of
+from gradewell.llm.common import U64, Words, discard, mix, slices, stored, texts_of
 
 _B = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _BINV = pow(_B, -1, 2**64)
@@ -63,8 +63,8 @@ class Sums:
 
 
 def step(n: np.ndarray) -> np.ndarray:
-    """Words to a chunk, for lines of n words: a power of two, n / 8 to n / 4."""
-    return 1 << np.maximum(np.log2(np.maximum(n, 1)).astype(np.int64) - 2, 0)
+    """Words to a chunk, for lines of n words: a power of two, n / 4 to n / 2."""
+    return 1 << np.maximum(np.log2(np.maximum(n, 1)).astype(np.int64) - 1, 0)
 
 
 def coarse(s: Sums, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ def coarse(s: Sums, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         who, i, j = (x[some] for x in whole)
         parts.append((lines[who], s.key(lines[who], i, j, q[who]), i, j))
         finer = (chunks <= 2) & (q > 1)
-        work.append((lines[finer], np.maximum(q[finer] // 4, 1)))
+        work.append((lines[finer], q[finer] // 2))
     if not parts:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
@@ -209,6 +209,7 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", t
     shared = keys.withColumns({"h0": F.min("h1").over(one_key), "h9": F.max("h1").over(one_key)}).where("h0 < h9").select("key", "h1").distinct()
     wanted = shared.groupBy("h1").agg(F.collect_list("key").alias("keys")).join(firsts.select("h1", "a.*"), "h1")
     wanted = wanted.groupBy(F.col("doc").alias("d"), F.col("rk").alias("k")).agg(F.collect_list(F.struct("line", "keys")).alias("wanted"))
+    wanted = stored(wanted, "wanted")
     same_doc = (F.col("rk") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d"))
     near = stored(src.join(wanted, same_doc).select("doc", "rk", "text", "wanted").mapInArrow(lambda it: _fine(it, min_words), f"doc {kind}, rk long, line int, words binary, fine array<long>"), "near")
 
@@ -222,7 +223,9 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", t
     first = firsts.where("many > 1").select("h1", "h2", "a")
     copies = lines.select("doc", "rk", "line", "h1", "h2").join(first, ["h1", "h2"]).where(F.struct("doc", "rk", "line") > F.col("a")).select("doc", "rk", "line", F.lit(False).alias("near"))
     # a copy of a line that goes as a near copy is behind it, so it goes as a copy
-    return gone.union(copies)
+    out = stored(gone.union(copies), "dropped")
+    discard(lines, firsts, wanted, near)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
