@@ -38,7 +38,7 @@ INPUT = (
 CASE = f"gold:{GOLD},input:{INPUT},license:string, provenance:string,review_status:string,schema_version:string,source:string,split:string"
 RESPONSE = f"struct<answer:string,answerability:string,citations:array<string>,claims:{CLAIMS},decision:string,question:string,reason:string,schema_version:string,status:string,tool_call:{TOOL_CALL}>"
 FAILURE = "struct<code:string,message:string>"
-ATTEMPT = f"attempt_id:string,case_id:string,family_id:string,parse_failure:{FAILURE},parsed_response:{RESPONSE},raw_output:string,run_id:string,runtime_error_code:string,schema_version:string,status:string"
+ATTEMPT = f"attempt_id string, case_id string, family_id string, parse_failure {FAILURE}, parsed_response {RESPONSE}, raw_output string, run_id string, runtime_error_code string, schema_version string, status string"
 OBSERVATION = (
     "struct<attention_mode:string,case_id:string,completed_at_utc:string,elapsed_seconds:double,generated_ids:array<int>,input_ids:array<int>,input_token_count:bigint,"
     "model_inference_seconds:double,model_load_seconds:double,output_token_count:bigint,parameter_dtype:string,prompt_sha256:string,runtime_device:string,schema_version:string,"
