@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
+import time
 import uuid
 
 import numpy as np
@@ -25,12 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Spark deletes shuffle files when the driver has collected what stood for them: asks for that, once the last job's records are gone."""
+
+    def ask() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            for _ in range(2):  # what the first frees may have held more
+                spark.sparkContext._jvm.System.gc()
+                time.sleep(0.3)
+
+    timer = threading.Timer(0.7, ask)
+    timer.daemon = True
+    timer.start()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gradewell-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files behind what is now written
+    _let_go(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
