@@ -200,5 +200,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8",
     discard(entries, pairs, sets, known, *steps, inner, asks, asked)
 
     group = reps.join(found, "id", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("c"))
-    own = signed.join(group, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    own = signed.join(group, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
