@@ -147,7 +147,10 @@ def _fine(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Reco
             flat = asked.flatten()
             text = np.repeat(np.arange(hi - lo), np.asarray(pc.list_value_length(asked)))
             place = lambda t, k: t << 32 | k
-            at = np.searchsorted(place(x.text, x.number), place(text, np.asarray(flat.field("line")).astype(np.int64)))
+            there = np.append(place(x.text, x.number), -1)
+            own = place(text, np.asarray(flat.field("line")).astype(np.int64))
+            at = np.searchsorted(there[:-1], own)
+            at[there[at] != own] = len(there)  # another text with the same hash: nothing is asked of its lines
             keys = flat.field("keys")
             want = np.asarray(keys.flatten()).view(np.uint64) ^ mix(np.repeat(at, np.asarray(pc.list_value_length(keys))).astype(U64))
             line, key, i, j = coarse(x.sums, min_words)
