@@ -50,9 +50,9 @@ def tracked(calls: DataFrame, max_calls: int = 2) -> DataFrame:
 
 
 def call_ids(calls: DataFrame) -> DataFrame:
-    """calls with call_id: case, tool and the call's number in its case."""
+    """calls with call_id: the case, `tool`, and the call's number in its case."""
     nth = F.row_number().over(Window.partitionBy("case_id").orderBy("turn_index"))
-    return calls.withColumn("call_id", F.concat_ws(":", "case_id", "tool", nth.cast("string")))
+    return calls.withColumn("call_id", F.concat_ws(":", "case_id", F.lit("tool"), nth.cast("string")))
 
 
 def fold(turns: Column, max_turns: int = 4, max_calls: int = 2, max_repairs: int = 1) -> Column:

@@ -84,7 +84,7 @@ ORACLES = {
     "episode_fold": f"SELECT case_id, terminal_status, turns_used, calls_used, repairs_used FROM ({_EPISODES})",
     "call_tracker": _BASE + """, q AS (SELECT family_id AS case_id, pos, row_number() OVER (PARTITION BY family_id, k % 2, event_type ORDER BY pos) > 1 AS stagnant, row_number() OVER (PARTITION BY family_id ORDER BY pos) AS n FROM e)
       SELECT case_id, pos, stagnant, CASE WHEN n > 6 THEN 'budget_exhausted' WHEN stagnant THEN 'stagnation' ELSE 'ok' END AS verdict FROM q""",
-    "call_ids": _BASE + f"SELECT pos AS turn_index, family_id || ':' || {_TOOL.format('k')} || ':' || (row_number() OVER (PARTITION BY family_id ORDER BY pos))::VARCHAR AS call_id FROM e",
+    "call_ids": _BASE + "SELECT pos AS turn_index, family_id || ':tool:' || (row_number() OVER (PARTITION BY family_id ORDER BY pos))::VARCHAR AS call_id FROM e",
     "event_sequence": _BASE + """SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY pos)::INT AS sequence, case_id, status, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS event_time_utc, 'attempt:' || run_id || ':' || case_id || ':1' AS artifact_ref FROM a""",
     "case_digests": _BASE + f"SELECT case_id, sha256({_JSON} || chr(10)) AS case_sha256, sha256({_JSON}) AS payload_sha256 FROM c",
     "dataset_digest": _BASE + f"SELECT run_id, sha256('[' || string_agg({_JSON}, ',' ORDER BY pos) || ']' || chr(10)) AS dataset_sha256, count(*) AS n_rows FROM c GROUP BY run_id",

@@ -134,7 +134,7 @@ def call_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = cases(spark, sf_dir).select(F.col("family_id").alias("case_id"), F.col("pos").alias("turn_index"), pick(TOOLS, F.col("k") % 4).alias("tool"))
+    calls = cases(spark, sf_dir).select(F.col("family_id").alias("case_id"), F.col("pos").alias("turn_index"))
     return episodes.call_ids(calls).select("turn_index", "call_id")
 
 
