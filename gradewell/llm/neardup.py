@@ -161,13 +161,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8",
     distance = known.select("a", "b", "same", (1 - F.col("same") / F.col("total")).alias("d"))
     to_lo = distance.select(F.col("a").alias("lo"), F.col("b").alias("id"), F.col("d").alias("d_lo"), F.col("same").alias("s_lo"))
     to_hi = distance.select(F.col("b").alias("hi"), F.col("a").alias("id"), F.col("d").alias("d_hi"))
-    inner = member.join(mixed, "key").where("id != lo AND id != hi").join(to_lo, ["lo", "id"], "left").join(to_hi, ["hi", "id"], "left").select("key", "lo", "id", "n", "c", "d_lo", "s_lo", "d_hi")
-    inner = stored(inner, "inner")
-    steps = [inner]
+    inner = member.join(mixed, "key").where("id != lo AND id != hi").join(to_lo, ["lo", "id"], "left").join(to_hi, ["hi", "id"], "left").select("key", "lo", "hi", "id", "n", "c", "d_lo", "s_lo", "d_hi")
+    # an id of several texts has no single distance and no shingles of its own: bounds that rest on these don't hold for it
+    several = stored(reps.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("several")), "several")
+    loose = F.lit(False)
+    if not several.isEmpty():
+        for end in ("id", "lo", "hi"):
+            inner = inner.join(several.select(F.col("id").alias(end), F.col("several").alias(f"loose_{end}")), end, "left")
+        any_ = F.coalesce("loose_id", "loose_lo", "loose_hi").isNotNull()
+        inner = inner.withColumns({c: F.when(~any_, F.col(c)) for c in ("d_lo", "s_lo", "d_hi")}).drop("loose_lo", "loose_hi")
+        loose = F.coalesce("loose_id", F.lit(False))
+    inner = stored(inner.drop("hi"), "inner")
+    steps = [inner, several]
     for _ in range(3):  # what the first round closes leaves more shingles alone
         open_sets = sets.join(inner.select("id").union(inner.select(F.col("lo").alias("id"))).distinct(), "id", "left_semi")
         alone = open_sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count("*").alias("alone"))
-        inner = inner.drop("e").join(alone, "id", "left").withColumn("e", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(F.col("e") * F.lit(den) >= F.col("n") * F.lit(num))
+        inner = inner.drop("e").join(alone, "id", "left").withColumn("e", F.col("n") - F.when(loose, F.lit(0)).otherwise(F.coalesce("alone", F.lit(0)))).drop("alone").where(F.col("e") * F.lit(den) >= F.col("n") * F.lit(num))
         inner = stored(inner, "inner")
         steps.append(inner)
     # a document of one component and a component that it meets in an entry: the smaller component asks

@@ -66,7 +66,8 @@ def corpus(spark):
     texts += [texts[3], texts[3].upper(), texts[5] + " ", "one two three", "one two", "one  two"]
     texts = ["\n".join(" ".join(x) for x in itertools.batched(t.split(" "), rng.randint(5, 30))) for t in texts]
     rows = [(i, t, None, f"s{i % 3}" if i % 7 else None, len(t)) for i, t in enumerate([*texts, *ODD])]
-    rows += [(len(rows), None, None, "s0", None), (None, texts[0], None, "s1", 3), (None, None, None, None, None), rows[4], rows[4]]
+    rows += [(k, texts[85 + 6 * k] + " end", "en", "s0", 1) for k in range(1, 9)]  # ids of two texts
+    rows += [(len(rows) + 100, None, None, "s0", None), (None, texts[0], None, "s1", 3), (None, None, None, None, None), rows[4], rows[4]]
     return spark.createDataFrame(rows, DOC).repartition(3).cache()
 
 
