@@ -33,6 +33,7 @@ from gradewell.llm.common import U64, Words, components, discard, mix, slices, s
 
 TILE = 256  # documents on a side of a tile
 GROUP = 2000  # documents, about, whose tiles are compared in one call
+BROADCAST_IDS = 500_000  # ids that may be sent to every task; more are joined by shuffling
 SALTS = 64  # parts into which the comparisons with one document fall
 
 
@@ -142,14 +143,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8",
     # table entries that several classes share
     tables = F.expr(f"flatten(transform(sequence(0, {m - 2}), i -> transform(sequence(i + 1, {m - 1}), j -> xxhash64(i, j, u[i], u[j]))))")
     keys = reps.select("id", "n", F.explode(tables).alias("key"))
-    shared = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("x"), F.max(F.struct("id", "n")).alias("y")).select("key", F.col("x.id").alias("lo"), F.col("x.n").alias("n_lo"), F.col("y.id").alias("hi"), F.col("y.n").alias("n_hi")).where("lo < hi")
+    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     entries = stored(keys.join(shared, "key"), "entries")
-    ends = entries.select(F.col("lo").alias("a"), F.col("id").alias("b"), "n", F.col("n_lo").alias("z")).union(entries.select(F.col("hi").alias("a"), F.col("id").alias("b"), "n", F.col("n_hi").alias("z")))
-    ends = ends.where((F.col("a") != F.col("b")) & (F.least("n", "z") * F.lit(den) >= F.greatest("n", "z") * F.lit(num)))
+    ends = entries.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(entries.select(F.col("hi").alias("a"), F.col("id").alias("b"))).where("a != b")
     pairs = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = lambda end: reps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
+    fit = F.least("n_a", "n_b") * F.lit(den) >= F.greatest("n_a", "n_b") * F.lit(num)
+    pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(fit).select("a", "b").distinct()
     pairs = stored(pairs, "pairs")
 
-    wanted = entries.select("id").distinct()
+    wanted = stored(entries.select("id").distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:  # then texts need not be shuffled for it
+        wanted = F.broadcast(wanted)
     sets = stored(src.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lambda it: _sets(it, shingle), f"id {kind}, set array<long>"), "sets")
     known = stored(compared(pairs, sets).groupBy("a", "b").agg(F.max(F.struct((F.col("same") / F.col("total")).alias("s"), "same", "total")).alias("x")).select("a", "b", "x.same", "x.total"), "known")
     links = known.where(linked).select("a", "b")
