@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from gradewell.llm.common import U64, Words, discard, mix, slices, stored, texts_of
 
@@ -238,5 +239,5 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
     drop = dropped_lines(own, min_words, id_col, text_col).groupBy(F.col("doc").alias("__doc"), F.col("rk").alias("__rk")).agg(F.collect_set("line").alias("__lines"))
     joined = own.join(drop, (F.xxhash64(id_col, text_col) == F.col("__rk")) & F.col(id_col).eqNullSafe(F.col("__doc")), "left").select(*own.columns, "__lines")
     at = own.columns.index(text_col)
-    schema = own.schema.add("n_lines", "long").add("n_dropped", "long").add("has_text", "boolean")
+    schema = StructType([*own.schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("has_text", BooleanType())])
     return joined.mapInArrow(lambda it: _rebuild(it, at), schema)
