@@ -123,7 +123,14 @@ def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, room: int = 4 << 20):
+def portions(batches, rows: int = 500):
+    """Arrow batches cut into smaller ones, so that what is built from one stays small."""
+    for batch in batches:
+        for lo in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(lo, rows)
+
+
+def slices(offsets: np.ndarray, room: int = 2 << 20):
     """Ranges of texts of about `room` bytes, one text at least."""
     lo = 0
     while lo < len(offsets) - 1:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gradewell.llm.common import held_out
+from gradewell.llm.common import held_out, portions
 
 BITS = 15
 UND = "und"
@@ -46,7 +46,7 @@ def grams(text: str) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in portions(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             at = total.setdefault(lang, np.zeros(1 << BITS, np.int64))
             at += np.bincount(grams(text), minlength=1 << BITS)
@@ -70,7 +70,7 @@ def train(docs: DataFrame, sample: int = 20_000, parts: int = 8, id_col: str = "
 
 
 def _score(batches: Iterator[pa.RecordBatch], langs: list[str], logp: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         texts, pred, score = batch.column(batch.num_columns - 1).to_pylist(), [], []
         for text in texts:
             g = grams(text) if text and langs else ()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from gradewell.llm.common import U64, Words, discard, mix, slices, stored, texts_of
+from gradewell.llm.common import U64, Words, discard, mix, portions, slices, stored, texts_of
 
 _B = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _BINV = pow(_B, -1, 2**64)
@@ -120,7 +120,7 @@ class Lines:
 
 
 def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         raw, offsets = texts_of(batch.column(2))
         for lo, hi in slices(offsets):
             x = Lines(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -139,7 +139,7 @@ def _spans(i: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _fine(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """Rows of documents with (line, shared coarse keys) to their lines, their bytes and fine variants within the shared gaps."""
-    for batch in batches:
+    for batch in portions(batches):
         raw, offsets = texts_of(batch.column(2))
         wanted = batch.column(3)
         for lo, hi in slices(offsets):
@@ -182,13 +182,13 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         same = [within_one(a.split(), b.split()) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(batch.columns[:3], batch.schema.names[:3]).filter(pa.array(same, pa.bool_()))
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         texts, lost, total, left = [], [], [], []
         for text, drop in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             lines, gone = (text or "").split("\n"), set(drop or ())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import U64, Words, components, discard, mix, slices, stored, texts_of, windows
+from gradewell.llm.common import U64, Words, components, discard, mix, portions, slices, stored, texts_of, windows
 
 TILE = 256  # documents on a side of a tile
 GROUP = 2000  # documents, about, whose tiles are compared in one call
@@ -51,7 +51,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, m: int, r: int) -> Iterator
     rng = np.random.default_rng(20)
     a = rng.integers(0, 2**63, (m * r, 1), dtype=np.uint64) * U64(2) + U64(1)
     b = rng.integers(0, 2**63, (m * r, 1), dtype=np.uint64)
-    for batch in batches:
+    for batch in portions(batches):
         sizes, s1, s2, u = [], [], [], []
         for s in shingle_sets(batch.column(1), n):
             sizes.append(len(s))
@@ -71,7 +71,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, m: int, r: int) -> Iterator
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         rows = [s.view(np.int64) for s in shingle_sets(batch.column(1), n)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "set"])
 

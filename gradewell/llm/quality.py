@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gradewell.llm.common import held_out
+from gradewell.llm.common import held_out, portions
 
 WORDS, SHAPES, STYLE = 3072, 960, 64
 FEATURES = WORDS + SHAPES + STYLE
@@ -67,7 +67,7 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = Features()
-    for batch in batches:
+    for batch in portions(batches):
         rows = [seen.counts(t) for t in batch.column(2).to_pylist()]
         at = [np.flatnonzero(r) for r in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(rows, at, strict=True)], pa.binary())], ["h", "y", "at", "n"])
@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, dims: int = 48
 
 def _score(batches: Iterator[pa.RecordBatch], m: dict, k: int) -> Iterator[pa.RecordBatch]:
     seen = Features()
-    for batch in batches:
+    for batch in portions(batches):
         texts = batch.column(batch.num_columns - 1).to_pylist()
         score = np.full(len(texts), m["base"])
         for lo in range(0, len(texts) if "z" in m else 0, 256):

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gradewell.llm.common import portions
 from gradewell.llm.pieces import SPACE, PieceTable, model_path, parts_of, piece_table
 
 CACHE = 400_000  # pre-tokens a worker remembers
@@ -81,7 +82,7 @@ def _merge(table: PieceTable, parts: list[str]) -> np.ndarray:
 
 def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     table, cache = piece_table(path), {}
-    for batch in batches:
+    for batch in portions(batches):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         n_bytes, n_tokens = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for lo in range(0, len(texts), 200):
