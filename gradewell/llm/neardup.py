@@ -76,6 +76,11 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "set"])
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Ids to join with: sent to every task if they are few, so that texts and sets need not be shuffled for them."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, same, total): sizes of intersection and union. A document that many are compared with is salted by its partners."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
@@ -153,9 +158,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8",
     pairs = stored(pairs, "pairs")
 
     wanted = stored(entries.select("id").distinct(), "wanted")
-    if wanted.count() <= BROADCAST_IDS:  # then texts need not be shuffled for it
-        wanted = F.broadcast(wanted)
-    sets = stored(src.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lambda it: _sets(it, shingle), f"id {kind}, set array<long>"), "sets")
+    sets = stored(src.join(_sent(wanted), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lambda it: _sets(it, shingle), f"id {kind}, set array<long>"), "sets")
     known = stored(compared(pairs, sets).groupBy("a", "b").agg(F.max(F.struct((F.col("same") / F.col("total")).alias("s"), "same", "total")).alias("x")).select("a", "b", "x.same", "x.total"), "known")
     links = known.where(linked).select("a", "b")
     found = components(links)
@@ -177,9 +180,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8",
         inner = inner.withColumns({c: F.when(~any_, F.col(c)) for c in ("d_lo", "s_lo", "d_hi")}).drop("loose_lo", "loose_hi")
         loose = F.coalesce("loose_id", F.lit(False))
     inner = stored(inner.drop("hi"), "inner")
-    steps = [inner, several]
+    steps = [wanted, inner, several]
     for _ in range(3):  # what the first round closes leaves more shingles alone
-        open_sets = sets.join(inner.select("id").union(inner.select(F.col("lo").alias("id"))).distinct(), "id", "left_semi")
+        open_ids = stored(inner.select("id").union(inner.select(F.col("lo").alias("id"))).distinct(), "ids")
+        steps.append(open_ids)
+        open_sets = sets.join(_sent(open_ids), "id", "left_semi")
         alone = open_sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count("*").alias("alone"))
         inner = inner.drop("e").join(alone, "id", "left").withColumn("e", F.col("n") - F.when(loose, F.lit(0)).otherwise(F.coalesce("alone", F.lit(0)))).drop("alone").where(F.col("e") * F.lit(den) >= F.col("n") * F.lit(num))
         inner = stored(inner, "inner")
