@@ -2,8 +2,12 @@
 
 Hosts are written without spaces, so a host's labels are split by a unigram Viterbi over words counted in all pages (their visible text)
 and seed words; path parts are split alike. A multinomial naive Bayes with two classes scores the words: `allow` is the unigram model of
-the pages, `block` mixes it half and half with the seed words of blocked sites. Both models are tables of at most `vocabulary` words,
-sent to every worker; only the counts behind them need a shuffle.
+the pages, `block` mixes it half and half with the seed words of blocked sites.
+
+The model is of all words, however rare. Splitting a part asks only for words that occur in it, so words are joined with the runs of
+letters of the distinct parts, by 64-bit hashes (equal hashes of other words only add words that are then not found). Of these words
+the `vocabulary` that occur in most pages' parts are sent to every worker; the others, each in few pages, are joined with the parts and
+by these with the urls that need them. Where there are no others, pages are not shuffled.
 
 A null url, or one without `://`, has empty host and path, no rule, and the verdict of no words: allow. Ties between rules of one length
 go to the one first in code point order. Rows that repeat a page_id are judged one by one."""
@@ -15,10 +19,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradewell.llm.common import U64, discard, mix, portions, stored
+
 #: (pattern, verdict); a pattern is a host, then a path from its first `/`.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Labelled seed words for the class `block`.
@@ -26,6 +33,7 @@ SEEDS = tuple("ads advert banner tracker track click popup spam farm scam phish
 _TAG = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _WORD = re.compile(r"[^\W\d_]+")
 _AZ = {c: c + 32 for c in range(65, 91)}
+_BASE = 0x9E3779B97F4A7C15
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -35,6 +43,11 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest[:k].translate(_AZ), re.split("[?#]", rest[k:], maxsplit=1)[0]
 
 
+def parts_of(host: str, path: str) -> list[str]:
+    """The runs of letters that are split into words."""
+    return _WORD.findall(host) + _WORD.findall(path.lower())
+
+
 class Rules:
     def __init__(self, rules):
         self.of: dict[str, list] = {}
@@ -58,22 +71,27 @@ class Words:
 
     LONGEST = 24
 
-    def __init__(self, counts: dict[str, int], seeds=SEEDS, prior: float = 0.2):
-        total = sum(counts.values()) + len(seeds) + 1
-        self.allow = {w: math.log((counts.get(w, 0) + 1) / (total + len(counts))) for w in {*counts, *seeds}}
-        self.unknown = math.log(1 / (total + len(counts)))
+    def __init__(self, counts: dict[str, int], seeds=SEEDS, prior: float = 0.2, n_words: int | None = None, n_distinct: int | None = None):
+        """counts may be of some words only; then n_words and n_distinct are over all."""
+        self.all = (sum(counts.values()) if n_words is None else n_words) + len(seeds) + 1 + (len(counts) if n_distinct is None else n_distinct)
+        self.allow = {w: self.known(counts.get(w, 0)) for w in {*counts, *seeds}}
+        self.unknown = math.log(1 / self.all)
         self.block = {w: math.log(0.5 / len(seeds) + 0.5 * math.exp(self.allow[w])) for w in seeds}
         self.prior = math.log(prior / (1 - prior))
         self.cache: dict[str, list[str]] = {}
 
-    def split(self, name: str) -> list[str]:
-        """The likeliest words of a run of letters; unknown ones cost more with each letter."""
+    def known(self, n: int) -> float:
+        return math.log((n + 1) / self.all)
+
+    def split(self, name: str, more: dict[str, float] | None = None) -> list[str]:
+        """The likeliest words of a run of letters; unknown ones cost more with each letter. more: words of name that the model lacks."""
         if name in self.cache:
             return self.cache[name]
+        more = more or {}
         best, cut = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
         for j in range(1, len(name) + 1):
             for i in range(max(0, j - self.LONGEST), j):
-                w = self.allow.get(name[i:j])
+                w = self.allow.get(name[i:j], more.get(name[i:j]))
                 if w is None:
                     w = self.unknown - 2.3 * (j - i)
                 elif name[i:j] in self.block:
@@ -89,14 +107,14 @@ class Words:
         self.cache[name] = out = out[::-1]
         return out
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        return [w for part in _WORD.findall(host) + _WORD.findall(path.lower()) for w in self.split(part)]
+    def tokens(self, host: str, path: str, more: dict[str, float] | None = None) -> list[str]:
+        return [w for part in parts_of(host, path) for w in self.split(part, more)]
 
-    def odds(self, words: list[str]) -> float:
+    def odds(self, words: list[str], more: dict[str, float] | None = None) -> float:
         """Log odds of `block`."""
-        score = self.prior
+        score, more = self.prior, more or {}
         for w in words:
-            own = self.allow.get(w, self.unknown)
+            own = self.allow.get(w, more.get(w, self.unknown))
             score += self.block.get(w, own + math.log(0.5)) - own
         return score
 
@@ -118,27 +136,96 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def word_counts(pages: DataFrame, vocabulary: int = 50_000, html_col: str = "html") -> dict[str, int]:
-    """The commonest words of all pages and their counts; `vocabulary` bounds the model, not what is counted."""
+class _Runs:
+    """Hashes of runs of letters within texts that stand one after another: polynomials in a base, by prefix sums."""
+
+    def __init__(self, texts: list[str]):
+        letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        power, self.inverse = (np.r_[U64(1), np.cumprod(np.full(len(letters), U64(pow(_BASE, e, 2**64))))] for e in (1, -1))
+        self.total = np.r_[U64(0), np.cumsum(mix(letters + U64(1)) * power[:-1])]
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def hash(self, at: np.ndarray, size) -> np.ndarray:
+        return mix((self.total[at + size] - self.total[at]) * self.inverse[at] + np.asarray(size).astype(np.uint64)).view(np.int64)
+
+
+def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        runs = _Runs(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs.hash(runs.begin, runs.sizes)), pa.array(runs.sizes)], ["word", "n", "hash", "size"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = Counter(part for url in batch.column(0).to_pylist() for part in parts_of(*split_url(url)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["part", "n"])
+
+
+def _url_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(url, part) for url in batch.column(0).to_pylist() for part in dict.fromkeys(parts_of(*split_url(url)))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["url", "part"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], sizes: list[int], named: bool) -> Iterator[pa.RecordBatch]:
+    """Runs of letters that may be words: (hash, n), in how many pages' parts; or (part, hash)."""
+    for batch in portions(batches, 5000):
+        runs = _Runs(batch.column(0).to_pylist())
+        n, owner = np.asarray(batch.column(1)), np.repeat(np.arange(batch.num_rows), runs.sizes)
+        left = np.repeat(runs.begin + runs.sizes, runs.sizes) - np.arange(len(owner))
+        for size in sizes:
+            at = np.flatnonzero(left >= size)
+            if not len(at):
+                break
+            if named:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[at])), pa.array(runs.hash(at, size))], ["part", "hash"])
+            else:
+                found, of = np.unique(runs.hash(at, size), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(of, n[owner[at]]).astype(np.int64))], ["hash", "n"])
+
+
+def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """word, n, hash, size: all words of two letters or more of all pages."""
     counts = pages.select(html_col).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in counts.where("length(word) > 1").orderBy(F.desc("n"), "word").limit(vocabulary).collect()}
+    return counts.where("length(word) > 1").mapInArrow(_hash_words, "word string, n long, hash long, size long")
 
 
-def _judge(batches: Iterator[pa.RecordBatch], counts: dict[str, int], rules) -> Iterator[pa.RecordBatch]:
-    words, fixed = Words(counts), Rules(rules)
+def _judge(batches: Iterator[pa.RecordBatch], counts: dict[str, int], n_words: int | None, n_distinct: int | None, rules) -> Iterator[pa.RecordBatch]:
+    words, fixed = Words(counts, n_words=n_words, n_distinct=n_distinct), Rules(rules)
     for batch in batches:
         rows = []
-        for url in batch.column(1).to_pylist():
+        own = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        for url, lacking in zip(batch.column(1).to_pylist(), own, strict=True):
             host, path = split_url(url)
             rule, verdict = fixed.match(host, path) if host else (None, None)
-            odds = words.odds(words.tokens(host, path))
+            more = {x["word"]: words.known(x["n"]) for x in lacking or ()}
+            odds = words.odds(words.tokens(host, path, more), more)
             rows.append((host, path, rule, verdict or ("block" if odds > 0 else "allow"), odds))
         columns = list(zip(*rows, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in columns[:4]], pa.array(columns[4], pa.float64())], ["page_id", "host", "path", "rule", "verdict", "block_odds"])
 
 
-def judge(pages: DataFrame, rules=RULES, counts: dict[str, int] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, host, path, rule, verdict, block_odds: a row for each page, without a shuffle of pages."""
-    sent = pages.sparkSession.sparkContext.broadcast(word_counts(pages, html_col=html_col) if counts is None else counts)
+def judge(pages: DataFrame, rules=RULES, counts: dict[str, int] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", vocabulary: int = 50_000) -> DataFrame:
+    """page_id, host, path, rule, verdict, block_odds: a row for each page. vocabulary bounds the words sent to every worker, not the model."""
+    rows, n_words, n_distinct = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), None, None
+    if counts is None:
+        words = stored(word_counts(pages, html_col), "words")
+        parts = stored(rows.select("url").mapInArrow(_parts, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")), "parts")
+        n_words, n_distinct, sizes = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.sort_array(F.collect_set("size"))).first()
+        runs = parts.mapInArrow(lambda it: _runs(it, sizes, False), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("pages"))
+        found = stored(words.join(runs, "hash").select("word", "n", "hash", "pages"), "found")
+        sent = found.orderBy(F.desc("pages"), "word").limit(vocabulary).collect()
+        counts, used = {r["word"]: r["n"] for r in sent}, [words, parts, found]
+        if len(sent) == vocabulary and found.count() > vocabulary:
+            last = (F.lit(sent[-1]["pages"]), F.lit(sent[-1]["word"])) if sent else (F.lit(2**62), F.lit(""))
+            others = found.where((F.col("pages") < last[0]) | ((F.col("pages") == last[0]) & (F.col("word") > last[1])))
+            of_part = parts.mapInArrow(lambda it: _runs(it, sizes, True), "part string, hash long").join(others, "hash").groupBy("part").agg(F.collect_set(F.struct("word", "n")).alias("own"))
+            of_url = rows.where("url IS NOT NULL").select("url").distinct().mapInArrow(_url_parts, "url string, part string").join(of_part, "part").groupBy("url").agg(F.flatten(F.collect_list("own")).alias("own"))
+            own = stored(of_url, "own")
+            known = rows.where("url IS NOT NULL").join(own, "url", "left").select("page_id", "url", "own")
+            rows = known.union(rows.where("url IS NULL").withColumn("own", F.lit(None).cast(own.schema["own"].dataType)))
+        discard(*used)
+    model = pages.sparkSession.sparkContext.broadcast((counts, n_words, n_distinct))
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, url_col).mapInArrow(lambda it: _judge(it, sent.value, rules), f"page_id {kind}, host string, path string, rule string, verdict string, block_odds double")
+    return rows.mapInArrow(lambda it: _judge(it, *model.value, rules), f"page_id {kind}, host string, path string, rule string, verdict string, block_odds double")

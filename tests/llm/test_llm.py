@@ -242,6 +242,28 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).isEmpty()
 
 
+def judged(model, urls_):
+    """Odds of urls by a model of all words at once."""
+    return [model.odds(model.tokens(*urls.split_url(u))) for u in urls_]
+
+
+def test_url_model_has_every_word(spark):
+    rng = random.Random(11)
+    common = ["".join(c) for c in itertools.islice(itertools.product("abcdefghij", repeat=5), 50_000)]
+    rare = ["enbetest", "dietestein", *("".join(rng.choice("klmnopqrst") for _ in range(rng.randint(2, 12))) for _ in range(300))]
+    text = [" ".join(common), " ".join(common), "en est ein " * 2000, " ".join(rare)]
+    hosts = [rng.choice(rare) + rng.choice([*common[:50], *rare]) for _ in range(300)]
+    given_ = ["http://enbetest.org/", "http://dietestein.org/", None, "none", *(f"http://{h}.org/{rng.choice(rare)}/{rng.choice(common)}" for h in hosts)]
+    pages = spark.createDataFrame([(i, u, text[i] if i < len(text) else None) for i, u in enumerate(given_)] * 2, "page_id long, url string, html string")
+    model = urls.Words({w: 2 * n for w, n in Counter(" ".join(text).split()).items()})
+    want = sorted([*enumerate(judged(model, given_))] * 2)
+    assert model.tokens("enbetest.dietestein", "") == ["enbetest", "dietestein"]
+    for few in ({}, {"vocabulary": 40}, {"vocabulary": 1}, {"vocabulary": 0}):
+        got = urls.judge(pages, **few).collect()
+        assert sorted((r["page_id"], r["block_odds"]) for r in got) == want
+        assert {r["verdict"] for r in got if r["page_id"] < 2} == {"allow"}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(2)
