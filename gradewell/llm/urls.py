@@ -4,7 +4,7 @@ Hosts are written without spaces, so a host's labels are split by a unigram Vite
 and seed words; path parts are split alike. A multinomial naive Bayes with two classes scores the words: `allow` is the unigram model of
 the pages, `block` mixes it half and half with the seed words of blocked sites.
 
-The model is of all words, however rare. Splitting a part asks only for words that occur in it, so words are joined with the runs of
+The model is of all words, however rare or long. Splitting a part asks only for words that occur in it, so words are joined with the runs of
 letters of the distinct parts, by 64-bit hashes (equal hashes of other words only add words that are then not found). Of these words
 the `vocabulary` that occur in most pages' parts are sent to every worker; the others, each in few pages, are joined with the parts and
 by these with the urls that need them. Where there are no others, pages are not shuffled.
@@ -69,12 +69,11 @@ class Rules:
 class Words:
     """The two unigram models."""
 
-    LONGEST = 24
-
     def __init__(self, counts: dict[str, int], seeds=SEEDS, prior: float = 0.2, n_words: int | None = None, n_distinct: int | None = None):
         """counts may be of some words only; then n_words and n_distinct are over all."""
         self.all = (sum(counts.values()) if n_words is None else n_words) + len(seeds) + 1 + (len(counts) if n_distinct is None else n_distinct)
         self.allow = {w: self.known(counts.get(w, 0)) for w in {*counts, *seeds}}
+        self.sizes = sorted({len(w) for w in self.allow}, reverse=True)
         self.unknown = math.log(1 / self.all)
         self.block = {w: math.log(0.5 / len(seeds) + 0.5 * math.exp(self.allow[w])) for w in seeds}
         self.prior = math.log(prior / (1 - prior))
@@ -84,17 +83,21 @@ class Words:
         return math.log((n + 1) / self.all)
 
     def split(self, name: str, more: dict[str, float] | None = None) -> list[str]:
-        """The likeliest words of a run of letters; unknown ones cost more with each letter. more: words of name that the model lacks."""
+        """The likeliest words of a run of letters, of any length; unknown ones cost more with each letter. more: words of name that the model lacks."""
         if name in self.cache:
             return self.cache[name]
         more = more or {}
-        best, cut = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+        sizes = sorted({*self.sizes, *map(len, more)}, reverse=True) if more else self.sizes
+        best, cut, start = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1), 0
         for j in range(1, len(name) + 1):
-            for i in range(max(0, j - self.LONGEST), j):
+            if best[j - 1] + 2.3 * (j - 1) > best[start] + 2.3 * start:
+                start = j - 1  # where the best unknown word begins; a known one is never worse than the same as unknown
+            best[j], cut[j] = best[start] + self.unknown - 2.3 * (j - start), start
+            for i in (j - size for size in sizes if size <= j):
                 w = self.allow.get(name[i:j], more.get(name[i:j]))
                 if w is None:
-                    w = self.unknown - 2.3 * (j - i)
-                elif name[i:j] in self.block:
+                    continue
+                if name[i:j] in self.block:
                     w = max(w, self.block[name[i:j]])
                 if best[i] + w > best[j]:
                     best[j], cut[j] = best[i] + w, i
@@ -130,7 +133,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for html in batch.column(0).to_pylist():
             if html:
-                seen.update(w for w in _WORD.findall(_TAG.sub(" ", html).lower()) if len(w) <= Words.LONGEST)
+                seen.update(_WORD.findall(_TAG.sub(" ", html).lower()))
             if len(seen) > 200_000:
                 yield out()
     yield out()

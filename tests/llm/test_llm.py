@@ -264,6 +264,32 @@ def test_url_model_has_every_word(spark):
         assert {r["verdict"] for r in got if r["page_id"] < 2} == {"allow"}
 
 
+def test_url_words_of_any_length(spark):
+    long = "donaudampfschifffahrtscasinobetgesellschaft"
+    given_ = [f"http://{long}.org/", f"http://x.org/{long}{long}", "http://" + "q" * 60 + ".org/"]
+    text = [f"{long} " * 50 + "donau dampf schifffahrt gesellschaft", "x org", None]
+    pages = spark.createDataFrame(list(zip(range(3), given_, text, strict=True)), "page_id long, url string, html string")
+    model = urls.Words({w: n for w, n in Counter(" ".join(filter(None, text)).split()).items() if len(w) > 1})
+    assert model.split(long) == [long] and model.split(long * 2) == [long] * 2 and model.split("q" * 60) == ["q" * 60]
+    for few in ({}, {"vocabulary": 0}):
+        got = {r["page_id"]: r for r in urls.judge(pages, **few).collect()}
+        assert [got[i]["block_odds"] for i in range(3)] == judged(model, given_) and {r["verdict"] for r in got.values()} == {"allow"}
+
+
+def test_url_split_is_the_likeliest():
+    rng = random.Random(4)
+    text = lambda most: "".join(rng.choice("abe") for _ in range(rng.randint(1, most)))
+    for _ in range(100):
+        model = urls.Words({text(rng.choice([3, 40])): rng.randint(1, 1000) for _ in range(rng.randint(0, 30))}, seeds=("ab", "ebb", "bet"))
+        cost = lambda w: max(model.allow[w], model.block.get(w, -math.inf)) if w in model.allow else model.unknown - 2.3 * len(w)  # noqa: B023, E731
+        name = "".join(rng.choice([*model.allow, text(30)]) for _ in range(rng.randint(1, 4)))
+        best = [0.0]
+        for j in range(1, len(name) + 1):
+            best.append(max(best[i] + cost(name[i:j]) for i in range(j)))
+        out = model.split(name)
+        assert "".join(out) == name and math.isclose(sum(map(cost, out)), best[-1])
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(2)
