@@ -7,6 +7,8 @@ and `pieces`. What a stage returns is written as Parquet and read again by the n
 - lines: repeated lines go, exact and one word edit away; the text and n_chars are what is left. A document of which nothing but white
   space is left goes, one that was empty before stays.
 - near_duplicates: shingles of five words, similarity of 0.8 or more; the document with the smallest id of each group stays, once.
+  Rows without an id, and of repeated ids, are compared row by row. An id stays once: of different texts under one id that no row of
+  another id is near to, only the one with the least hash stays.
 - mixing: each document as often as the mix takes it.
 - pieces: a sampled segmentation of each text, seeded by its doc_id.
 
@@ -33,11 +35,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(neardup.near_duplicates(docs).select("doc_id", "kept"), "kept")
-    left = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(left.where("doc_id IS NULL"))
+    odd = stored(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id", F.lit(2).alias("__rank")), "odd")
+    if odd.isEmpty():
+        found = stored(neardup.near_duplicates(docs).select("doc_id", "kept"), "kept")
+        return docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # an id and a text are a document; of a group, one whose id is its own stays before one without an id, and that before one whose id is repeated
+    kind = docs.schema["doc_id"].dataType
+    named = docs.where("doc_id IS NOT NULL").join(odd, "doc_id", "left").select(*docs.columns, F.coalesce("__rank", F.lit(0)).alias("__rank"))
+    ranked = named.union(docs.where("doc_id IS NULL").withColumn("__rank", F.lit(1)))
+    keyed = ranked.withColumn("__key", F.struct(F.col("__rank").alias("rank"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("id"), F.xxhash64("text").alias("hash")))
+    found = stored(neardup.near_duplicates(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "kept"), "kept")
+    left = keyed.join(found.where("NOT kept").select("__key").distinct(), "__key", "left_anti")
+    # one row for each id, and for each text without one: the least by hash, then by its columns
+    one = left.where("__rank > 0").groupBy("__key.id", "__rank", F.when(F.col("__rank") == 1, F.col("__key.hash")).alias("h")).agg(F.min(F.struct("__key.hash", F.struct(*docs.columns).alias("row"))).alias("x"))
+    return left.where("__rank = 0").select(*docs.columns).union(one.select("x.row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -436,3 +436,20 @@ def test_pipeline(spark, corpus, labelled, tmp_path):
     assert not [1 for a, b in itertools.combinations(texts, 2) if texts[a] and 100 * len(texts[a] & texts[b]) >= 80 * len(texts[a] | texts[b])]
     assert third.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
     assert segmentation.decode(coded).where("NOT (decoded <=> text)").isEmpty() and coded.count() == mixed.count()
+
+
+def test_near_duplicate_stage_of_odd_ids(spark):
+    """Repeated and null ids: what goes is near to what stays, or shares its id; the same rows stay however they are dealt out."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = {c: " ".join(f"{c}{rng.randrange(1000)}" for _ in range(60)) for c in "abcdefgh"}
+    near = {c: t + " end" for c, t in text.items()}
+    rows = [(1, text["a"]), (1, text["b"]), (2, near["b"]), (3, near["a"]), (None, text["c"]), (None, text["c"]), (None, near["c"]), (4, text["d"]), (None, near["d"]), (5, text["e"]), (5, text["e"]), (6, text["f"]), (6, text["g"]), (7, near["h"]), (7, near["a"]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for k, (i, t) in enumerate(rows) for lang in ("en", "de")[: 1 + (k > 8)]], DOC)
+    runs = [sorted(map(tuple, corpus_pipeline.near_duplicate_stage(spark, docs.repartition(n, "lang") if n == 2 else docs.repartition(n), "").collect()), key=str) for n in (1, 2, 5)]
+    got = Counter((i, t) for i, t, *_ in runs[0])
+    assert runs[0] == runs[1] == runs[2] and max(got.values()) == 1
+    assert {t[0] for _, t in got if t} >= set("abcdeh") and len({t[0] for _, t in got if t} & set("fg")) == 1
+    assert Counter(i for i, _ in got if i is not None) == {i: 1 for i in (2, 3, 4, 5, 6, 7)}
+    assert sum(i is None and bool(t) for i, t in got) == 1 and {t for i, t in got if i is None} >= {None, ""}
