@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased; whatever is not a letter counts as one kind of space. Bigrams and trigrams go to hashed buckets. The model is
-a matrix of log probabilities, languages by buckets (bounded: languages * 2^15 * 4 bytes), sent to every worker. It is learned from a
-sample of labelled rows, at most `sample`: those whose ids hash lowest. A text is scored whole: gathered log probabilities, summed.
+a matrix of log probabilities, languages by buckets (bounded: languages * 2^15 * 4 bytes), sent to every worker. It is learned from all
+labelled rows that are not held out: tasks count, only counts are shuffled. A text is scored whole: gathered log probabilities, summed.
 
 Null text, and text without a letter: `und`, score 0. The score is the winner's share of the posterior, with evidence discounted to
 the square root of the n-grams (they are not independent). Ties go to the language first in code point order. Rows that repeat an id
@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -46,26 +47,33 @@ def grams(text: str) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
+
+    def out():
+        for lang, counts in total.items():
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(max(1, len(some)), np.int64))), pa.array(some if len(some) else np.zeros(1, np.int64)), pa.array(counts[some] if len(some) else np.zeros(1, np.int64))], ["lang", "bucket", "n"])
+        total.clear()
+
     for batch in portions(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if lang not in total and len(total) >= 128:
+                yield from out()
             at = total.setdefault(lang, np.zeros(1 << BITS, np.int64))
             at += np.bincount(grams(text), minlength=1 << BITS)
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.tobytes() for x in total.values()])], ["lang", "counts"])
+    yield from out()
 
 
-def train(docs: DataFrame, sample: int = 20_000, parts: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (buckets by languages), from rows that are not held out."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Languages and log probabilities (buckets by languages), from all rows that have a language and are not held out."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    chosen = known.select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = known.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts: dict[str, np.ndarray] = {}
-    for lang, raw in rows.repartition(parts).mapInArrow(_count, "lang string, counts binary").collect():  # parts * languages rows
-        counts[lang] = counts.get(lang, 0) + np.frombuffer(raw, np.int64)
-    langs = sorted(counts)
+    counted = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, bucket long, n long")
+    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages * buckets rows at most
+    langs = sorted(table.column("lang").unique().to_pylist())
     if not langs:
         return [], np.zeros((1 << BITS, 0), np.float32)
-    c = np.stack([counts[x] for x in langs], 1).astype(np.float64) + 0.5
+    c = np.full((1 << BITS, len(langs)), 0.5)
+    at = np.asarray(pc.index_in(table.column("lang"), pa.array(langs, table.schema.field("lang").type)))
+    c[np.asarray(table.column("bucket")), at] += np.asarray(table.column("n"))
     return langs, np.log(c / c.sum(0)).astype(np.float32)
 
 

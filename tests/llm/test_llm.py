@@ -318,6 +318,21 @@ def test_language(labelled):
     assert (language.train(changed)[1] == language.train(docs)[1]).all() and language.train(changed)[0] == ["en", "xx", "ру"]
 
 
+def test_language_learns_from_every_row(spark):
+    ids = spark.range(30_000).where("crc32(cast(id AS string)) % 4 <> 2").orderBy(F.xxhash64("id").desc())
+    assert ids.count() > 20_000
+    rare = [r["id"] for r in ids.limit(2).collect()]
+    text = F.when(F.col("id") == rare[0], "zyx wvu zyx").when(F.col("id") == rare[1], "12").otherwise(F.concat(F.lit("eta "), F.expr("substr('abcdefghij', 1 + id % 10, 1)")))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") == rare[0], "xx").when(F.col("id") == rare[1], "nn").otherwise("en").alias("lang"))
+    counts = {x: np.full(1 << language.BITS, 0.5) for x in ("en", "nn", "xx")}
+    for r in docs.where("crc32(cast(doc_id AS string)) % 4 <> 2").collect():
+        np.add.at(counts[r["lang"]], language.grams(r["text"]), 1)
+    langs, logp = language.train(docs)
+    assert langs == ["en", "nn", "xx"] and np.allclose(logp, np.stack([np.log(counts[x] / counts[x].sum()) for x in langs], 1), atol=1e-5)
+    got = language.identify(spark.createDataFrame([(1, "zyx wvu")], "doc_id long, text string"), (langs, logp)).first()
+    assert got["lang_pred"] == "xx"
+
+
 def test_quality(labelled, spark):
     docs, labels = labelled
     got = {r["doc_id"]: r["quality_score"] for r in quality.classify(docs.drop("lang"), labels).collect()}
