@@ -468,3 +468,39 @@ def test_near_duplicate_stage_of_odd_ids(spark):
     assert {t[0] for _, t in got if t} >= set("abcdeh") and len({t[0] for _, t in got if t} & set("fg")) == 1
     assert Counter(i for i, _ in got if i is not None) == {i: 1 for i in (2, 3, 4, 5, 6, 7)}
     assert sum(i is None and bool(t) for i, t in got) == 1 and {t for i, t in got if i is None} >= {None, ""}
+
+
+def test_pipeline_stages_against_brute_force(spark, corpus):
+    """Each stage drops what its rule drops, and nothing else, of documents with ids of their own."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.createDataFrame([(*r[:2], "en", *r[3:]) for r in {r["doc_id"]: r for r in corpus.collect() if r["doc_id"] is not None}.values()], DOC).cache()
+    rows, pairs = docs.collect(), lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    known = {r["doc_id"]: r["text"] or "" for r in rows}
+
+    assert pairs(stage["language"](spark, docs, "")) == Counter((r["doc_id"], r["text"]) for r in rows if any(map(str.isalpha, r["text"] or "")))
+
+    seen, variants, wanted = set(), set(), Counter()
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        left = []
+        for line in (r["text"] or "").split("\n"):
+            w = tuple(line.encode().lower().split())
+            own = {(w[:t], w[t + d :]) for d in (0, 1) for t in range(len(w) + 1 - d)} if len(w) >= 5 else set()
+            if not w or not (w in seen or own & variants):
+                left.append(line)
+            seen.add(w)
+            variants |= own
+        text = None if r["text"] is None else "\n".join(left)
+        if len(left) == len((r["text"] or "").split("\n")) or (text or "").encode().split():
+            wanted[r["doc_id"], text] += 1
+    assert pairs(stage["lines"](spark, docs, "")) == wanted
+
+    sets = {i: shingles(t, 5) for i, t in known.items()}
+    low = closed(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert pairs(stage["near_duplicates"](spark, docs, "")) == Counter((r["doc_id"], r["text"]) for r in rows if low[r["doc_id"]] == r["doc_id"])
+
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix_plan(docs).collect()}
+    mixed = stage["mixing"](spark, docs, "")
+    assert pairs(mixed) == Counter({(r["doc_id"], r["text"]): copies[r["doc_id"]] for r in rows if copies[r["doc_id"]]})
+    assert pairs(stage["pieces"](spark, docs, "")) == pairs(docs)
