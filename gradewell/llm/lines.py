@@ -13,54 +13,50 @@ a coarse variant; a line whose cuts leave less than three chunks is cut finer to
 lines that share a coarse variant emit fine ones, within the shared gap. Equal fine variants are joined to the earliest line that has
 them, never to each other, and the edit distance is verified on the words.
 
-Copies, and lines with an equal fine variant, are aggregated to the earliest before the shuffle and joined back, which Spark can split;
-lines with an equal coarse variant are marked by a window that streams and spills. No group is gathered.
-Null text stays null; empty text stays. A null id sorts first. Rows equal in id and text are one document and keep the same lines."""
+A line's digest is BLAKE2b, 128 bits, over its words in bytes with a space between: lines of equal digests are copies. Keys of variants
+sum hashes of (word, place), with places before the gap counted from the line's first word and those behind it from its last, so
+that no order of words cancels out; they only say which lines to compare, and words decide.
+
+Copies, and lines with an equal coarse or fine variant, are aggregated to the earliest, or to the ends, before the shuffle; the aggregate is
+stored and rows are joined back with it: where it is small it is sent to all tasks, else Spark splits a hot key's rows. No group is gathered.
+
+Null text stays null; empty text stays. A null id sorts first. Rows equal in id and text are one document and keep the same lines; rows that
+repeat an id with other texts are documents of their own. An empty table gives an empty one. Other columns pass unread, whatever their
+names but n_lines, n_dropped and has_text, which are replaced."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from gradewell.llm.common import U64, Words, discard, mix, portions, slices, stored, texts_of
+from gradewell.llm.common import U64, Words, discard, mix, place_of, portions, scratch, slices, stored, texts_of, unused
 
-_B = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-_BINV = pow(_B, -1, 2**64)
+_STRIDE = U64(0x9E3779B97F4A7C15)
 
 
 class Sums:
-    """Hashes of all prefixes and suffixes of lines that stand one after another: sums of word hashes times powers."""
-
-    powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    """Sums over all prefixes and suffixes of lines that stand one after another, of hashes of (word hash, place in the line)."""
 
     def __init__(self, h: np.ndarray, length: np.ndarray):
         self.h, self.length = h, length
         self.begin = np.cumsum(length) - length
         self.line = np.repeat(np.arange(len(length)), length)
-        self.rel = np.arange(len(h)) - self.begin[self.line]
-        most = int(length.max(initial=0)) + 1
-        if most > len(Sums.powers[0]):
-            Sums.powers = tuple(np.r_[U64(1), np.cumprod(np.full(2 * most, U64(b)))] for b in (_B, _BINV))
-        self.total = np.r_[U64(0), np.cumsum(h * Sums.powers[1][self.rel])]
+        rel = np.arange(len(h)) - self.begin[self.line]
+        self.before = np.r_[U64(0), np.cumsum(mix(h + (rel + 1).astype(U64) * _STRIDE))]
+        self.behind = np.r_[U64(0), np.cumsum(mix(h - (length[self.line] - rel).astype(U64) * _STRIDE))]
 
     def key(self, line: np.ndarray, i: np.ndarray, j: np.ndarray, tag: np.ndarray) -> np.ndarray:
         """Of the words before i and from j on, both counted over all lines."""
         begin, end = self.begin[line], self.begin[line] + self.length[line]
-        before = self.total[i] - self.total[begin]
-        behind = (self.total[end] - self.total[j]) * Sums.powers[0][j - begin]
-        return mix(mix(mix(before + (i - begin).astype(U64)) + behind) ^ (end - j).astype(U64)) + tag.astype(U64) * U64(_BINV)
-
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each line."""
-        first = mix(self.total[self.begin + self.length] - self.total[self.begin] + self.length.astype(U64))
-        other = np.r_[U64(0), np.cumsum(mix(self.h ^ U64(0xD6E8FEB86659FD93)) * Sums.powers[1][self.rel])]
-        return first, mix(other[self.begin + self.length] - other[self.begin])
+        before = mix(self.before[i] - self.before[begin] + (i - begin).astype(U64))
+        return mix(mix(before + (self.behind[end] - self.behind[j])) ^ (end - j).astype(U64)) + tag.astype(U64) * _STRIDE
 
 
 def step(n: np.ndarray) -> np.ndarray:
@@ -117,6 +113,21 @@ class Lines:
         self.number = np.searchsorted(feeds, words.begin[first], side="right") - np.searchsorted(feeds, offsets[self.text], side="right")
         self.begin, self.end = words.begin[first], words.end[np.r_[first[1:], len(line)][: len(first)] - 1]
         self.sums = Sums(words.hash, np.diff(np.r_[first, len(line)]))
+        self.folded = words.folded.tobytes()
+        gap = np.r_[words.begin[1:] - words.end[:-1], 1]
+        plain = (gap == 1) & (raw[np.minimum(words.end, len(raw) - 1)] == 32)
+        plain[np.r_[first[1:], len(line)][: len(first)] - 1] = True  # what is behind a line's last word is not between words
+        self.plain = np.logical_and.reduceat(plain, first) if len(first) else np.zeros(0, bool)
+
+    def words(self, k: int) -> bytes:
+        """The words of a line, lower-cased, with one space between."""
+        text = self.folded[self.begin[k] : self.end[k]]
+        return text if self.plain[k] else b" ".join(text.split())
+
+    def digests(self) -> np.ndarray:
+        """Two longs of each line: 128 bits of BLAKE2b."""
+        every = b"".join([blake2b(self.words(k), digest_size=16).digest() for k in range(len(self.begin))])
+        return np.frombuffer(every, np.int64).reshape(-1, 2)
 
 
 def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -124,12 +135,12 @@ def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         raw, offsets = texts_of(batch.column(2))
         for lo, hi in slices(offsets):
             x = Lines(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            h1, h2 = x.sums.whole()
+            digest = x.digests()
             line, key, _, _ = coarse(x.sums, min_words)
             order = np.argsort(line, kind="stable")
-            keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(line, minlength=len(h1)))].astype(np.int32)), pa.array(key[order].view(np.int64)))
+            keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(line, minlength=len(digest)))].astype(np.int32)), pa.array(key[order].view(np.int64)))
             at = pa.array(x.text + lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x.number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), keys], ["doc", "rk", "line", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x.number.astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), keys], ["doc", "rk", "line", "h1", "h2", "keys"])
 
 
 def _spans(i: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -168,7 +179,7 @@ def _fine(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Reco
             order = np.argsort(line, kind="stable")
             some, count = np.unique(line, return_counts=True)
             at = pa.array(x.text[some] + lo)
-            text = [raw[offsets[lo] + b : offsets[lo] + e].tobytes().lower() for b, e in zip(x.begin[some].tolist(), x.end[some].tolist(), strict=True)]
+            text = [x.words(k) for k in some.tolist()]
             fine = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(fine[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x.number[some].astype(np.int32)), pa.array(text, pa.binary()), fine], ["doc", "rk", "line", "words", "fine"])
 
@@ -203,41 +214,50 @@ def _rebuild(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBa
 
 def dropped_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, rk, line, near): the lines that go; line counts from 0, rk is a hash of id and text, near tells a near copy from an exact one."""
+    with scratch() as keep:
+        return keep(stored(_dropped_lines(docs, min_words, id_col, text_col), "dropped"))
+
+
+def _dropped_lines(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
     lines = stored(src.mapInArrow(lambda it: _lines(it, min_words), f"doc {kind}, rk long, line int, h1 long, h2 long, keys array<long>"), "lines")
-    firsts = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "rk", "line")).alias("a"), F.count("*").alias("many")), "firsts")
-
-    one_key = Window.partitionBy("key")  # streams through a key's rows and spills; only ids, no texts
-    keys = lines.select("h1", F.explode("keys").alias("key"))
-    shared = keys.withColumns({"h0": F.min("h1").over(one_key), "h9": F.max("h1").over(one_key)}).where("h0 < h9").select("key", "h1").distinct()
-    wanted = shared.groupBy("h1").agg(F.collect_list("key").alias("keys")).join(firsts.select("h1", "a.*"), "h1")
+    place = F.struct("doc", "rk", "line")
+    firsts = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.count("*").alias("many")), "firsts")
+
+    # a line is its first copy: h1 and h2 name it, both to join, one to tell whether a key has several lines
+    keys = lines.select("h1", "h2", F.explode("keys").alias("key"))
+    shared = stored(keys.groupBy("key").agg(F.min("h1").alias("h0"), F.max("h1").alias("h9")).where("h0 < h9").select("key"), "shared")
+    wanted = keys.join(shared, "key").distinct().groupBy("h1", "h2").agg(F.collect_list("key").alias("keys"))
+    wanted = wanted.join(firsts.select("h1", "h2", "a.*"), ["h1", "h2"])
     wanted = wanted.groupBy(F.col("doc").alias("d"), F.col("rk").alias("k")).agg(F.collect_list(F.struct("line", "keys")).alias("wanted"))
     wanted = stored(wanted, "wanted")
+    discard(shared)
     same_doc = (F.col("rk") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d"))
-    near = stored(src.join(wanted, same_doc).select("doc", "rk", "text", "wanted").mapInArrow(lambda it: _fine(it, min_words), f"doc {kind}, rk long, line int, words binary, fine array<long>"), "near")
+    asked = src.join(wanted, same_doc).select("doc", "rk", "text", "wanted")
+    near = stored(asked.mapInArrow(lambda it: _fine(it, min_words), f"doc {kind}, rk long, line int, words binary, fine array<long>"), "near")
 
     fine = near.select("doc", "rk", "line", F.explode("fine").alias("key"))
-    earliest = fine.groupBy("key").agg(F.min(F.struct("doc", "rk", "line")).alias("a"), F.max(F.struct("doc", "rk", "line")).alias("z")).where("a < z").select("key", "a")
-    pairs = fine.join(earliest, "key").where(F.struct("doc", "rk", "line") > F.col("a")).select("doc", "rk", "line", "a").distinct()
-    texts = near.select(F.struct("doc", "rk", "line").alias("s"), "words").dropDuplicates(["s"])
-    checked = pairs.join(texts.select(F.col("s").alias("a"), F.col("words").alias("of_a")), "a").withColumn("s", F.struct("doc", "rk", "line")).join(texts, "s")
+    earliest = stored(fine.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a < z").select("key", "a"), "earliest")
+    pairs = stored(fine.join(earliest, "key").where(place > F.col("a")).select("doc", "rk", "line", "a").distinct(), "pairs")
+    discard(earliest)
+    texts = near.select(place.alias("s"), "words").dropDuplicates(["s"])
+    checked = pairs.join(texts.select(F.col("s").alias("a"), F.col("words").alias("of_a")), "a").withColumn("s", place).join(texts, "s")
     gone = checked.select("doc", "rk", "line", "words", "of_a").mapInArrow(_verify, f"doc {kind}, rk long, line int").distinct().withColumn("near", F.lit(True))
 
-    first = firsts.where("many > 1").select("h1", "h2", "a")
-    copies = lines.select("doc", "rk", "line", "h1", "h2").join(first, ["h1", "h2"]).where(F.struct("doc", "rk", "line") > F.col("a")).select("doc", "rk", "line", F.lit(False).alias("near"))
+    first = stored(firsts.where("many > 1").select("h1", "h2", "a"), "first")
+    copies = lines.select("doc", "rk", "line", "h1", "h2").join(first, ["h1", "h2"]).where(place > F.col("a")).select("doc", "rk", "line", F.lit(False).alias("near"))
     # a copy of a line that goes as a near copy is behind it, so it goes as a copy
-    out = stored(gone.union(copies), "dropped")
-    discard(lines, firsts, wanted, near)
-    return out
+    return gone.union(copies)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines that stay as their text, and n_lines, n_dropped and has_text (something but white space is left);
     columns of docs with these names are replaced."""
     own = docs.drop("n_lines", "n_dropped", "has_text")
-    drop = dropped_lines(own, min_words, id_col, text_col).groupBy(F.col("doc").alias("__doc"), F.col("rk").alias("__rk")).agg(F.collect_set("line").alias("__lines"))
-    joined = own.join(drop, (F.xxhash64(id_col, text_col) == F.col("__rk")) & F.col(id_col).eqNullSafe(F.col("__doc")), "left").select(*own.columns, "__lines")
-    at = own.columns.index(text_col)
+    doc, rk, lines = (unused(name, own) for name in ("doc_of", "rk_of", "lines_of"))
+    drop = dropped_lines(own, min_words, id_col, text_col).groupBy(F.col("doc").alias(doc), F.col("rk").alias(rk)).agg(F.collect_set("line").alias(lines))
+    joined = own.join(drop, (F.xxhash64(id_col, text_col) == F.col(rk)) & F.col(id_col).eqNullSafe(F.col(doc)), "left").select(*own.columns, lines)
+    at = place_of(text_col, own)
     schema = StructType([*own.schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("has_text", BooleanType())])
     return joined.mapInArrow(lambda it: _rebuild(it, at), schema)

@@ -7,14 +7,15 @@ target / size. A document is taken floor(rate) times, and once more if a hash of
 rest of the rate. Reruns agree, and no document is taken more than ceil(rate) <= ceil(cap) times.
 
 Null text or source: 0 words; null is a source of its own, ranked last. A source without words has target 0 and rate 0. Rows that
-repeat an id are taken alike. An empty table gives an empty one. Sizes are longs, the level is one double division."""
+repeat an id are taken alike. An empty table gives an empty one. Sizes are longs, the level is one double division. A plan adds columns
+and replaces those of docs that have their names; the mix has the columns of docs as they are, whatever their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import WORD
+from gradewell.llm.common import WORD, unused
 
 #: Name of the columns that mix_plan() adds.
 PLAN = ("size", "source_size", "target", "rate", "copies", "taken")
@@ -43,23 +44,27 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
     weights: of the sources in code point order, repeated as often as needed; share: of all words, what the mix takes.
     The only shuffle is of one partial sum for each source and task."""
-    own = [c for c in docs.columns if c not in PLAN]
+    own = [c for c in docs.columns if c.lower() not in PLAN]
+    of = unused("source_of", docs)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = docs.select(F.col(source_col).alias("source"), size.alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
-    targets = source_targets(sizes, weights, share, cap).select(F.col("source").alias("__source"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+    targets = source_targets(sizes, weights, share, cap).select(F.col("source").alias(of), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"{of}_0").cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     return (
-        docs.select(*own).withColumn("size", size)
-        .join(targets, F.col(source_col).eqNullSafe(F.col("__source")))
-        .drop("__source")
+        docs.select(*own, size.alias("size"), *[F.col(c).alias(f"{of}_{k}") for k, c in enumerate((id_col, source_col))])
+        .join(targets, F.col(f"{of}_1").eqNullSafe(F.col(of)))
         .withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
         .withColumn("taken", F.col("size") * F.col("copies"))
+        .drop(of, f"{of}_0", f"{of}_1")
     )
 
 
-def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as it is taken."""
-    return mix_plan(docs, **options).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", number: str | None = None, **options) -> DataFrame:
+    """The mix itself: the columns of docs, each row as often as it is taken. number: a column to add, the copy's number from 1."""
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    plan = mix_plan(packed, id_col="id", text_col="text", source_col="source", **options).where("copies > 0")
+    copies = plan.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return copies.select("row.*", *([F.col("copy").alias(number)] if number else []))
 
 
 ORACLE = r"""

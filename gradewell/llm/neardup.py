@@ -6,18 +6,22 @@ them with probability 1.6e-5 (0.9: 4e-9). Shared keys are only candidates:
 
 1. Documents with equal shingle sets become one class, kept by its smallest id.
 2. In each table entry that several classes share, every class is compared with the smallest and the largest id there, unless their
-   sizes differ too much: no entry's pairs are all written out, however many rows it has, and its rows meet in joins that Spark can split, never in a group.
+   sizes differ too much: no entry's pairs are all written out, however many rows it has. Ends of entries, components and their sizes
+   are aggregates that combine before they are shuffled; they are stored before rows are joined with them, so a small one is sent to all
+   tasks, and with a large one a hot key's rows are in a plain shuffle that Spark splits.
 3. Links found so far make components. Where an entry still holds classes of several components, pairs between these remain. A pair
    can't reach the threshold if sizes differ too much; if its Jaccard distances to the entry's smallest or largest id, where
    step 2 has computed them, differ by more than the threshold's distance (the triangle inequality); or if too few of its shingles are
    left in its intersection with the smallest id and in documents that are still open, as no others can be in the pair's. Only what is left is compared.
 
 So no candidate that could join two components goes uncompared. Comparison is exact: intersections of the sets of 64-bit shingle
-hashes, of all words of the texts. Rows: one for each row of docs, with doc_id, n_shingles, component_id (smallest id reachable,
+hashes, of all words of the texts (a word's hash is XXH64's rounds over its bytes, a shingle's chains those of its words; two different
+shingles of a pair are taken for equal with probability 2^-64). Rows: one for each row of docs, with doc_id, n_shingles, component_id (smallest id reachable,
 itself included) and kept (doc_id is component_id).
 
 Null, empty or wordless text: 0 shingles, no links, kept. Null id: no links, component null, kept. Rows that repeat an id count as one
-document: they share its component, and it is linked if any of them is. Other columns of docs are not read."""
+document: they share its component, and it is linked if any of them is. Other columns of docs, of whatever names, are not read. An
+empty table gives an empty one. A text of any length is one set; tiles are cut by the shingles that they hold as well as by documents."""
 
 from __future__ import annotations
 
@@ -29,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import U64, Words, components, discard, mix, portions, slices, stored, texts_of, windows
+from gradewell.llm.common import U64, Words, components, discard, mix, portions, scratch, slices, stored, texts_of, windows
 
 TILE = 256  # documents on a side of a tile
 GROUP = 2000  # documents, about, whose tiles are compared in one call
+ROOM = 4_000_000  # shingles, about, of the documents of one call, and half of them on a side of a tile; one document may have more
 BROADCAST_IDS = 500_000  # ids that may be sent to every task; more are joined by shuffling
 SALTS = 64  # parts into which the comparisons with one document fall
 
@@ -106,15 +111,15 @@ def _tile(table: pa.Table, num: int, den: int) -> pa.Table:
         ox, oy = (np.repeat(np.arange(len(z)), size[z]) for z in (x, y))
         kx, ky = np.searchsorted(both, fx), np.searchsorted(both, fy)
         hx, hy = (both[np.minimum(k, len(both) - 1)] == f if len(both) else np.zeros(len(f), bool) for k, f in ((kx, fx), (ky, fy)))
-        same = np.zeros((len(x), len(y)), np.float32)  # exact: below 2^24
+        same = np.zeros((len(x), len(y)), np.int64)
         for lo in range(0, len(both), 8192):
             mx, my = (np.zeros((len(z), min(8192, len(both) - lo)), np.float32) for z in (x, y))
             for m, o, k, h in ((mx, ox, kx, hx), (my, oy, ky, hy)):
                 part = h & (k >= lo) & (k < lo + 8192)
                 m[o[part], k[part] - lo] = 1
-            same += mx @ my.T
-        total = size[x][:, None] + size[y][None, :] - same.astype(np.int64)
-        link = same.astype(np.int64) * den >= total * num
+            same += (mx @ my.T).astype(np.int64)
+        total = size[x][:, None] + size[y][None, :] - same
+        link = same * den >= total * num
         some = np.flatnonzero(link.any(1))
         a.append(x[some])
         b.append(y[link[some].argmax(1)])
@@ -122,54 +127,64 @@ def _tile(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
 
 
-def _tiled(asks: DataFrame, asked: DataFrame, sets: DataFrame, num: int, den: int, kind: str) -> DataFrame:
-    """Documents (id) against all of a component (to), in tiles of about TILE by TILE; tiles are dealt out in groups of bounded size."""
-    parts = lambda df, name: df.groupBy("to").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
-    cuts = parts(asks, "nx").join(parts(asked, "ny"), "to")
-    x = asks.join(cuts, "to").select("id", "to", F.pmod(F.xxhash64("id"), "nx").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"), F.lit(True).alias("asks"))
-    y = asked.join(cuts, "to").select("id", "to", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(F.xxhash64("id"), "ny").alias("by"), F.lit(False).alias("asks"))
-    rows = stored(x.union(y.select(x.columns)).select("id", "asks", F.xxhash64("to", "bx", "by").alias("tile")), "tiles")
-    groups = max(1, rows.count() // GROUP)
+def _tiled(asks: DataFrame, asked: DataFrame, weight: DataFrame, sets: DataFrame, num: int, den: int, kind: str) -> DataFrame:
+    """Documents (id) against all of a component (to), in tiles of TILE by TILE documents or less; tiles are dealt out in groups that are
+    bounded by documents and by shingles. weight: (id, n)."""
+    asks, asked = (stored(x.join(weight, "id"), "weighed") for x in (asks, asked))
+    parts = lambda df, name: df.groupBy("to").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / (ROOM // 2))).cast("int").alias(name))
+    cuts = stored(parts(asks, "nx").join(parts(asked, "ny"), "to"), "cuts")
+    x = asks.join(cuts, "to").select("id", "n", "to", F.pmod(F.xxhash64("id"), "nx").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"), F.lit(True).alias("asks"))
+    y = asked.join(cuts, "to").select("id", "n", "to", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(F.xxhash64("id"), "ny").alias("by"), F.lit(False).alias("asks"))
+    rows = stored(x.union(y.select(x.columns)).select("id", "n", "asks", F.xxhash64("to", "bx", "by").alias("tile")), "tiles")
+    count, shingles = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    groups = max(1, count // GROUP, shingles // ROOM)
     dealt = rows.join(sets, "id").select("tile", "asks", "id", "set", F.pmod("tile", F.lit(groups)).alias("g"))
     return stored(dealt.groupBy("g").applyInArrow(lambda t: _tile(t, num, den), f"a {kind}, b {kind}"), "more")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8", m: int = 14, r: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """similarity: a decimal number, taken exactly."""
-    least = Fraction(similarity)
+    with scratch() as keep:
+        return keep(stored(_near_duplicates(docs, shingle, Fraction(similarity), m, r, id_col, text_col), "near-duplicates"))
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, least: Fraction, m: int, r: int, id_col: str, text_col: str) -> DataFrame:
     num, den = least.numerator, least.denominator
     linked = F.col("same") * F.lit(den) >= F.col("total") * F.lit(num)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(src.mapInArrow(lambda it: _sign(it, shingle, m, r), f"doc_id {kind}, n_shingles long, s1 long, s2 long, u array<long>"), "signed")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = stored(some.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "u")).alias("x")).select(F.col("x.doc_id").alias("id"), "s1", "s2", F.col("n_shingles").alias("n"), F.col("x.u").alias("u")), "reps")
+    one = F.min(F.struct("doc_id", "u")).alias("x")
+    reps = stored(some.groupBy("s1", "s2", "n_shingles").agg(one).select(F.col("x.doc_id").alias("id"), "s1", "s2", F.col("n_shingles").alias("n"), F.col("x.u").alias("u")), "reps")
 
     # table entries that several classes share
     tables = F.expr(f"flatten(transform(sequence(0, {m - 2}), i -> transform(sequence(i + 1, {m - 1}), j -> xxhash64(i, j, u[i], u[j]))))")
     keys = reps.select("id", "n", F.explode(tables).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    shared = stored(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "shared")
     entries = stored(keys.join(shared, "key"), "entries")
+    discard(shared)
     ends = entries.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(entries.select(F.col("hi").alias("a"), F.col("id").alias("b"))).where("a != b")
     pairs = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sizes = lambda end: reps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
     fit = F.least("n_a", "n_b") * F.lit(den) >= F.greatest("n_a", "n_b") * F.lit(num)
-    pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(fit).select("a", "b").distinct()
-    pairs = stored(pairs, "pairs")
+    pairs = stored(pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(fit).select("a", "b").distinct(), "pairs")
 
     wanted = stored(entries.select("id").distinct(), "wanted")
     sets = stored(src.join(_sent(wanted), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lambda it: _sets(it, shingle), f"id {kind}, set array<long>"), "sets")
-    known = stored(compared(pairs, sets).groupBy("a", "b").agg(F.max(F.struct((F.col("same") / F.col("total")).alias("s"), "same", "total")).alias("x")).select("a", "b", "x.same", "x.total"), "known")
+    most = F.max(F.struct((F.col("same") / F.col("total")).alias("s"), "same", "total")).alias("x")
+    known = stored(compared(pairs, sets).groupBy("a", "b").agg(most).select("a", "b", "x.same", "x.total"), "known")
     links = known.where(linked).select("a", "b")
     found = components(links)
 
     # entries with several components: what step 2 leaves open
     member = entries.join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    mixed = member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    mixed = stored(member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "mixed")
     distance = known.select("a", "b", "same", (1 - F.col("same") / F.col("total")).alias("d"))
     to_lo = distance.select(F.col("a").alias("lo"), F.col("b").alias("id"), F.col("d").alias("d_lo"), F.col("same").alias("s_lo"))
     to_hi = distance.select(F.col("b").alias("hi"), F.col("a").alias("id"), F.col("d").alias("d_hi"))
-    inner = member.join(mixed, "key").where("id != lo AND id != hi").join(to_lo, ["lo", "id"], "left").join(to_hi, ["hi", "id"], "left").select("key", "lo", "hi", "id", "n", "c", "d_lo", "s_lo", "d_hi")
+    inner = member.join(mixed, "key").where("id != lo AND id != hi")
+    inner = inner.join(to_lo, ["lo", "id"], "left").join(to_hi, ["hi", "id"], "left").select("key", "lo", "hi", "id", "n", "c", "d_lo", "s_lo", "d_hi")
     # an id of several texts has no single distance and no shingles of its own: bounds that rest on these don't hold for it
     several = stored(reps.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("several")), "several")
     loose = F.lit(False)
@@ -180,44 +195,50 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: str = "0.8",
         inner = inner.withColumns({c: F.when(~any_, F.col(c)) for c in ("d_lo", "s_lo", "d_hi")}).drop("loose_lo", "loose_hi")
         loose = F.coalesce("loose_id", F.lit(False))
     inner = stored(inner.drop("hi"), "inner")
-    steps = [wanted, inner, several]
     for _ in range(3):  # what the first round closes leaves more shingles alone
         open_ids = stored(inner.select("id").union(inner.select(F.col("lo").alias("id"))).distinct(), "ids")
-        steps.append(open_ids)
         open_sets = sets.join(_sent(open_ids), "id", "left_semi")
-        alone = open_sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count("*").alias("alone"))
-        inner = inner.drop("e").join(alone, "id", "left").withColumn("e", F.col("n") - F.when(loose, F.lit(0)).otherwise(F.coalesce("alone", F.lit(0)))).drop("alone").where(F.col("e") * F.lit(den) >= F.col("n") * F.lit(num))
-        inner = stored(inner, "inner")
-        steps.append(inner)
+        once = open_sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z")
+        alone = once.groupBy("id").agg(F.count("*").alias("alone"))
+        left = F.col("n") - F.when(loose, F.lit(0)).otherwise(F.coalesce("alone", F.lit(0)))
+        last, inner = inner, stored(inner.drop("e").join(alone, "id", "left").withColumn("e", left).drop("alone").where(F.col("e") * F.lit(den) >= F.col("n") * F.lit(num)), "inner")
+        discard(last, open_ids)
     # a document of one component and a component that it meets in an entry: the smaller component asks
-    size = inner.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("size"))
+    size = stored(inner.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("size")), "size")
     inner = stored(inner.join(size, "c"), "open")
+
     def asking(where: str, rows: DataFrame, big: bool) -> DataFrame:
         """Documents and components that meet at `where` and may hold a link."""
-        ranges = rows.where("size > 1" if big else "size = 1").groupBy(where, F.col("c").alias("to")).agg(
+        edges = [
+            f(F.coalesce(d, F.lit(edge))).alias(name)
+            for d, low, high in (("d_lo", "lo0", "lo1"), ("d_hi", "hi0", "hi1"))
+            for f, edge, name in ((F.min, 0.0, low), (F.max, 1.0, high))
+        ]
+        ranges = stored(rows.where("size > 1" if big else "size = 1").groupBy(where, F.col("c").alias("to")).agg(
             F.max("size").alias("to_size"), F.min("n").alias("to_n"), F.max("n").alias("to_most"), F.max("e").alias("to_e"),
-            F.max(F.coalesce("s_lo", "n")).alias("to_s"), F.max(F.col("e") - F.coalesce("s_lo", F.lit(0))).alias("to_v"), *[f(F.coalesce(d, F.lit(edge))).alias(name) for d, low, high in (("d_lo", "lo0", "lo1"), ("d_hi", "hi0", "hi1")) for f, edge, name in ((F.min, 0.0, low), (F.max, 1.0, high))],
-        )
-        near = lambda d, low, high: F.col(d).isNull() | ((F.col(d) >= F.col(low) - far) & (F.col(d) <= F.col(high) + far))
+            F.max(F.coalesce("s_lo", "n")).alias("to_s"), F.max(F.col("e") - F.coalesce("s_lo", F.lit(0))).alias("to_v"), *edges,
+        ), "ranges")
         far = F.lit(float(1 - least) + 1e-9)
+        near = lambda d, low, high: F.col(d).isNull() | ((F.col(d) >= F.col(low) - far) & (F.col(d) <= F.col(high) + far))
+        needed = (F.col("n") + F.col("to_n")) * F.lit(num)
         return rows.join(
             ranges,
             (rows[where] == ranges[where]) & ((F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("c") > F.col("to"))))
             & (F.col("n") * F.lit(den) >= F.col("to_n") * F.lit(num)) & (F.col("to_most") * F.lit(den) >= F.col("n") * F.lit(num))
-            & (F.least("e", "to_e") * F.lit(den + num) >= (F.col("n") + F.col("to_n")) * F.lit(num))
+            & (F.least("e", "to_e") * F.lit(den + num) >= needed)
             # what both share with the smallest id, and what they may share beside it
-            & (F.col("s_lo").isNull() | ((F.least("s_lo", "to_s") + F.least(F.col("e") - F.col("s_lo"), F.col("to_v"))) * F.lit(den + num) >= (F.col("n") + F.col("to_n")) * F.lit(num)))
+            & (F.col("s_lo").isNull() | ((F.least("s_lo", "to_s") + F.least(F.col("e") - F.col("s_lo"), F.col("to_v"))) * F.lit(den + num) >= needed))
             & near("d_lo", "lo0", "lo1") & (F.lit(True) if big else near("d_hi", "hi0", "hi1")),
-        ).select("id", "to")
+        ).select("id", "to")
 
     # with components of several, wherever both are known from the same smallest id: an entry's documents are, and it is asked once
     by_lo = inner.select("lo", "id", "n", "e", "c", "size", "d_lo", "s_lo", F.lit(None).cast("double").alias("d_hi")).distinct()
-    asks = asking("lo", by_lo, True).union(asking("key", inner.where("size = 1"), False)).distinct()
-    asks, asked = stored(asks, "asks"), stored(inner.select("id", F.col("c").alias("to")).distinct(), "asked")
-    more = _tiled(asks, asked.join(asks.select("to").distinct(), "to", "left_semi"), sets, num, den, kind)
+    asks = stored(asking("lo", by_lo, True).union(asking("key", inner.where("size = 1"), False)).distinct(), "asks")
+    asked = inner.select("id", F.col("c").alias("to")).distinct().join(asks.select("to").distinct(), "to", "left_semi").select("id", "to")
+    more = _tiled(asks, asked, reps.groupBy("id").agg(F.sum("n").alias("n")), sets, num, den, kind)
     found = components(links.union(more))
-    discard(entries, pairs, sets, known, *steps, inner, asks, asked)
 
     group = reps.join(found, "id", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("c"))
-    own = signed.join(group, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id")
+    own = signed.join(group, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", component)
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -35,6 +35,7 @@ class PieceTable:
         pairs.sort()
         self.pair = np.array([x for x, _ in pairs] or [-1], np.int64)
         self.merged = np.array([x for _, x in pairs] or [v], np.int64)
+        self.near = np.array(sorted({ord(a) << 21 | ord(b) for p in self.id_of for a, b in zip(p, p[1:], strict=False)}) or [-1], np.int64)
         chars = sorted((ord(p), i) for p, i in self.id_of.items() if len(p) == 1)
         self.char = np.array([c for c, _ in chars] or [-1], np.int64)
         self.char_id = np.array([i for _, i in chars] or [v], np.int64)
@@ -83,6 +84,12 @@ class PieceTable:
             on = on[~hit & (there >= 0)]
         return out
 
+    def apart(self, code: np.ndarray) -> np.ndarray:
+        """Places before which a text of these characters can be cut: no piece has the two characters there side by side."""
+        key = code[:-1] << 21 | code[1:]
+        at = np.minimum(np.searchsorted(self.near, key), len(self.near) - 1)
+        return np.flatnonzero(self.near[at] != key) + 1
+
     def merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two neighbours make, or size where there is none."""
         key = left * (self.size + 1) + right

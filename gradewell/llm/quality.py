@@ -9,7 +9,9 @@ Labelled rows are at most `sample` of each label, those whose ids hash lowest, s
 
 Null, empty or wordless text has no direction: its score is the share of label 1 among labelled rows. Ties among neighbours go to the
 one whose id hashes lower. Without labelled rows of both kinds the score is the share of label 1 (0.5 without any). Texts are read
-whole; rows that repeat an id are scored one by one."""
+whole; rows that repeat an id are scored one by one. A labelled id with several texts is learned by the text that hashes lowest, one with
+several labels by the largest. Columns of docs pass unread, whatever their names but quality_score, which is replaced; an empty table
+gives an empty one."""
 
 from __future__ import annotations
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gradewell.llm.common import held_out, portions
+from gradewell.llm.common import held_out, place_of, portions
 
 WORDS, SHAPES, STYLE = 3072, 960, 64
 FEATURES = WORDS + SHAPES + STYLE
@@ -73,16 +75,36 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(rows, at, strict=True)], pa.binary())], ["h", "y", "at", "n"])
 
 
+def lowest(known: DataFrame, most: int, rows: int) -> DataFrame:
+    """The `most` of `rows` distinct ids that hash lowest. What can't be among them is left out before anything is sorted in one place."""
+    share = min(1.0, (2 * most + 1000) / rows)  # twice as many as are wanted: fewer than wanted don't come up
+    upto = F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)
+    return known.where(F.xxhash64("id") <= upto).orderBy(F.xxhash64("id"), "id").limit(most)
+
+
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest of each row; of equal ones the first."""
+    k = min(k, cos.shape[1])
+    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cos, near, 1).min(1, keepdims=True)
+    for r in np.flatnonzero((cos >= least).sum(1) > k):
+        near[r] = np.argsort(-cos[r], kind="stable")[:k]
+    return near
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, dims: int = 48, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
     """The model: idf, projection, labelled latent vectors with their votes, and the share of label 1."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).groupBy("__id").agg(F.max("y").alias("y"))
+    label, id_ = F.col(label_col), F.col(id_col)
+    known = labels.where(label.isin(0, 1) & id_.isNotNull() & ~held_out(id_col)).select(id_.alias("id"), label.cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
     share = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     base = (share.get(1, 0) / sum(share.values())) if share else 0.5
     if len(share) < 2:
         return {"base": base}
-    chosen = known.where("y = 0").orderBy(F.xxhash64("__id"), "__id").limit(sample).union(known.where("y = 1").orderBy(F.xxhash64("__id"), "__id").limit(sample))
-    found = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.xxhash64("__id").alias("h"), "y", F.col(text_col).alias("text"))
-    rows = sorted(found.mapInArrow(_sparse, "h long, y int, at binary, n binary").collect())[: 2 * sample]  # bounded by the sample
+    chosen = lowest(known.where("y = 0"), sample, share[0]).union(lowest(known.where("y = 1"), sample, share[1]))
+    texts = docs.select(id_.alias("of"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("of") == F.col("id"))
+    least = F.min(F.struct(F.xxhash64("text").alias("t"), "text")).getField("text").alias("text")
+    found = texts.groupBy(F.xxhash64("id").alias("h"), "id", "y").agg(least).select("h", "y", "text")
+    rows = sorted(found.mapInArrow(_sparse, "h long, y int, at binary, n binary").collect())  # a row for each of the sample
     if len({r["y"] for r in rows}) < 2:
         return {"base": base}
     counts = np.zeros((len(rows), FEATURES), np.float32)
@@ -103,10 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, dims: int = 48
     return {"base": base, "idf": idf, "v": v.astype(np.float32), "z": z.astype(np.float32), "y": y, "vote": vote}
 
 
-def _score(batches: Iterator[pa.RecordBatch], m: dict, k: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], at: int, m: dict, k: int) -> Iterator[pa.RecordBatch]:
     seen = Features()
     for batch in portions(batches):
-        texts = batch.column(batch.num_columns - 1).to_pylist()
+        texts = batch.column(at).to_pylist()
         score = np.full(len(texts), m["base"])
         for lo in range(0, len(texts) if "z" in m else 0, 256):
             counts = np.stack([seen.counts(t) for t in texts[lo : lo + 256]])
@@ -114,10 +136,10 @@ def _score(batches: Iterator[pa.RecordBatch], m: dict, k: int) -> Iterator[pa.Re
             x = weigh(counts, m["idf"]) @ m["v"]
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
             cos = x @ m["z"].T
-            near = np.argpartition(-cos, min(k, cos.shape[1]) - 1, axis=1)[:, :k]
+            near = nearest(cos, k)
             w = np.maximum(np.take_along_axis(cos, near, 1), 1e-6).astype(np.float64) ** 4 * m["vote"][near]
             score[lo : lo + 256] = np.where(some, (w * m["y"][near]).sum(1) / w.sum(1), m["base"])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(score, 0.0, 1.0))], [*batch.schema.names[:-1], "quality_score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(score, 0.0, 1.0))], [*batch.schema.names, "quality_score"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, k: int = 15, text_col: str = "text", model: dict | None = None, **training) -> DataFrame:
@@ -125,4 +147,5 @@ def classify(docs: DataFrame, labels: DataFrame, k: int = 15, text_col: str = "t
     m = model or train(docs, labels, text_col=text_col, **training)
     sent = docs.sparkSession.sparkContext.broadcast(m)
     own = docs.drop("quality_score")
-    return own.select(*own.columns, F.col(text_col).alias("__text")).mapInArrow(lambda it: _score(it, sent.value, k), StructType([*own.schema, StructField("quality_score", DoubleType())]))
+    at = place_of(text_col, own)
+    return own.mapInArrow(lambda it: _score(it, at, sent.value, k), StructType([*own.schema, StructField("quality_score", DoubleType())]))

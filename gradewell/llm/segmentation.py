@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from gradewell.llm.common import U64, mix
+from gradewell.llm.common import U64, mix, unused
 from gradewell.llm.pieces import PieceTable, model_path, parts_of, piece_table
 
 EDGES = 1_500_000  # lattice edges a worker remembers
@@ -207,13 +207,18 @@ def decode_batches(batches: Iterator[pa.RecordBatch], path: str, at: int, name:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", alpha: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `pieces`, an array of ids; no shuffle. A column of docs named `pieces` is replaced. Rows of one key and text get the same pieces."""
+def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", alpha: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
+    """docs with `pieces`, an array of ids; no shuffle. A column of docs named `pieces` is replaced, others pass whatever their names.
+    Rows of one key and text get the same pieces, unless copy_col numbers them: copies get pieces of their own, the first those without a
+    number. An empty table gives an empty one."""
     path = model if "/" in model else model_path(model)
-    rest = [c for c in docs.columns if c not in ("pieces", text_col)]
-    src = docs.select(*rest, text_col, F.col(id_col).cast("string").alias("__key"))
+    rest = [c for c in docs.columns if c.lower() not in ("pieces", text_col.lower())]
+    key = F.col(id_col).cast("string")
+    if copy_col:
+        key = F.when(F.col(copy_col) > 1, F.concat_ws("#", F.coalesce(key, F.lit("None")), F.col(copy_col).cast("string"))).otherwise(key)
+    src = docs.select(*rest, text_col, key.alias(unused("key_of", docs)))
     schema = StructType([*src.schema[:-1], StructField("pieces", ArrayType(IntegerType()))])
-    return src.mapInArrow(lambda it: encode_batches(it, path, alpha, seed), schema).select(*[c for c in docs.columns if c != "pieces"], "pieces")
+    return src.mapInArrow(lambda it: encode_batches(it, path, alpha, seed), schema).select(*[c for c in docs.columns if c.lower() != "pieces"], "pieces")
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", name: str = "decoded") -> DataFrame:

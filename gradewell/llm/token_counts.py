@@ -1,10 +1,12 @@
 """Token counts: byte-fallback BPE by rank-synchronous merging of ragged arrays.
 
-Distinct pre-tokens of a batch stand one after another in one flat array of symbols. In each round every sequence applies its
-lowest-ranked pair, all sequences at once; sequences without a pair leave. What survives is counted. Counts of pre-tokens are kept
-in a bounded cache of the Python worker, so common words are merged once.
+Distinct pre-tokens of a batch stand one after another in one flat array of symbols. Between two characters that no piece
+has side by side no merge can happen, so a pre-token is as many sequences as it has such places. In each round every sequence applies its
+lowest-ranked pair, all sequences at once, and the ranks beside what was merged are looked up again; sequences without a pair leave. What
+survives is counted. Counts of pre-tokens are kept in a bounded cache of the Python worker, so common words are merged once.
 
-Null or empty text: 0 bytes, 0 tokens. A text of any length is counted whole; a long run without spaces is one long sequence."""
+Null or empty text: 0 bytes, 0 tokens. A text of any length is counted whole; a run without spaces may be one long sequence. Rows that
+repeat an id are counted one by one. Other columns are not read, whatever their names; an empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -37,47 +39,56 @@ def merged_lengths(table: PieceTable, parts: list[str]) -> np.ndarray:
 
 def _merge(table: PieceTable, parts: list[str]) -> np.ndarray:
     none = table.size
+    never = table.rank[none]
     length = np.fromiter(map(len, parts), np.int64, len(parts))
     code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    seq = np.repeat(np.arange(len(parts)), length)
+    part = np.repeat(np.arange(len(parts)), length)
     at = np.minimum(np.searchsorted(table.char, code), len(table.char) - 1)
     sym = np.where(table.char[at] == code, table.char_id[at], none)
     width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-    out = np.bincount(seq, np.where(sym == none, width, 0), len(parts)).astype(np.int64)  # bytes of characters without a piece; these never merge
+    out = np.bincount(part, np.where(sym == none, width, 0), len(parts)).astype(np.int64)  # bytes of characters without a piece; these never merge
+    new = np.zeros(len(code), bool)
+    new[table.apart(code) if len(code) else []] = True
+    new[1:] |= part[1:] != part[:-1]
+    seq = np.cumsum(new)
+    of = part[np.flatnonzero(np.r_[True, new[1:]])] if len(code) else part
+    whole = np.bincount(seq[sym != none], minlength=len(of)) if len(code) else np.zeros(0, np.int64)  # symbols left of each sequence
+    m = np.full(len(sym), none, np.int64)
+    m[:-1] = np.where(seq[:-1] == seq[1:], table.merge_of(sym[:-1], sym[1:]), none)
+    rank = table.rank[m]
     while len(sym) > 1:
-        m = np.full(len(sym), none, np.int64)
-        m[:-1] = np.where(seq[:-1] == seq[1:], table.merge_of(sym[:-1], sym[1:]), none)
-        rank = table.rank[m]
         first = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
         low = np.minimum.reduceat(rank, first)
         size = np.diff(np.r_[first, len(seq)])
-        live = low < table.rank[none]
+        live = low < never
         if not live.any():
             break
-        here = (rank == np.repeat(low, size)) & (m != none)
         # in a run of overlapping pairs every second one is free
-        p = np.flatnonzero(here)
+        p = np.flatnonzero((rank == np.repeat(low, size)) & (rank < never))
         run = np.maximum.accumulate(np.where(np.r_[True, np.diff(p) > 1], np.arange(len(p)), 0))
         p = p[(np.arange(len(p)) - run) % 2 == 0]
         # in order, up to the first whose merge makes a pair that goes before its own rank
-        new, own = m[p], rank[p]
+        made, own = m[p], rank[p]
         left = np.where((p > 0) & (seq[np.maximum(p - 1, 0)] == seq[p]), sym[np.maximum(p - 1, 0)], none)
-        left = np.where(np.r_[False, (np.diff(p) == 2) & (seq[p[1:]] == seq[p[:-1]])], np.r_[none, new[:-1]], left)
+        left = np.where(np.r_[False, (np.diff(p) == 2) & (seq[p[1:]] == seq[p[:-1]])], np.r_[none, made[:-1]], left)
         after = np.minimum(p + 2, len(sym) - 1)
         right = np.where((p + 2 < len(sym)) & (seq[after] == seq[p]), sym[after], none)
-        early = (table.rank[table.merge_of(left, new)] <= own) | (table.rank[table.merge_of(new, right)] <= own)
+        early = (table.rank[table.merge_of(left, made)] <= own) | (table.rank[table.merge_of(made, right)] <= own)
         before = np.cumsum(early) - early
         base = before[np.searchsorted(seq[p], seq[p])]
-        p, new = p[before == base], new[before == base]
-        sym[p] = new
+        p, made = p[before == base], made[before == base]
+        sym[p] = made
+        np.subtract.at(whole, seq[p], 1)
         keep = np.repeat(live, size)
-        done = ~keep & (sym != none)
-        if done.any():
-            out += np.bincount(seq[done], minlength=len(parts))
         keep[p + 1] = False
-        sym, seq = sym[keep], seq[keep]
-    out += np.bincount(seq[sym != none], minlength=len(parts)).astype(np.int64)
-    return out
+        at = np.cumsum(keep)[p] - 1
+        sym, seq, m, rank = sym[keep], seq[keep], m[keep], rank[keep]
+        # only pairs beside what was merged are others now
+        beside = np.r_[at, at[at > 0] - 1]
+        next_ = np.minimum(beside + 1, len(sym) - 1)
+        m[beside] = np.where((seq[beside] == seq[next_]) & (next_ > beside), table.merge_of(sym[beside], sym[next_]), none)
+        rank[beside] = table.rank[m[beside]]
+    return out + np.bincount(of, whole, len(parts)).astype(np.int64)
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:

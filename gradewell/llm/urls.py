@@ -1,16 +1,20 @@
 """URL filter: rules first; for what they don't decide, naive Bayes over the words of host and path.
 
-Hosts are written without spaces, so a host's labels are split by a unigram Viterbi over words counted in all pages (their visible text)
-and seed words; path parts are split alike. A multinomial naive Bayes with two classes scores the words: `allow` is the unigram model of
-the pages, `block` mixes it half and half with the seed words of blocked sites.
-
-The model is of all words, however rare or long. Splitting a part asks only for words that occur in it, so words are joined with the runs of
-letters of the distinct parts, by 64-bit hashes (equal hashes of other words only add words that are then not found). Of these words
-the `vocabulary` that occur in most pages' parts are sent to every worker; the others, each in few pages, are joined with the parts and
-by these with the urls that need them. Where there are no others, pages are not shuffled.
-
-A null url, or one without `://`, has empty host and path, no rule, and the verdict of no words: allow. Ties between rules of one length
-go to the one first in code point order. Rows that repeat a page_id are judged one by one."""
+Hosts are written without spaces, so a host's labels are split by a unigram Viterbi over the words of all pages (their visible text); path
+parts are split alike. The urls that a rule decides are the labelled ones: of each, what the rule itself matched (the end of the host, the
+start of the path) is taken away, the words of the rest are counted for the rule's verdict, and a multinomial naive Bayes with add-one
+smoothing, and priors by the verdicts' shares of urls, is learned from these counts. It scores the words of the urls without a rule. Words
+fall into 2^18 hashed buckets, so the model has a fixed bound whatever the number of words.
+
+The unigram model is of all words, however rare or long. Splitting a part asks only for words that occur in it, so words are joined with the
+runs of letters of the distinct parts, by 64-bit hashes (equal hashes of other words only add words that are then not found). Words that
+occur in most pages' parts, at most `vocabulary`, are sent to every worker (a histogram of powers of two says how many pages that takes);
+the others, each in few pages, are joined with the parts and by these with the urls that need them. Where there are no others, pages
+are not shuffled.
+
+A null url, or one without `://`, has empty host and path, no rule, and the verdict of no words: that of the greater prior, allow if equal.
+Without any url that a rule decides, all is allowed. Ties between rules of one length go to the one first in code point order. Rows that
+repeat a page_id are learned from and judged one by one. Other columns are not read, whatever their names; an empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -21,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import U64, discard, mix, portions, stored
+from gradewell.llm.common import U64, mix, portions, scratch, stored
 
 #: (pattern, verdict); a pattern is a host, then a path from its first `/`.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Labelled seed words for the class `block`.
-SEEDS = tuple("ads advert banner tracker track click popup spam farm scam phish malware warez crack casino poker slots roulette jackpot betting bets bet gamble win winner prize adult porn xxx sex escort nude pills pharmacy viagra cialis cheap discount replica loan payday debt free lottery crypto forex miracle diet torrent".split())
+BUCKETS = 1 << 18  # of words, for the naive Bayes
 _TAG = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _WORD = re.compile(r"[^\W\d_]+")
 _AZ = {c: c + 32 for c in range(65, 91)}
@@ -66,17 +70,21 @@ class Rules:
         return min(found)[1:] if found else (None, None)
 
 
+def unmatched(host: str, path: str, rule: str) -> tuple[str, str]:
+    """Host and path without what the rule matched."""
+    end, slash, start = rule.partition("/")
+    return host[: len(host) - len(end)], path[len(slash + start) :]
+
+
 class Words:
-    """The two unigram models."""
+    """The unigram model."""
 
-    def __init__(self, counts: dict[str, int], seeds=SEEDS, prior: float = 0.2, n_words: int | None = None, n_distinct: int | None = None):
+    def __init__(self, counts: dict[str, int], n_words: int | None = None, n_distinct: int | None = None):
         """counts may be of some words only; then n_words and n_distinct are over all."""
-        self.all = (sum(counts.values()) if n_words is None else n_words) + len(seeds) + 1 + (len(counts) if n_distinct is None else n_distinct)
-        self.allow = {w: self.known(counts.get(w, 0)) for w in {*counts, *seeds}}
-        self.sizes = sorted({len(w) for w in self.allow}, reverse=True)
+        self.all = (sum(counts.values()) if n_words is None else n_words) + (len(counts) if n_distinct is None else n_distinct) + 1
+        self.logp = {w: self.known(n) for w, n in counts.items()}
+        self.sizes = sorted({len(w) for w in self.logp}, reverse=True)
         self.unknown = math.log(1 / self.all)
-        self.block = {w: math.log(0.5 / len(seeds) + 0.5 * math.exp(self.allow[w])) for w in seeds}
-        self.prior = math.log(prior / (1 - prior))
         self.cache: dict[str, list[str]] = {}
 
     def known(self, n: int) -> float:
@@ -94,12 +102,8 @@ class Words:
                 start = j - 1  # where the best unknown word begins; a known one is never worse than the same as unknown
             best[j], cut[j] = best[start] + self.unknown - 2.3 * (j - start), start
             for i in (j - size for size in sizes if size <= j):
-                w = self.allow.get(name[i:j], more.get(name[i:j]))
-                if w is None:
-                    continue
-                if name[i:j] in self.block:
-                    w = max(w, self.block[name[i:j]])
-                if best[i] + w > best[j]:
+                w = self.logp.get(name[i:j], more.get(name[i:j]))
+                if w is not None and best[i] + w > best[j]:
                     best[j], cut[j] = best[i] + w, i
         out, j = [], len(name)
         while j:
@@ -113,13 +117,31 @@ class Words:
     def tokens(self, host: str, path: str, more: dict[str, float] | None = None) -> list[str]:
         return [w for part in parts_of(host, path) for w in self.split(part, more)]
 
-    def odds(self, words: list[str], more: dict[str, float] | None = None) -> float:
-        """Log odds of `block`."""
-        score, more = self.prior, more or {}
-        for w in words:
-            own = self.allow.get(w, more.get(w, self.unknown))
-            score += self.block.get(w, own + math.log(0.5)) - own
-        return score
+
+class Buckets(dict):
+    """A word's bucket; a bounded cache."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = k = xxhash.xxh64_intdigest(word) % BUCKETS
+        return k
+
+
+class Bayes:
+    """Log odds of `block`: prior, and a weight for each bucket."""
+
+    def __init__(self, counts: np.ndarray, urls: np.ndarray):
+        """counts: verdicts (allow, block) by buckets; urls: of each verdict."""
+        seen = int((counts.sum(0) > 0).sum())
+        total = counts.sum(1, keepdims=True) + max(seen, 1)
+        self.weight = np.log((counts[1] + 1) / total[1]) - np.log((counts[0] + 1) / total[0])
+        self.prior = math.log((urls[1] + 1) / (urls[0] + 1))
+        if not urls.any():
+            self.weight[:] = 0.0
+
+    def odds(self, words: list[str], buckets: dict[str, int]) -> float:
+        return self.prior + float(sum(self.weight[buckets[w]] for w in words))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,41 +216,85 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return counts.where("length(word) > 1").mapInArrow(_hash_words, "word string, n long, hash long, size long")
 
 
-def _judge(batches: Iterator[pa.RecordBatch], counts: dict[str, int], n_words: int | None, n_distinct: int | None, rules) -> Iterator[pa.RecordBatch]:
-    words, fixed = Words(counts, n_words=n_words, n_distinct=n_distinct), Rules(rules)
+def _ruled(batches: Iterator[pa.RecordBatch], words: Words, fixed: Rules):
+    """Of each batch: ids, and for each row (host, path, rule, verdict, words that the model lacks)."""
     for batch in batches:
         rows = []
         own = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
         for url, lacking in zip(batch.column(1).to_pylist(), own, strict=True):
             host, path = split_url(url)
             rule, verdict = fixed.match(host, path) if host else (None, None)
-            more = {x["word"]: words.known(x["n"]) for x in lacking or ()}
-            odds = words.odds(words.tokens(host, path, more), more)
+            rows.append((host, path, rule, verdict, {x["word"]: words.known(x["n"]) for x in lacking or ()}))
+        yield batch.column(0), rows
+
+
+def _learn(batches: Iterator[pa.RecordBatch], unigrams: tuple, rules) -> Iterator[pa.RecordBatch]:
+    """(verdict, bucket, n) of the urls that a rule decides; bucket -1 counts the urls."""
+    words, buckets = Words(*unigrams), Buckets()
+    n = np.zeros((2, BUCKETS + 1), np.int64)
+    for _, rows in _ruled(batches, words, Rules(rules)):
+        for host, path, rule, verdict, more in rows:
+            if rule is not None:
+                of = n[int(verdict == "block")]
+                of[-1] += 1
+                for w in words.tokens(*unmatched(host, path, rule), more):
+                    of[buckets[w]] += 1
+    which, at = np.nonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.where(at == BUCKETS, -1, at).astype(np.int32)), pa.array(n[which, at])], ["verdict", "bucket", "n"])
+
+
+def _judge(batches: Iterator[pa.RecordBatch], unigrams: tuple, bayes: Bayes, rules) -> Iterator[pa.RecordBatch]:
+    words, buckets = Words(*unigrams), Buckets()
+    for ids, found in _ruled(batches, words, Rules(rules)):
+        rows = []
+        for host, path, rule, verdict, more in found:
+            odds = bayes.odds(words.tokens(host, path, more), buckets)
             rows.append((host, path, rule, verdict or ("block" if odds > 0 else "allow"), odds))
         columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in columns[:4]], pa.array(columns[4], pa.float64())], ["page_id", "host", "path", "rule", "verdict", "block_odds"])
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.string()) for c in columns[:4]], pa.array(columns[4], pa.float64())], ["page_id", "host", "path", "rule", "verdict", "block_odds"])
+
+
+def _with_words(pages: DataFrame, rows: DataFrame, html_col: str, vocabulary: int) -> tuple[DataFrame, tuple]:
+    """rows, with `own` where a url needs words that are not sent; and what is sent: counts, and the numbers of words and of distinct ones."""
+    words = stored(word_counts(pages, html_col), "words")
+    parts = stored(rows.select("url").mapInArrow(_parts, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")), "parts")
+    n_words, n_distinct, sizes = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.sort_array(F.collect_set("size"))).first()
+    runs = parts.mapInArrow(lambda it: _runs(it, sizes, False), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("pages"))
+    power = F.floor(F.log2("pages")).cast("int").alias("power")
+    found = stored(words.join(runs, "hash").select("word", "n", "hash", power), "found")
+    least, sent = 64, 0
+    for k, many in sorted(map(tuple, found.groupBy("power").count().collect()), reverse=True):  # at most 64 rows
+        sent += many
+        if sent > vocabulary:
+            break
+        least = k
+    counts = {r["word"]: r["n"] for r in found.where(F.col("power") >= least).select("word", "n").collect()}  # at most vocabulary
+    others = found.where(F.col("power") < least)
+    if not others.isEmpty():
+        of_part = parts.mapInArrow(lambda it: _runs(it, sizes, True), "part string, hash long").join(others, "hash").groupBy("part").agg(F.collect_set(F.struct("word", "n")).alias("own"))
+        of_part = stored(of_part, "of-part")
+        of_url = rows.where("url IS NOT NULL").select("url").distinct().mapInArrow(_url_parts, "url string, part string").join(of_part, "part").groupBy("url").agg(F.flatten(F.collect_list("own")).alias("own"))
+        own = stored(of_url, "own")
+        known = rows.where("url IS NOT NULL").join(own, "url", "left").select("page_id", "url", "own")
+        rows = known.union(rows.where("url IS NULL").withColumn("own", F.lit(None).cast(own.schema["own"].dataType)))
+    return rows, (counts, n_words, n_distinct)
 
 
 def judge(pages: DataFrame, rules=RULES, counts: dict[str, int] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", vocabulary: int = 50_000) -> DataFrame:
     """page_id, host, path, rule, verdict, block_odds: a row for each page. vocabulary bounds the words sent to every worker, not the model."""
-    rows, n_words, n_distinct = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), None, None
-    if counts is None:
-        words = stored(word_counts(pages, html_col), "words")
-        parts = stored(rows.select("url").mapInArrow(_parts, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")), "parts")
-        n_words, n_distinct, sizes = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.sort_array(F.collect_set("size"))).first()
-        runs = parts.mapInArrow(lambda it: _runs(it, sizes, False), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("pages"))
-        found = stored(words.join(runs, "hash").select("word", "n", "hash", "pages"), "found")
-        sent = found.orderBy(F.desc("pages"), "word").limit(vocabulary).collect()
-        counts, used = {r["word"]: r["n"] for r in sent}, [words, parts, found]
-        if len(sent) == vocabulary and found.count() > vocabulary:
-            last = (F.lit(sent[-1]["pages"]), F.lit(sent[-1]["word"])) if sent else (F.lit(2**62), F.lit(""))
-            others = found.where((F.col("pages") < last[0]) | ((F.col("pages") == last[0]) & (F.col("word") > last[1])))
-            of_part = parts.mapInArrow(lambda it: _runs(it, sizes, True), "part string, hash long").join(others, "hash").groupBy("part").agg(F.collect_set(F.struct("word", "n")).alias("own"))
-            of_url = rows.where("url IS NOT NULL").select("url").distinct().mapInArrow(_url_parts, "url string, part string").join(of_part, "part").groupBy("url").agg(F.flatten(F.collect_list("own")).alias("own"))
-            own = stored(of_url, "own")
-            known = rows.where("url IS NOT NULL").join(own, "url", "left").select("page_id", "url", "own")
-            rows = known.union(rows.where("url IS NULL").withColumn("own", F.lit(None).cast(own.schema["own"].dataType)))
-        discard(*used)
-    model = pages.sparkSession.sparkContext.broadcast((counts, n_words, n_distinct))
-    kind = pages.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _judge(it, *model.value, rules), f"page_id {kind}, host string, path string, rule string, verdict string, block_odds double")
+    kind, context = pages.schema[id_col].dataType.simpleString(), pages.sparkSession.sparkContext
+    with scratch() as keep:
+        rows, unigrams = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), (counts, None, None)
+        if counts is None:
+            rows, unigrams = _with_words(pages, rows, html_col, vocabulary)
+        sent = context.broadcast(unigrams)
+        learned = rows.mapInArrow(lambda it: _learn(it, sent.value, rules), "verdict int, bucket int, n long").groupBy("verdict", "bucket").agg(F.sum("n").alias("n"))
+        table = learned.toArrow()  # at most two rows a bucket
+        n = np.zeros((2, BUCKETS + 1), np.int64)
+        n[np.asarray(table.column("verdict")), np.asarray(table.column("bucket"))] = np.asarray(table.column("n"))
+        bayes = context.broadcast(Bayes(n[:, :-1], n[:, -1]))
+        judged = rows.mapInArrow(lambda it: _judge(it, sent.value, bayes.value, rules), f"page_id {kind}, host string, path string, rule string, verdict string, block_odds double")
+        out = keep(stored(judged, "judged"))
+        for model in (sent, bayes):
+            model.destroy()
+        return out

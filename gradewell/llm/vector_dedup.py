@@ -9,7 +9,10 @@ double precision. A task returns, for each row, how many vectors it is linked wi
 
 Rows: vec_id, n_links, component_id, kept. Vectors that are null, empty, zero or hold null or non-finite components link with nothing
 (n_links 0, component their own id), nor do rows with null ids; vectors of different length are not compared. Every row counts as a
-vector; rows that repeat an id share component and links."""
+vector; rows that repeat an id share the smallest component. Other columns are not read; an empty table gives an empty one.
+
+Equal vectors are brought back to their rows by a join with the stored table of classes: that is sent to all tasks if it is small, else Spark
+splits the rows of a vector that many share."""
 
 from __future__ import annotations
 
@@ -20,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import components, stored
-from gradewell.llm.vectors import BLOCK, basis, blocked, finite, matrix, sampled
+from gradewell.llm.common import components, scratch, stored
+from gradewell.llm.vectors import BLOCK, basis, blocked, finite, matrix, sampled, spread
 
 BOX = 8  # leading dimensions that cells are cut along
 CELLS = 1024  # at most
@@ -116,6 +119,11 @@ def _compare(table: pa.Table, rot: np.ndarray, threshold: float) -> pa.Table:
 
 
 def vector_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    with scratch() as keep:
+        return keep(stored(_vector_duplicates(vectors, threshold, id_col, vec_col), "vector-duplicates"))
+
+
+def _vector_duplicates(vectors: DataFrame, threshold: float, id_col: str, vec_col: str) -> DataFrame:
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     src = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"))
@@ -124,7 +132,7 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     edges, counts = [], []
     for dim, rows in sorted(tuple(r) for r in classes.groupBy(F.size("v")).count().collect()):
         these = classes.where(F.size("v") == dim)
-        sample = units(sampled(these, "id", "v"))
+        sample = units(sampled(these, "v", rows))
         rot = basis(sample)
         tree = cut(sample @ rot, min(CELLS, 2 ** math.ceil(math.log2(max(1, rows / BLOCK)))))
 
@@ -150,8 +158,9 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str =
             .where("c1 < c2 OR b1 <= b2")
             .withColumn("pair", F.concat_ws("-", "c1", "b1", "c2", "b2"))
         )
+        many = sum(n1 * n2 for _, _, n1, n2 in near)
         ends = pairs.select("pair", F.lit(0).alias("side"), F.col("c1").alias("cell"), F.col("b1").alias("block")).union(pairs.where("c1 != c2 OR b1 != b2").select("pair", F.lit(1), "c2", "b2"))
-        dealt = cells.select("id", "many", "v", "cell", "block").join(ends, ["cell", "block"]).select("pair", "side", "id", "many", "v")
+        dealt = cells.select("id", "many", "v", "cell", "block").join(spread(ends, 2 * many), ["cell", "block"]).select("pair", "side", "id", "many", "v")
         out = stored(dealt.groupBy("pair").applyInArrow(comparing(rot, threshold), f"a {kind}, b {kind}, n long"), "links")
         edges.append(out.where("a != b").select("a", "b"))
         counts.append(out.groupBy("a").agg(F.sum("n").alias("n")))
@@ -164,7 +173,8 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str =
         found = spark.createDataFrame([], f"id {kind}, component {kind}")
         number = spark.createDataFrame([], f"a {kind}, n long")
     found = found.groupBy("id").agg(F.min("component").alias("component"))
-    by_class = classes.join(number.withColumnRenamed("a", "id"), "id", "left").join(found, "id", "left").select(F.col("v").alias("cv"), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
+    by_class = classes.join(number.withColumnRenamed("a", "id"), "id", "left").join(found, "id", "left")
+    by_class = stored(by_class.select(F.col("v").alias("cv"), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "id").alias("c")), "by-class")
     linked = good.join(by_class, F.col("v") == F.col("cv")).select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
     # rows of one id share the smallest component
     rest = src.where(~(finite("v") & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull()) | F.col("v").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -14,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gradewell.llm import language, lines, mixing, neardup, quality, segmentation, token_counts, urls, vector_dedup, vector_search
+from gradewell.llm import common, language, lines, mixing, neardup, quality, segmentation, token_counts, urls, vector_dedup, vector_search
 from gradewell.llm.common import components, shared_dir
 from gradewell.llm.pieces import model_path, parts_of, piece_table
 
@@ -237,52 +239,82 @@ def test_urls(spark):
         host, path, rule, verdict = brute_url(u, urls.RULES)
         r = got[i]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or r["verdict"])
-    assert got[12]["verdict"] == "block" and got[13]["verdict"] == "allow" and got[None]["verdict"] == "allow"
     assert urls.Words({"weather": 5, "report": 4}).split("weatherreport") == ["weather", "report"]
     assert urls.judge(pages.limit(0)).isEmpty()
+    none = urls.judge(pages.where("url IS NULL OR url NOT LIKE '%://%'")).collect()
+    assert {(r["host"], r["path"], r["rule"], r["verdict"], r["block_odds"]) for r in none} == {("", "", None, "allow", 0.0)}
 
 
-def judged(model, urls_):
-    """Odds of urls by a model of all words at once."""
-    return [model.odds(model.tokens(*urls.split_url(u))) for u in urls_]
+def brute_odds(urls_, counts):
+    """Log odds of `block`, of urls: the likeliest of all ways to cut every part, then a multinomial naive Bayes of the urls with rules."""
+    whole = sum(counts.values()) + len(counts) + 1
+    cost = lambda w: math.log((counts[w] + 1) / whole) if w in counts else math.log(1 / whole) - 2.3 * len(w)
+
+    def cut(part):
+        best = {0: (0.0, [])}
+        for j in range(1, len(part) + 1):
+            best[j] = max(((best[i][0] + cost(part[i:j]), [*best[i][1], part[i:j]]) for i in range(j)), key=lambda x: x[0])
+        return best[len(part)][1]
+
+    def tokens(host, path):
+        return [w for x in (host, path.lower()) for part in re.findall(r"[^\W\d_]+", x) for w in cut(part)]
+
+    of, n = {"allow": Counter(), "block": Counter()}, Counter()
+    for url in urls_:
+        host, path, rule, verdict = brute_url(url, urls.RULES)
+        if rule:
+            at = rule.index("/")
+            of[verdict].update(tokens(host.removesuffix(rule[:at]), path.removeprefix(rule[at:])))
+            n[verdict] += 1
+    seen = len(of["allow"] | of["block"])
+    logp = lambda w, v: math.log((of[v][w] + 1) / (sum(of[v].values()) + max(seen, 1)))
+    prior = math.log((n["block"] + 1) / (n["allow"] + 1))
+    return [prior + (sum(logp(w, "block") - logp(w, "allow") for w in tokens(*brute_url(url, urls.RULES)[:2])) if n else 0.0) for url in urls_]
 
 
 def test_url_model_has_every_word(spark):
+    """Odds against brute force; words that are sent to all, and words that only reach the urls that need them, give the same."""
     rng = random.Random(11)
-    common = ["".join(c) for c in itertools.islice(itertools.product("abcdefghij", repeat=5), 50_000)]
-    rare = ["enbetest", "dietestein", *("".join(rng.choice("klmnopqrst") for _ in range(rng.randint(2, 12))) for _ in range(300))]
+    common = ["".join(c) for c in itertools.islice(itertools.product("abcdefghij", repeat=4), 5_000)]
+    rare = ["enbetest", "dietestein", *("".join(rng.choice("klmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(60))]
     text = [" ".join(common), " ".join(common), "en est ein " * 2000, " ".join(rare)]
-    hosts = [rng.choice(rare) + rng.choice([*common[:50], *rare]) for _ in range(300)]
-    given_ = ["http://enbetest.org/", "http://dietestein.org/", None, "none", *(f"http://{h}.org/{rng.choice(rare)}/{rng.choice(common)}" for h in hosts)]
-    pages = spark.createDataFrame([(i, u, text[i] if i < len(text) else None) for i, u in enumerate(given_)] * 2, "page_id long, url string, html string")
-    model = urls.Words({w: 2 * n for w, n in Counter(" ".join(text).split()).items()})
-    want = sorted([*enumerate(judged(model, given_))] * 2)
-    assert model.tokens("enbetest.dietestein", "") == ["enbetest", "dietestein"]
+    ends = [".org/", ".com/", "example.com/en/", ".net/es/", ".net/fr/", ".net/de/", ".example.com/en/"]
+    name = lambda some: rng.choice(some) + rng.choice([*common[:50], *rare])
+    given_ = ["http://enbetest.org/", "http://dietestein.org/", None, "none", "http:///es/", *(f"http://{name(rare[k % 2 * 30 :][:30])}{(end := rng.choice(ends))}{rng.choice(rare)}/{rng.choice(common)}" for k in range(60))]
+    pages = spark.createDataFrame([(i, u, text[i] if i < len(text) else None, 1) for i, u in enumerate(given_)] * 2, "page_id long, url string, html string, own int")
+    counts = Counter({w: 2 * n for w, n in Counter(" ".join(text).split()).items()})
+    want = sorted([*enumerate(brute_odds(given_ * 2, counts)[: len(given_)])] * 2)
+    assert urls.Words(counts).tokens("enbetest.dietestein", "") == ["enbetest", "dietestein"]
+    ruled = [brute_url(u, urls.RULES)[3] for u in given_]
+    assert {x > 0 for (_, x), v in zip(want[::2], ruled, strict=True) if v is None} == {True, False} and set(ruled) == {"allow", "block", None}
     for few in ({}, {"vocabulary": 40}, {"vocabulary": 1}, {"vocabulary": 0}):
-        got = urls.judge(pages, **few).collect()
-        assert sorted((r["page_id"], r["block_odds"]) for r in got) == want
-        assert {r["verdict"] for r in got if r["page_id"] < 2} == {"allow"}
+        got = sorted(urls.judge(pages, **few).collect(), key=lambda r: r["page_id"])
+        for r, (i, odds) in zip(got, want, strict=True):
+            assert r["page_id"] == i and math.isclose(r["block_odds"], odds, abs_tol=1e-9)
+            assert r["verdict"] == (ruled[i] or ("block" if odds > 0 else "allow"))
 
 
 def test_url_words_of_any_length(spark):
     long = "donaudampfschifffahrtscasinobetgesellschaft"
-    given_ = [f"http://{long}.org/", f"http://x.org/{long}{long}", "http://" + "q" * 60 + ".org/"]
-    text = [f"{long} " * 50 + "donau dampf schifffahrt gesellschaft", "x org", None]
-    pages = spark.createDataFrame(list(zip(range(3), given_, text, strict=True)), "page_id long, url string, html string")
-    model = urls.Words({w: n for w, n in Counter(" ".join(filter(None, text)).split()).items() if len(w) > 1})
+    given_ = [f"http://{long}.org/", f"http://x.org/{long}{long}", "http://" + "q" * 60 + ".org/", f"http://{long}.net/es/", "http://donau.com/schifffahrt"]
+    text = [f"{long} " * 50 + "donau dampf schifffahrt gesellschaft", "x org", None, None, None]
+    pages = spark.createDataFrame(list(zip(range(5), given_, text, strict=True)), "page_id long, url string, html string")
+    counts = Counter({w: n for w, n in Counter(" ".join(filter(None, text)).split()).items() if len(w) > 1})
+    model = urls.Words(counts)
     assert model.split(long) == [long] and model.split(long * 2) == [long] * 2 and model.split("q" * 60) == ["q" * 60]
+    want = brute_odds(given_, counts)
     for few in ({}, {"vocabulary": 0}):
         got = {r["page_id"]: r for r in urls.judge(pages, **few).collect()}
-        assert [got[i]["block_odds"] for i in range(3)] == judged(model, given_) and {r["verdict"] for r in got.values()} == {"allow"}
+        assert all(math.isclose(got[i]["block_odds"], want[i], abs_tol=1e-9) for i in range(5)) and got[0]["verdict"] == "block" and got[3]["verdict"] == "block"
 
 
 def test_url_split_is_the_likeliest():
     rng = random.Random(4)
     text = lambda most: "".join(rng.choice("abe") for _ in range(rng.randint(1, most)))
     for _ in range(100):
-        model = urls.Words({text(rng.choice([3, 40])): rng.randint(1, 1000) for _ in range(rng.randint(0, 30))}, seeds=("ab", "ebb", "bet"))
-        cost = lambda w: max(model.allow[w], model.block.get(w, -math.inf)) if w in model.allow else model.unknown - 2.3 * len(w)  # noqa: B023, E731
-        name = "".join(rng.choice([*model.allow, text(30)]) for _ in range(rng.randint(1, 4)))
+        model = urls.Words({text(rng.choice([3, 40])): rng.randint(1, 1000) for _ in range(rng.randint(0, 30))})
+        cost = lambda w: model.logp[w] if w in model.logp else model.unknown - 2.3 * len(w)  # noqa: B023, E731
+        name = "".join(rng.choice([*model.logp, text(30)]) for _ in range(rng.randint(1, 4)))
         best = [0.0]
         for j in range(1, len(name) + 1):
             best.append(max(best[i] + cost(name[i:j]) for i in range(j)))
@@ -504,3 +536,184 @@ def test_pipeline_stages_against_brute_force(spark, corpus):
     mixed = stage["mixing"](spark, docs, "")
     assert pairs(mixed) == Counter({(r["doc_id"], r["text"]): copies[r["doc_id"]] for r in rows if copies[r["doc_id"]]})
     assert pairs(stage["pieces"](spark, docs, "")) == pairs(docs)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vector_search_of_any_finite_size(spark, kind):
+    """Scores beyond a long are the nearest long; bounds that overflow lose nothing."""
+    rng = np.random.default_rng(9)
+    top = 3e38 if kind == "float" else 1.7e308
+    rows = [(i, (rng.standard_normal(4) * 10.0 ** rng.integers(-1, 40 if kind == "double" else 30)).tolist()) for i in range(120)]
+    rows += [(200, [top] * 4), (220, [-top, top, 0.0, 0.0]), (240, [1e30] * 4), (241, [-1e30] * 4), (242, [0.0] * 4), (243, [1e30] * 4)]
+    rows = [(i, np.asarray(v, np.float32 if kind == "float" else np.float64).tolist()) for i, v in rows]
+    whole = {i: [int(x) for x in vector_search.scaled(np.array(v), 64.0)] for i, v in rows}
+    wanted = set()
+    for q in whole:
+        if q % 20 == 0:
+            scored = sorted((-min(max(sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), -(2**63)), 2**63 - 1), i) for i in whole if i != q)
+            wanted |= {(q, k, i, -s) for k, (s, i) in enumerate(scored[:5], 1)}
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    assert {tuple(r) for r in vector_search.top_k(df, F.col("vec_id") % 20 == 0, k=5).collect()} == wanted
+
+
+def thue_morse(a, b, n):
+    """The word of n letters in Thue-Morse order, and its complement: sums of powers modulo 2^64 can't tell them apart."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_texts_that_sums_of_powers_confuse(spark, n):
+    """Different lines stay, different words link nothing, however they are built."""
+    x, y = (" ".join(w) for w in thue_morse("alpha", "beta", n))
+    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in lines.dedup_lines(spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")).collect()}
+    assert got == {1: (0, x), 2: (0, y), 3: (1, "")}
+    x, y = ("".join(w) for w in thue_morse("a", "b", n))
+    texts = [f"{x} p q r s", f"{y} p q r s", f"{x} p q r s", x, y, f"{x} {y}", f"{y} {x}"]
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=70), max_size=30))
+def test_hashes_are_of_the_bytes(parts):
+    raw, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(x) for x in parts], dtype=np.int64)
+    got = common.hashes(raw, ends - np.array([len(x) for x in parts], np.int64), ends)
+    assert len(set(got.tolist())) == len(set(parts)) and len(set(zip(parts, got.tolist(), strict=True))) == len(set(parts))
+
+
+def test_long_runs_without_spaces():
+    rng = random.Random(6)
+    table, sp = piece_table(MODEL), library()
+    for letters in ("etaoinshrdlu", "aB3+/xQ9z", "".join(map(chr, range(0x4E00, 0x4F00))), "ab"):
+        text = "".join(rng.choice(letters) for _ in range(60_000))
+        begun = time.monotonic()
+        assert token_counts.merged_lengths(table, parts_of(text)).sum() == len(sp.encode(text))
+        assert time.monotonic() - begun < 20
+
+
+def test_language_against_brute_force(labelled):
+    """Multinomial naive Bayes with priors, text by text and gram by gram."""
+    docs, _ = labelled
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).when(F.col("lang") == "en", "en"))  # uneven priors
+    docs = docs.union(docs.where("doc_id = 7"))
+    rows = docs.collect()
+    counts, n = defaultdict(Counter), Counter()
+    for r in docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2").collect():
+        counts[r["lang"]].update(language.grams(r["text"]).tolist())
+        n[r["lang"]] += 1
+    assert max(n.values()) > 1.5 * min(n.values())
+    wanted, total = Counter(), {x: c.total() for x, c in counts.items()}
+    for r in rows:
+        g = Counter(language.grams(r["text"] or "").tolist())
+        if not g:
+            wanted[r["doc_id"], "und", 0.0] += 1
+            continue
+        s = {x: math.log(n[x] / sum(n.values())) + math.fsum(many * math.log((counts[x][k] + 0.5) / (total[x] + 0.5 * 2**language.BITS)) for k, many in g.items()) for x in sorted(n)}
+        top = max(s, key=s.get)
+        wanted[r["doc_id"], top, round(1 / sum(math.exp((v - s[top]) / math.sqrt(g.total())) for v in s.values()), 3)] += 1
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["lang_score"], 3)) for r in language.identify(docs, language.train(docs)).collect())
+    assert got == wanted
+
+
+def test_language_ties_go_to_the_first(spark):
+    docs = spark.createDataFrame([(k, "abc abd", lang) for k in range(40) for lang in ("b", "a")], "doc_id long, text string, lang string")
+    got = language.identify(docs, language.train(docs)).collect()
+    assert {(r["lang_pred"], r["lang_score"]) for r in got} == {("a", 0.5)}
+
+
+def test_quality_against_brute_force(labelled):
+    """All cosines with all labelled rows, sorted; nothing of a held-out label is learned."""
+    docs, labels = labelled
+    model = quality.train(docs, labels)
+    k, seen = 15, quality.Features()
+    got = {r["doc_id"]: r["quality_score"] for r in quality.classify(docs, labels, k=k).where("doc_id < 600").collect()}
+    for r in docs.where("doc_id < 600").collect():
+        x = quality.weigh(seen.counts(r["text"])[None], model["idf"]) @ model["v"]
+        cos = ((x / np.linalg.norm(x)) @ model["z"].T)[0].astype(np.float64)
+        near = sorted(range(len(cos)), key=lambda j: (-cos[j], j))[:k]
+        votes = [max(cos[j], 1e-6) ** 4 * model["vote"][j] for j in near]
+        want = sum(v for v, j in zip(votes, near, strict=True) if model["y"][j] == 1) / sum(votes)
+        assert math.isclose(got[r["doc_id"]], want, abs_tol=2e-3)
+    held = F.expr("crc32(cast(doc_id AS string)) % 4 = 2")
+    other = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {r["doc_id"]: r["quality_score"] for r in quality.classify(docs, other, k=k).where("doc_id < 600").collect()} == got
+
+
+def test_nearest_breaks_ties_by_order():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        cos = rng.integers(0, 4, (6, 600)).astype(np.float32)
+        k = int(rng.integers(1, 40))
+        for row, near in zip(cos, quality.nearest(cos, k), strict=True):
+            assert sorted(near.tolist()) == sorted(sorted(range(600), key=lambda j: (-row[j], j))[:k])
+    assert quality.nearest(np.ones((2, 3), np.float32), 15).tolist() == [[0, 1, 2]] * 2
+
+
+def test_quality_of_repeated_ids_and_a_bounded_sample(labelled, spark):
+    docs, labels = labelled
+    hot = docs.union(spark.range(3000).selectExpr("7L AS doc_id", "concat('eta shr ', id % 50) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars"))
+    model = quality.train(hot, labels.union(labels), sample=40)
+    assert len(model["y"]) == 80 and sorted(Counter(model["y"].tolist()).values()) == [40, 40]
+    a, b = (quality.train(x, labels) for x in (hot, hot.repartition(7, "text")))
+    assert (a["y"] == b["y"]).all() and np.allclose(a["idf"], b["idf"])
+
+
+#: Names that operators use themselves, for columns that are none of their business.
+NAMES = ("__source", "__id", "__doc", "__rk", "__text", "__lines", "__key", "row", "id", "key", "rank", "of", "h", "size", "source_size", "target", "rate", "copies", "taken", "lang_pred", "lang_score",
+         "quality_score", "n_lines", "n_dropped", "has_text", "doc_of", "rk_of", "lines_of", "text_of", "source_of", "source_of_0", "copy", "n_shingles", "component_id", "kept", "Doc", "block_odds", "v", "vec", "cell", "block", "n", "own", "url_", "count", "hash")
+
+
+def clashing(df):
+    return df.select("*", *[F.lit(f"my {c}").alias(c) for c in NAMES if c.lower() not in {x.lower() for x in df.columns}])
+
+
+def test_clashing_names(spark, corpus, labelled):
+    """Columns of any names change nothing; where a docstring doesn't say that one is replaced, it comes out as it went in."""
+    docs, labels = labelled
+    small = corpus.where("doc_id < 60")
+    rows = lambda df, *columns: Counter(map(str, df.select(*columns).collect()))
+    for f, df, columns in (
+        (lambda d: neardup.near_duplicates(d, shingle=4), small, ("doc_id", "n_shingles", "component_id", "kept")), (lines.dedup_lines, small, ("doc_id", "text", "n_lines", "n_dropped", "has_text")),
+        (token_counts.token_counts, small, ("doc_id", "n_tokens")), (segmentation.encode, small, ("doc_id", "text", "pieces")), (lambda d: segmentation.decode(segmentation.encode(d)), small, ("doc_id", "decoded")),
+        (lambda d: quality.classify(d, clashing(labels)), docs, ("doc_id", "quality_score")), (lambda d: language.identify(d, language.train(d)), docs, ("doc_id", "lang_pred", "lang_score")),
+        (mixing.mix_plan, small, ("doc_id", "size", "source_size", "target", "taken")), (mixing.mix_sources, small, ("doc_id", "text", "source")),
+        (lambda d: vector_dedup.vector_duplicates(d), vectors(spark)[0], ("vec_id", "n_links", "component_id", "kept")), (lambda d: vector_search.top_k(d, F.col("vec_id") % 20 == 0), vectors(spark)[0], ("query_id", "rank", "vec_id", "score")),
+        (urls.judge, spark.createDataFrame([(1, "http://a.net/es/x", "<p>a x</p>"), (2, "http://ax.org/", "b"), (2, None, None)], "page_id long, url string, html string"), ("page_id", "host", "path", "rule", "verdict", "block_odds")),
+    ):
+        assert rows(f(clashing(df)), *columns) == rows(f(df), *columns)
+    for f, replaced in ((lines.dedup_lines, {"n_lines", "n_dropped", "has_text"}), (segmentation.encode, set()), (mixing.mix_sources, set()), (lambda d: language.identify(d, language.train(d)), {"lang_pred", "lang_score"}), (lambda d: quality.classify(d, labels), {"quality_score"})):
+        got = f(clashing(docs.limit(5)))
+        mine = [c for c in NAMES if c not in replaced]
+        assert {tuple(r) for r in got.select(*mine).collect()} == {tuple(f"my {c}" for c in mine)}
+
+
+def test_pipeline_of_clashing_names(spark, corpus):
+    import corpus_pipeline
+
+    docs = corpus.where("doc_id < 40").withColumn("lang", F.lit("en")).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        for given_ in (docs, docs.dropDuplicates(["doc_id"])) if name == "near_duplicates" else (docs,):
+            plain, got = stage(spark, given_, ""), stage(spark, clashing(given_), "").cache()
+            mine = [c for c in NAMES if c.lower() not in {x.lower() for x in given_.columns}]
+            assert {tuple(r) for r in got.select(*mine).collect()} == {tuple(f"my {c}" for c in mine)}, name
+            assert Counter(map(str, got.select(plain.columns).collect())) == Counter(map(str, plain.collect())), name
+        assert stage(spark, docs.limit(0), "").isEmpty()
+
+
+def test_tables_go(spark, corpus):
+    """What operators store is deleted, also if one fails; a result stays till the block around it ends."""
+    import os
+
+    here = lambda: {x for x in os.listdir(shared_dir(spark)) if x.startswith("gradewell-")}
+    before = here()
+    with common.scratch():
+        got = neardup.near_duplicates(corpus)
+        lines.dedup_lines(corpus).count()
+        vector_search.top_k(vectors(spark)[0], F.col("vec_id") % 20 == 0).count()
+        assert got.count() == corpus.count() and len(here() - before) == 3
+    assert here() == before
+    broken = corpus.withColumn("text", F.when(F.col("doc_id") == 3, F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="broken"):
+        lines.dedup_lines(broken)
+    assert here() == before
