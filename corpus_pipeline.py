@@ -10,9 +10,12 @@ and `pieces`. What a stage returns is written as Parquet and read again by the n
   Rows without an id, and of repeated ids, are compared row by row. An id stays once: of different texts under one id that no row of
   another id is near to, only the one with the least hash stays.
 - mixing: each document as often as the mix takes it.
-- pieces: a sampled segmentation of each text, seeded by its doc_id.
+- pieces: a sampled segmentation of each text, seeded by its doc_id. The stage's rows don't say which copy of a document they are, so
+  copies get the same pieces.
 
-Nulls, empty tables and repeated rows: as the operators' docstrings say. SQL cannot express language scores, edit distances or seeded
+Operators see doc_id, text and what they work on; all other columns wait in a struct, so columns of any names come out as they went in (the
+last stage alone adds one, `pieces`, in the place of one of that name). Tables between stages, and all that a stage stores, are deleted as
+soon as the next table stands, also if a stage fails. Nulls, empty tables and repeated rows: as the operators' docstrings say. SQL cannot express language scores, edit distances or seeded
 sampling, so there is no ORACLE_SQL; tests hold the stages against brute force."""
 
 from __future__ import annotations
@@ -21,34 +24,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.llm import language, lines, mixing, neardup, segmentation
-from gradewell.llm.common import stored
+from gradewell.llm.common import discard, scratch, stored
+
+
+def _rest(docs: DataFrame, *apart: str) -> list[str]:
+    return [c for c in docs.columns if c.lower() not in apart]
+
+
+def _packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """doc_id and the columns `apart` under these names, and all but the latter in a struct `row`."""
+    return docs.select(F.struct(*[f"`{c}`" for c in _rest(docs, *apart)]).alias("row"), F.col("doc_id").alias("doc_id"), *[F.col(c).alias(c) for c in apart])
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, **apart) -> DataFrame:
+    """The columns of docs: those named from these expressions, the others from `row`."""
+    return rows.select(*[(apart[c.lower()] if c.lower() in apart else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = language.identify(docs, language.train(docs))
-    return known.where((F.col("lang_pred") != language.UND) & (F.col("lang_score") >= 0.5)).select(*docs.columns)
+    known = language.identify(_packed(docs, "text"), language.train(docs))
+    return _unpacked(known.where((F.col("lang_pred") != language.UND) & (F.col("lang_score") >= 0.5)), docs, text=F.col("text"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = lines.dedup_lines(docs).where("has_text OR n_dropped = 0")
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = lines.dedup_lines(_packed(docs, "text")).where("has_text OR n_dropped = 0")
+    return _unpacked(left, docs, text=F.col("text"), n_chars=F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    odd = stored(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id", F.lit(2).alias("__rank")), "odd")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    odd = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id", F.lit(2).alias("rank")), "odd")
     if odd.isEmpty():
-        found = stored(neardup.near_duplicates(docs).select("doc_id", "kept"), "kept")
-        return docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        found = neardup.near_duplicates(rows).where("NOT kept").select("doc_id")
+        return rows.join(found, "doc_id", "left_anti").select("row.*")
     # an id and a text are a document; of a group, one whose id is its own stays before one without an id, and that before one whose id is repeated
-    kind = docs.schema["doc_id"].dataType
-    named = docs.where("doc_id IS NOT NULL").join(odd, "doc_id", "left").select(*docs.columns, F.coalesce("__rank", F.lit(0)).alias("__rank"))
-    ranked = named.union(docs.where("doc_id IS NULL").withColumn("__rank", F.lit(1)))
-    keyed = ranked.withColumn("__key", F.struct(F.col("__rank").alias("rank"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("id"), F.xxhash64("text").alias("hash")))
-    found = stored(neardup.near_duplicates(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "kept"), "kept")
-    left = keyed.join(found.where("NOT kept").select("__key").distinct(), "__key", "left_anti")
+    named = rows.where("doc_id IS NOT NULL").join(odd, "doc_id", "left").select(*rows.columns, F.coalesce("rank", F.lit(0)).alias("rank"))
+    ranked = named.union(rows.where("doc_id IS NULL").withColumn("rank", F.lit(1)))
+    id_ = F.coalesce("doc_id", F.lit("0").cast(docs.schema["doc_id"].dataType)).alias("id")
+    keyed = ranked.select("row", "rank", F.struct("rank", id_, F.xxhash64("text").alias("hash")).alias("key"), "text")
+    found = neardup.near_duplicates(keyed, id_col="key").where("NOT kept").select(F.col("doc_id").alias("key")).distinct()
+    left = keyed.join(found, "key", "left_anti")
     # one row for each id, and for each text without one: the least by hash, then by its columns
-    one = left.where("__rank > 0").groupBy("__key.id", "__rank", F.when(F.col("__rank") == 1, F.col("__key.hash")).alias("h")).agg(F.min(F.struct("__key.hash", F.struct(*docs.columns).alias("row"))).alias("x"))
-    return left.where("__rank = 0").select(*docs.columns).union(one.select("x.row.*"))
+    one = left.where("rank > 0").groupBy("key.id", "rank", F.when(F.col("rank") == 1, F.col("key.hash")).alias("h"))
+    one = one.agg(F.min_by("row", F.struct("key.hash", F.to_json("row"))).alias("row"))
+    return left.where("rank = 0").select("row.*").union(one.select("row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +84,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole table of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), f"stage-{name}"))
+        discard(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
