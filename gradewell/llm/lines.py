@@ -17,8 +17,11 @@ A line's digest is BLAKE2b, 128 bits, over its words in bytes with a space betwe
 sum hashes of (word, place), with places before the gap counted from the line's first word and those behind it from its last, so
 that no order of words cancels out; they only say which lines to compare, and words decide.
 
-Copies, and lines with an equal coarse or fine variant, are aggregated to the earliest, or to the ends, before the shuffle; the aggregate is
-stored and rows are joined back with it: where it is small it is sent to all tasks, else Spark splits a hot key's rows. No group is gathered.
+Copies, and lines with an equal fine variant, are aggregated to the earliest before the shuffle; the aggregate is stored and rows are joined
+back with it: where it is small it is sent to all tasks, else Spark splits a hot key's rows. Lines with an equal coarse variant are marked by
+a window, which shuffles keys once, streams and spills; keys that a sample shows to be hot (more than 100,000 rows and a five-thousandth of
+all) go another way: aggregated before the shuffle, and joined back by the table of hot keys, which is sent to all tasks and holds
+5,000 at most. Both ways give the same, so the sample decides nothing but the cost. No group is gathered.
 
 Null text stays null; empty text stays. A null id sorts first. Rows equal in id and text are one document and keep the same lines; rows that
 repeat an id with other texts are documents of their own. An empty table gives an empty one. Other columns pass unread, whatever their
@@ -32,12 +35,13 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from gradewell.llm.common import U64, Words, discard, mix, place_of, portions, scratch, slices, stored, texts_of, unused
 
+HOT, HOTTEST, SAMPLED = 100_000, 5_000, 1 / 64  # rows of a hot key; hot keys at most; lines that are looked at to find them
 _STRIDE = U64(0x9E3779B97F4A7C15)
 
 
@@ -126,8 +130,11 @@ class Lines:
 
     def digests(self) -> np.ndarray:
         """Two longs of each line: 128 bits of BLAKE2b."""
-        every = b"".join([blake2b(self.words(k), digest_size=16).digest() for k in range(len(self.begin))])
-        return np.frombuffer(every, np.int64).reshape(-1, 2)
+        text = self.folded
+        parts = [text[b:e] for b, e in zip(self.begin.tolist(), self.end.tolist(), strict=True)]
+        for k in np.flatnonzero(~self.plain).tolist():
+            parts[k] = b" ".join(parts[k].split())
+        return np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
 
 
 def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -218,6 +225,22 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", t
         return keep(stored(_dropped_lines(docs, min_words, id_col, text_col), "dropped"))
 
 
+def _shared(lines: DataFrame) -> DataFrame:
+    """(key, h1): the coarse variants that several different lines have, and these lines."""
+    keys = lines.select("h1", F.explode("keys").alias("key"))
+    counts = lines.where(F.rand(3) < SAMPLED).select(F.explode("keys").alias("key")).groupBy("key").count()
+    every = lines.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    hot = stored(counts.where(F.col("count") > SAMPLED * max(HOT, every / HOTTEST)).select("key"), "hot")
+    one_key = Window.partitionBy("key")  # only ids, no texts
+    ends = {"h0": F.min("h1").over(one_key), "h9": F.max("h1").over(one_key)}
+    if hot.isEmpty():
+        return keys.withColumns(ends).where("h0 < h9").select("key", "h1").distinct()
+    few = keys.join(F.broadcast(hot), "key", "left_anti").withColumns(ends).where("h0 < h9").select("key", "h1")
+    many = keys.join(F.broadcast(hot), "key")
+    several = many.groupBy("key").agg(F.min("h1").alias("h0"), F.max("h1").alias("h9")).where("h0 < h9").select("key")
+    return few.union(many.join(F.broadcast(several), "key").select("key", "h1")).distinct()
+
+
 def _dropped_lines(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
@@ -225,14 +248,9 @@ def _dropped_lines(docs: DataFrame, min_words: int, id_col: str, text_col: str)
     place = F.struct("doc", "rk", "line")
     firsts = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.count("*").alias("many")), "firsts")
 
-    # a line is its first copy: h1 and h2 name it, both to join, one to tell whether a key has several lines
-    keys = lines.select("h1", "h2", F.explode("keys").alias("key"))
-    shared = stored(keys.groupBy("key").agg(F.min("h1").alias("h0"), F.max("h1").alias("h9")).where("h0 < h9").select("key"), "shared")
-    wanted = keys.join(shared, "key").distinct().groupBy("h1", "h2").agg(F.collect_list("key").alias("keys"))
-    wanted = wanted.join(firsts.select("h1", "h2", "a.*"), ["h1", "h2"])
+    wanted = _shared(lines).groupBy("h1").agg(F.collect_list("key").alias("keys")).join(firsts.select("h1", "a.*"), "h1")
     wanted = wanted.groupBy(F.col("doc").alias("d"), F.col("rk").alias("k")).agg(F.collect_list(F.struct("line", "keys")).alias("wanted"))
     wanted = stored(wanted, "wanted")
-    discard(shared)
     same_doc = (F.col("rk") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d"))
     asked = src.join(wanted, same_doc).select("doc", "rk", "text", "wanted")
     near = stored(asked.mapInArrow(lambda it: _fine(it, min_words), f"doc {kind}, rk long, line int, words binary, fine array<long>"), "near")

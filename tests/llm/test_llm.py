@@ -125,6 +125,13 @@ def test_components(spark):
         assert got == {k: v for k, v in wanted.items() if any(k in l and l[0] != l[1] for l in links)}
 
 
+def test_line_dedup_of_hot_keys(corpus, monkeypatch):
+    """Keys that count as hot take the other way to the same lines."""
+    monkeypatch.setattr(lines, "HOT", 4)
+    monkeypatch.setattr(lines, "SAMPLED", 0.9)
+    test_line_dedup(corpus)
+
+
 def test_line_dedup(corpus):
     rows = corpus.select("doc_id", "text").distinct().collect()
     order = [(r["doc_id"] is not None, r["doc_id"] or 0, r["text"], k, tuple(w)) for r in rows for k, line in enumerate((r["text"] or "").split("\n")) if (w := line.encode().lower().split())]
