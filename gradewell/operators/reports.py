@@ -46,10 +46,32 @@ def failure_rows(attempts: DataFrame, scores: DataFrame, gold: DataFrame | None
     return failed.join(gold.select("case_id", "expected_decision"), "case_id", "left").select(*common, "expected_decision", F.col("parsed_response.decision").alias("observed_decision"))
 
 
+def failed(rows: DataFrame, decisions: bool = False) -> DataFrame:
+    """The same from labelled() rows, without a join. decisions: expected and observed decision in place of attempt_id."""
+    some = rows.where((F.col("status") != "completed") | (F.size("failure_labels") > 0))
+    common = ["case_id", "status", F.col("parse_failure.code").alias("parse_error"), F.col("runtime_error_code").alias("runtime_error"), "failure_labels"]
+    return some.select(*common, "expected_decision", F.col("decision").alias("observed_decision")) if decisions else some.select("attempt_id", *common)
+
+
+def numbered(rows: DataFrame, name: str, by: str, pos: str, parts: int = 64) -> DataFrame:
+    """rows with their number within `by`, in the order of pos (a number, unique within by). A part of a group is a range of pos, cut
+    where approximate quantiles of all rows are, so a group of any size is numbered by many tasks: within its parts, behind the sizes of the
+    parts before."""
+    cuts = rows.agg(F.percentile_approx(pos, [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(pos))) if cuts else F.lit(0)
+    cut = rows.withColumn("__part", part)
+    sizes = cut.groupBy(F.col(by).alias("__by"), F.col("__part").alias("__p")).count()  # groups * parts rows
+    before = F.sum("count").over(Window.partitionBy("__by").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    placed = cut.join(sizes.withColumn("__before", F.coalesce(before, F.lit(0))), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__p")))
+    within = F.row_number().over(Window.partitionBy(by, "__part").orderBy(pos))
+    return placed.withColumn(name, (F.col("__before") + within).cast("int")).drop("__part", "__by", "__p", "__before", "count")
+
+
 def event_rows(attempts: DataFrame, cases: DataFrame, actor: str, time_source: str, pos: str = "pos") -> DataFrame:
     """One event for each attempt, numbered in order within its run, at the time that its case names."""
-    return attempts.join(cases.select("case_id", "event_time_utc"), "case_id").select(
-        F.row_number().over(Window.partitionBy("run_id").orderBy(pos)).alias("sequence"), "run_id", "case_id", F.lit(actor).alias("actor"), F.lit("model_attempt").alias("action"), "status", "event_time_utc",
+    rows = numbered(attempts.join(cases.select("case_id", "event_time_utc"), "case_id"), "sequence", "run_id", pos)
+    return rows.select(
+        "sequence", "run_id", "case_id", F.lit(actor).alias("actor"), F.lit("model_attempt").alias("action"), "status", "event_time_utc",
         F.lit(0.0).alias("elapsed_seconds"), F.concat(F.lit("attempt:"), F.col("attempt_id")).alias("artifact_ref"), F.lit(time_source).alias("time_source"),
     )
 

@@ -10,9 +10,8 @@ def labels(*some: Column) -> Column:
     return F.filter(F.array(*some), lambda x: x.isNotNull())
 
 
-def score(rows: DataFrame) -> DataFrame:
-    """rows: an attempt with its gold: run_id, case_id, family_id, status, runtime_error_code, decision, answerability, tool (null unless
-    completed), expected_decision, expected_answerability, expected_tool; other columns are passed on. Four rows for each, no shuffle."""
+def _parts() -> list[Column]:
+    """The four scores of an attempt with its gold, as structs."""
     runtime = F.col("status").isin("timeout", "execution_error")
     reason = F.when(F.col("status") == "timeout", F.lit("runtime_timeout")).when(runtime, F.concat(F.lit("runtime_"), F.lower("runtime_error_code")))
     one = lambda yes: F.when(yes, F.lit(1.0)).otherwise(F.lit(0.0))
@@ -34,12 +33,24 @@ def score(rows: DataFrame) -> DataFrame:
         return F.struct(F.lit(metric).alias("metric_id"), eligible.alias("eligible"), value.cast("double").alias("value"), missing.alias("missing_reason"), found.alias("failure_labels"))
 
     tool = wants & ~runtime
-    return rows.withColumn("__s", F.explode(F.array(
+    return [
         row("action_correct", F.lit(True), one(completed & F.col("decision").eqNullSafe(F.col("expected_decision"))), no_reason, action),
         row("answerability_correct", F.lit(True), one(completed & F.col("answerability").eqNullSafe(F.col("expected_answerability"))), no_reason, answer),
         row("schema_valid", ~runtime, F.when(~runtime, one(completed)), F.when(runtime, reason), attempt),
         row("tool_identity_correct", tool, F.when(tool, one(calls & F.col("tool").eqNullSafe(F.col("expected_tool")))), F.when(~wants, F.lit("not_tool_required")).when(runtime, reason), F.when(wants, action).otherwise(none)),
-    ))).select(*[c for c in rows.columns if c not in ("metric_id", "eligible", "value", "missing_reason", "failure_labels")], "__s.*")
+    ]
+
+
+def score(rows: DataFrame) -> DataFrame:
+    """rows: an attempt with its gold: run_id, case_id, family_id, status, runtime_error_code, decision, answerability, tool (null unless
+    completed), expected_decision, expected_answerability, expected_tool; other columns are passed on. Four rows for each, no shuffle."""
+    own = [c for c in rows.columns if c not in ("metric_id", "eligible", "value", "missing_reason", "failure_labels")]
+    return rows.withColumn("__s", F.explode(F.array(*_parts()))).select(*own, "__s.*")
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """rows as score() takes them, with all labels of their four scores: distinct, sorted. A row stays a row, and nothing is shuffled."""
+    return rows.withColumn("failure_labels", F.array_sort(F.array_distinct(F.concat(*[p["failure_labels"] for p in _parts()]))))
 
 
 def with_gold(attempts: DataFrame, cases: DataFrame) -> DataFrame:

@@ -4,13 +4,16 @@ A call is judged in this order: a tool that isn't available, one that isn't perm
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.functions.canonical import canonical, folded, payload_digest
 from gradewell.schemas import TOOLS
 
-#: How many rows of one side may be sent to every task of the substring join.
+#: How many queries may be sent to every task of a search.
 BROADCAST_ROWS = 50_000
 
 
@@ -26,17 +29,40 @@ def first_match(calls: DataFrame, table: DataFrame, call_key: str, table_key: st
     return calls.join(first, F.col(call_key) == F.col("__key"), "left").drop("__key")
 
 
+def _hits(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column holds some of the words, once for each, with the word in that column's place."""
+    import ahocorasick
+
+    tree = ahocorasick.Automaton()
+    for w in words:
+        tree.add_word(w, w)
+    tree.make_automaton()
+    for batch in batches:
+        found = [(k, w) for k, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()) if text for w in sorted({w for _, w in tree.iter(text)})]
+        at = pa.array([k for k, _ in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[:-1]], pa.array([w for _, w in found], pa.string())], batch.schema.names)
+
+
 def search_matches(calls: DataFrame, records: DataFrame) -> DataFrame:
     """calls (call_id, query, as_of_date, limit) by records (record_id, text, observed_at, ..): ranked hits, newest first, then by id
-    descending, at most `limit` for each call (5 where null). A substring has no key to join on: the side of fewer rows is sent to
-    the other's tasks if it is small, else Spark pairs blocks of both; a call keeps its best rows before anything is shuffled."""
+    descending, at most `limit` for each call (5 where null). Texts are read once for all queries: distinct ones make an automaton that
+    finds them all in one pass over a text; BROADCAST_ROWS of them make one, so many calls take more passes, never more pairs. An empty
+    query is in every text. Hits meet their calls by the query, and a call keeps its best rows before anything is shuffled."""
     c = calls.select("call_id", folded(F.col("query")).alias("__q"), "as_of_date", F.coalesce("limit", F.lit(5)).alias("__limit"))
-    r = records.withColumn("__t", folded(F.col("text")))
-    if c.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        c = F.broadcast(c)
-    hit = r.join(c, F.contains(F.col("__t"), F.col("__q")) & (F.col("as_of_date").isNull() | (F.col("observed_at") <= F.col("as_of_date"))))
+    r = records.withColumn("__q", folded(F.col("text")))
+    queries = c.select("__q").where("__q <> ''").distinct()
+    parts = max(1, -(-queries.count() // BROADCAST_ROWS))
+    every = r.where("text IS NOT NULL").withColumn("__q", F.lit(""))
+    for k in range(parts):
+        words = [x["__q"] for x in queries.where(F.pmod(F.xxhash64("__q"), F.lit(parts)) == k).collect()]
+        if words:
+            sent = r.sparkSession.sparkContext.broadcast(words)
+            every = every.union(r.mapInArrow(lambda it, sent=sent: _hits(it, sent.value), r.schema))
+    if c.where("__q = ''").isEmpty():
+        every = every.where("__q <> ''")
+    hit = every.join(c, "__q").where(F.col("as_of_date").isNull() | (F.col("observed_at") <= F.col("as_of_date")))
     ranked = hit.withColumn("rank", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc("observed_at"), F.desc("record_id"))))
-    return ranked.where((F.col("rank") <= F.col("__limit")) & (F.col("rank") <= 10)).drop("__q", "__t", "__limit")
+    return ranked.where((F.col("rank") <= F.col("__limit")) & (F.col("rank") <= 10)).drop("__q", "__limit")
 
 
 def calculated(operation: Column, left: Column, right: Column) -> Column:
@@ -78,7 +104,7 @@ def simulate(calls: DataFrame, records: DataFrame, statuses: DataFrame, faults:
     asked = live.where("tool = 'search_records'")
     own = asked.select("call_id", F.col("case_id").alias("__case"), "query", "as_of_date", F.least(F.coalesce("limit", F.lit(5)), F.lit(10)).alias("n"))
     hits = own.join(records, F.col("__case") == F.col("case_id")).where(F.contains(folded(F.col("text")), folded(F.col("query"))) & (F.col("as_of_date").isNull() | (F.col("observed_at") <= F.col("as_of_date"))))
-    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc("observed_at"), F.desc("record_id")))).where("r <= n")
+    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc("observed_at"), F.desc("record_id")))).where("r <= n AND r <= 10")
     lists = hits.groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", record_json(F.struct(*records.columns)).alias("record")))), lambda x: x["record"]).alias("records"))
     empty = F.from_json(F.lit("[]"), "array<struct<authoritative:boolean,observed_at:string,record_id:string,text:string>>")
     found = asked.select("call_id").join(lists, "call_id", "left").select("call_id", canonical(F.struct(F.lit("search_records").alias("kind"), F.coalesce("records", empty).alias("records"))).alias("payload"), F.lit(None).cast("string").alias("error"))

@@ -10,7 +10,7 @@ from gradewell.functions.prompt import prompt
 from gradewell.functions.response import parse_response
 from gradewell.operators import episodes, journal, reports, tools, validation
 from gradewell.operators.attempts import attempts, resume_faults, resume_plan, select_cases
-from gradewell.operators.scoring import score, with_gold
+from gradewell.operators.scoring import labelled, score, with_gold
 from gradewell.plans.derived import TEXTS, cases, conversation_cases, outputs, pick, records, searches, table
 from gradewell.plans.oracles import ORACLES  # noqa: F401
 from gradewell.schemas import TOOLS
@@ -28,6 +28,10 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(with_gold(_attempts(spark, sf_dir), _gold(spark, sf_dir)))
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(with_gold(_attempts(spark, sf_dir), _gold(spark, sf_dir)))
+
+
 def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.metric_report(_scored(spark, sf_dir))
 
@@ -42,11 +46,11 @@ def scores_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.failure_rows(_attempts(spark, sf_dir), _scored(spark, sf_dir)).withColumn("failure_labels", F.array_join("failure_labels", ","))
+    return reports.failed(_labelled(spark, sf_dir)).withColumn("failure_labels", F.array_join("failure_labels", ","))
 
 
 def pilot_failure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.failure_rows(_attempts(spark, sf_dir), _scored(spark, sf_dir), _gold(spark, sf_dir)).withColumn("failure_labels", F.array_join("failure_labels", ","))
+    return reports.failed(_labelled(spark, sf_dir), True).withColumn("failure_labels", F.array_join("failure_labels", ","))
 
 
 def parse_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +198,7 @@ def timing_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failures = reports.failure_rows(_attempts(spark, sf_dir), _scored(spark, sf_dir), _gold(spark, sf_dir))
-    return reports.report_lines(metric_report(spark, sf_dir), failures)
+    return reports.report_lines(metric_report(spark, sf_dir), reports.failed(_labelled(spark, sf_dir), True))
 
 
 QUERIES = {
