@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,16 @@ def dataset_digest(rows: DataFrame, pos: str, text: str, by: tuple[str, ...] = (
     return rows.groupBy(*by).agg(digest(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]\n"))).alias("dataset_sha256"), F.count("*").alias("n_rows"))
 
 
+#: Lower-case characters that case folding makes another of, or several (sharp s, final sigma, ligatures, ..); they follow from Unicode.
+FOLDS = {c: c.casefold() for c in map(chr, chain(range(0x80, 0xD800), range(0xE000, 0x2FA20))) if c.lower() == c != c.casefold()}
+
+
 def folded(text: Column) -> Column:
-    """Case folding by built-ins: lower case, with sharp s written out. Final sigma and ligatures keep their lower case."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Case folding by built-ins: lower case, then the characters above; those that become several are replaced in the few texts that have some."""
+    several = {c: x for c, x in FOLDS.items() if len(x) > 1}
+    one = F.translate(F.lower(text), "".join(FOLDS.keys() - several.keys()), "".join(FOLDS[c] for c in FOLDS.keys() - several.keys()))
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(x).alias("x")) for c, x in several.items()])
+    return F.when(one.rlike("[" + "".join(several) + "]"), F.aggregate(pairs, one, lambda t, p: F.replace(t, p["c"], p["x"]))).otherwise(one)
 
 
 def run_id(prefix: str, hash_: Column, length: int) -> Column:

@@ -15,6 +15,10 @@ ATTEMPT_STATUSES = ("completed", "invalid_response", "timeout", "execution_error
 ATTEMPT_ERROR_CODES = ("PARSE_ERROR", "UNKNOWN_FIELD", "INVALID_TOOL", "ARGUMENT_INVALID", "CONTEXT_OVERFLOW", "BUDGET_EXHAUSTED", "TIMEOUT", "EXECUTION_ERROR")
 TRANSPORT_STATUSES = ("completed", "timeout", "execution_error")
 EPISODE_STATUSES = ("completed", "invalid_response", "budget_exhausted", "stagnation")
+ROLES = ("system", "user", "assistant", "tool")
+ACTORS = ("model", "tool", "runtime")
+TURN_KINDS = ("generation", "format_repair")
+SPLIT = "development_pilot"
 METRICS = ("action_correct", "answerability_correct", "schema_valid", "tool_identity_correct")
 FAILURE_LABELS = (
     "extrinsic_claim", "ignored_evidence", "wrong_span", "partial_support", "wrong_answerability", "conflict_error", "citation_mismatch", "memory_override",

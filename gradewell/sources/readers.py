@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewell.contracts import contract_faults
 from gradewell.operators.validation import case_rules, exactly_one, refuse, repeated, violations
 from gradewell.schemas import CASE, INTENT, RECEIPT
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of cases (UTF-8, byte order mark allowed) in file order, with `pos` and `case_id`; any violation refuses the file.
-
-    One document can't be split, so its text is one row and its rows are numbered as they are exploded."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("t"))
-    rows = text.select(F.posexplode(F.from_json("t", f"array<struct<{CASE}>>", {"mode": "FAILFAST"})).alias("pos", "c")).select("pos", "c.*", F.col("c.input.case_id").alias("case_id"))
-    refuse(violations(rows, "case_id", case_rules()).union(repeated(rows, "case_id")))
+    """A JSON array of cases (UTF-8, byte order mark allowed) in file order, with `pos` and `case_id`. Any fault of a case against its
+    contract (unknown and missing fields, unknown names, values out of bounds) and any broken rule refuses the file.
+
+    One document can't be split, so its text is one row; its cases are rows from there on, and are checked as such."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("t"))
+    whole = text.select(F.posexplode(F.from_json("t", "array<string>", {"mode": "FAILFAST"})).alias("pos", "json"))
+    key = F.coalesce(F.get_json_object("json", "$.input.case_id"), F.concat(F.lit("#"), F.col("pos").cast("string")))
+    cases = lambda mode: whole.select("pos", F.from_json("json", f"struct<{CASE}>", {"mode": mode}).alias("c")).select("pos", "c.*", F.col("c.input.case_id").alias("case_id"))
+    loose, rows = cases("PERMISSIVE"), cases("FAILFAST")
+    refuse(violations(loose, "case_id", case_rules()).union(repeated(loose, "case_id")).union(case_faults(whole.withColumn("key", key), "key", "json")))
     return rows
 
 
+def case_faults(rows: DataFrame, key: str, json: str, contract: str = "eval_case") -> DataFrame:
+    """(rule, key) of JSON texts against a contract; the rule is the fault and the path."""
+    found = rows.select(F.col(key).cast("string").alias("key"), F.explode(contract_faults(F.col(json), contract)).alias("f"))
+    return found.select(F.concat_ws(" ", "f.fault", "f.path").alias("rule"), "key")
+
+
 def read_object(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """One JSON object as one row; anything else fails the job."""
     reader = spark.read.schema(schema) if schema else spark.read
@@ -49,7 +64,29 @@ def one_checksum(checksums: DataFrame, name: str) -> DataFrame:
     return exactly_one(checksums.where(F.col("path") == name), name)
 
 
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files by their paths, hashed a megabyte at a time."""
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for uri in batch.column(0).to_pylist():
+            store, path = fs.FileSystem.from_uri(uri)
+            sha = hashlib.sha256()
+            with store.open_input_stream(path) as f:
+                while block := f.read(1 << 20):
+                    sha.update(block)
+            out.append(sha.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(1)], ["path", "sha256", "length"])
+
+
 def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, sha256, length) of the files in a folder, by name; files are hashed where they are read, one a row."""
+    """(path, sha256, length) of the files in a folder, by name. Files on disks that every executor sees are read a megabyte at a time, so
+    a file may be of any size; those on other stores are read by Spark, whole, one a row (2 GB at most)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("sha256"), "length")
+    named = F.regexp_extract("path", "([^/]+)$", 1).alias("path")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
+        uri = F.regexp_replace("path", "^file:/+", "file:///")
+        return files.select(uri.alias("path"), "length").mapInArrow(lambda it: _digest(it), "path string, sha256 string, length long").select(named, "sha256", "length")
+    return files.select(named, F.sha2("content", 256).alias("sha256"), "length")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gradewell.functions.canonical import canonical
+from gradewell.contracts import ALL, json_schema
+from gradewell.functions.canonical import canonical, case_digest
 from gradewell.schemas import CONTRACTS
 from gradewell.sources.readers import file_digests
 
@@ -26,8 +27,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
-    """The column `line`, in order, as one text file at path; refuses to overwrite. A single file in order is written by one task."""
+def write_lines(lines: DataFrame, path: str, order: list[str], parse: bool = False) -> None:
+    """The column `line`, in order, as one text file at path; refuses to overwrite. A single file in order is written by one task. parse: each
+    line is JSON, and is read again before the file gets its name."""
     spark = lines.sparkSession
     fs, target = _hadoop(spark, path)
     if fs.exists(target):
@@ -35,23 +37,27 @@ def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
     part = f"{path}.part-{uuid.uuid4().hex}"
     lines.orderBy(*order).select("line").coalesce(1).write.mode("errorifexists").text(part)
     _, folder = _hadoop(spark, part)
-    written = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
-    if written:
-        fs.rename(written[0], target)
-    else:
-        fs.create(target).close()
-    fs.delete(folder, True)
+    try:
+        written = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+        if parse:  # what is published must parse: it is read again before it gets its name
+            spark.read.schema("gradewell_any string").option("mode", "FAILFAST").json(part).agg(F.count("gradewell_any")).collect()
+        if not written:
+            fs.create(target, False).close()  # fails if someone else was first
+        elif fs.exists(target) or not fs.rename(written[0], target):
+            raise FileExistsError(path)
+    finally:
+        fs.delete(folder, True)
 
 
 def write_jsonl(rows: DataFrame, path: str, order: list[str], columns: list[str] | None = None) -> None:
     """Rows as canonical JSON lines: columns in alphabetical order, nulls left out."""
     names = sorted(columns or rows.columns)
-    write_lines(rows.withColumn("line", canonical(F.struct(*names))), path, order)
+    write_lines(rows.withColumn("line", canonical(F.struct(*names))), path, order, True)
 
 
 def write_object(row: DataFrame, path: str, keep_nulls: bool = False) -> None:
     """One row as one JSON object."""
-    write_lines(row.withColumn("line", F.to_json(F.struct(*sorted(row.columns)), {"ignoreNullFields": str(not keep_nulls).lower()})), path, ["line"])
+    write_lines(row.withColumn("line", F.to_json(F.struct(*sorted(row.columns)), {"ignoreNullFields": str(not keep_nulls).lower()})), path, ["line"], True)
 
 
 def write_array(rows: DataFrame, path: str, order: list[str], keep_nulls: bool = True) -> None:
@@ -135,7 +141,17 @@ def write_pilot_bundle(spark: SparkSession, target: str, *, manifest: DataFrame,
 
 
 def export_schemas(spark: SparkSession, folder: str) -> None:
-    """The Spark schema of each contract, as JSON."""
+    """The Spark schema of each table, as JSON."""
     for name, schema in CONTRACTS.items():
         write_lines(spark.createDataFrame([(StructType.fromDDL(schema).json(),)], "line string"), f"{folder}/{name}.schema.json", ["line"])
 
+
+def export_contracts(spark: SparkSession, folder: str) -> None:
+    """The twelve contracts as JSON Schema, a file each."""
+    for name in ALL:
+        write_lines(spark.createDataFrame([(json_schema(name).removesuffix("\n"),)], "line string"), f"{folder}/{name}.schema.json", ["line"])
+
+
+def inputs_manifest(cases: DataFrame, json: str = "json") -> DataFrame:
+    """(case_id, family_id, sha256) of cases with their canonical JSON: the rows of a bundle's inputs_manifest.json."""
+    return cases.select("case_id", "family_id", case_digest(F.col(json)).alias("sha256"))
