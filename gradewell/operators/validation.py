@@ -32,20 +32,22 @@ def repeated(rows: DataFrame, key: str, rule: str = "V20") -> DataFrame:
 
 
 def case_rules() -> dict[str, Column]:
-    """Over the columns input and gold of a case."""
+    """Over the columns input and gold of a case. Lists that may be left out are empty then."""
     i, g = F.col("input"), F.col("gold")
+    listed = lambda x: F.coalesce(x, F.array().cast("array<string>"))
+    available, permitted = listed(i["available_tools"]), listed(i["permitted_tools"])
     calls = g["expected_decision"] == "CALL_TOOL"
     call = g["expected_tool_call"]
     return {
         "V01": i["evaluation_time_utc"].rlike(AWARE),
         "V02": (F.size(i["languages"]) > 0) & unique(i["languages"]),
         "V03": (F.size(i["messages"]) > 0) & F.exists(i["messages"], lambda m: m["role"] == "user"),
-        "V04": unique(i["available_tools"]) & unique(i["permitted_tools"]),
-        "V05": subset(i["permitted_tools"], i["available_tools"]),
-        "V06": unique(F.transform(i["evidence"], lambda d: d["document_id"])) & F.forall(i["evidence"], lambda d: d["observed_at_utc"].isNull() | d["observed_at_utc"].rlike(AWARE)),
+        "V04": unique(available) & unique(permitted),
+        "V05": subset(permitted, available),
+        "V06": i["evidence"].isNull() | unique(F.transform(i["evidence"], lambda d: d["document_id"])) & F.forall(i["evidence"], lambda d: d["observed_at_utc"].isNull() | d["observed_at_utc"].rlike(AWARE)),
         "V07": calls == call.isNotNull(),
-        "V08": call.isNull() | F.array_contains(g["permitted_tools"], call["tool"]),
-        "V09": (i["case_id"] == g["case_id"]) & same_set(i["permitted_tools"], g["permitted_tools"]),
+        "V08": call.isNull() | F.array_contains(listed(g["permitted_tools"]), call["tool"]),
+        "V09": (i["case_id"] == g["case_id"]) & same_set(permitted, listed(g["permitted_tools"])),
     }
 
 
