@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as batch_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def canonical(value: Column) -> Column:
@@ -36,10 +41,35 @@ def payload_digest(text: Column) -> Column:
 
 
 def dataset_digest(rows: DataFrame, pos: str, text: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """One digest for all rows in the order of pos: what the whole file would hash to. The rows of a dataset meet in one value, as a
-    digest of a sequence must see it whole; group by `by` to have one for each part."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(text).alias("text")))), lambda x: x["text"])
-    return rows.groupBy(*by).agg(digest(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]\n"))).alias("dataset_sha256"), F.count("*").alias("n_rows"))
+    """One digest for all rows in the order of pos: what the whole file would hash to. A digest of a sequence must see its rows one after
+    another, so those of a dataset go through one task; they stream through it, sorted, and only the digest is held. by: one for each part."""
+    keys, schema = len(by), StructType([*[rows.schema[c] for c in by], StructField("dataset_sha256", StringType()), StructField("n_rows", LongType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sha, n, joint, done = None, None, 0, b"", []
+
+        def close():
+            sha.update(b"]\n")
+            done.append((*key, sha.hexdigest(), n))
+
+        for batch in batches:
+            for *own, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if sha is None or own != key:
+                    if sha is not None:
+                        close()
+                    key, sha, n, joint = own, hashlib.sha256(b"["), 0, b""
+                n += 1
+                if t is not None:
+                    sha.update(joint + t.encode())
+                    joint = b","
+        if sha is not None:
+            close()
+        columns = list(zip(*done, strict=True)) or [()] * (keys + 2)
+        kinds = [batch_type(f.dataType) for f in schema]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.names)
+
+    dealt = rows.repartition(*by) if by else rows.repartition(1)
+    return dealt.sortWithinPartitions(*by, pos, text).select(*by, text).mapInArrow(fold, schema)
 
 
 #: Lower-case characters that case folding makes another of, or several (sharp s, final sigma, ligatures, ..); they follow from Unicode.

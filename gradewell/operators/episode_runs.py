@@ -1,7 +1,7 @@
 """Whole tool episodes: model, parser, budgets and tools by turns, for all cases at once.
 
 Turns are rounds over the episodes that are still open: a few joins of tables, at most max_turns + 1 times, whatever the number of cases.
-What a round leaves is checkpointed where the session has a folder for that, else persisted."""
+What a round leaves is checkpointed, so a lost executor asks the model nothing again that it has answered."""
 
 from __future__ import annotations
 
@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 from gradewell.functions.canonical import canonical
 from gradewell.functions.response import parse_response
 from gradewell.operators.tools import simulate
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from gradewell.sources.places import cut
 
 
 def result_json(call_id: Column, tool: Column, success: Column, error: Column, payload: Column, hash_: Column) -> Column:
@@ -38,7 +35,7 @@ def run_episodes(cases: DataFrame, generate: Callable[[DataFrame], DataFrame], r
     A repair takes a turn. The budget of calls is judged before a call is made; a tool's error doesn't end an episode."""
     own = cases.columns
     none = F.lit(None).cast("string")
-    state = _cut(cases.withColumns({"turns": F.lit(0), "calls": F.lit(0), "repairs": F.lit(0), "results": F.array().cast("array<string>"), "repairing": F.lit(False), "failed_output": none}))
+    state = cut(cases.withColumns({"turns": F.lit(0), "calls": F.lit(0), "repairs": F.lit(0), "results": F.array().cast("array<string>"), "repairing": F.lit(False), "failed_output": none}))
     done, turns, results = [], [], []
     for turn in range(1, max_turns + 2):
         if turn > max_turns:
@@ -46,7 +43,7 @@ def run_episodes(cases: DataFrame, generate: Callable[[DataFrame], DataFrame], r
             done.append(state.select("case_id", F.lit("budget_exhausted").alias("terminal_status"), F.lit("BUDGET_EXHAUSTED").alias("error_code"), failed.alias("parse_failure"), parse_response(none)["response"].alias("response"), "turns", "calls", "repairs"))
             break
         said = generate(state.select(*own, "results", "repairing", "failed_output")).select("case_id", "raw_output")
-        seen = _cut(state.join(said, "case_id").withColumn("p", parse_response(F.col("raw_output"))).withColumn("turns", F.col("turns") + 1))
+        seen = cut(state.join(said, "case_id").withColumn("p", parse_response(F.col("raw_output"))).withColumn("turns", F.col("turns") + 1))
         turns.append(seen.select("case_id", F.lit(turn).alias("turn_index"), F.when(F.col("repairing"), "repair").otherwise("generate").alias("kind"), "raw_output", F.col("p.response").alias("response"), F.col("p.failure").alias("parse_failure")))
         bad, call = F.col("p.response.decision").isNull(), F.col("p.response.decision") == "CALL_TOOL"
         status = F.when(bad & (F.col("repairs") >= max_repairs), "budget_exhausted").when(~bad & ~call, "completed").when(call & (F.col("calls") >= max_calls), "budget_exhausted")
@@ -57,11 +54,11 @@ def run_episodes(cases: DataFrame, generate: Callable[[DataFrame], DataFrame], r
         a = F.col("p.response.tool_call.arguments")
         asked = live.where(F.col("p.response").isNotNull()).withColumn("call_id", F.concat_ws(":", "case_id", F.lit("tool"), (F.col("calls") + 1).cast("string")))
         calls = asked.select("call_id", "case_id", F.col("p.response.tool_call.tool").alias("tool"), "available", "permitted", a["query"].alias("query"), a["as_of_date"].cast("date").alias("as_of_date"), a["limit"].alias("limit"), *[a[n].alias(n) for n in ("record_id", "subject_id", "operation", "left", "right")])
-        got = _cut(simulate(calls, records, statuses, faults))
+        got = cut(simulate(calls, records, statuses, faults))
         results.append(got.join(calls.select("call_id", "case_id"), "call_id"))
         line = result_json(F.col("call_id"), F.col("tool"), F.col("success"), F.col("error_code"), F.col("payload"), F.col("payload_hash"))
         went_on = asked.join(got.select("call_id", line.alias("line")), "call_id").select(*own, "turns", (F.col("calls") + 1).alias("calls"), "repairs", F.concat("results", F.array("line")).alias("results"), F.lit(False).alias("repairing"), none.alias("failed_output"))
-        state = _cut(to_repair.unionByName(went_on))
+        state = cut(to_repair.unionByName(went_on))
         if state.isEmpty():
             break
     together = lambda parts: reduce(DataFrame.unionByName, parts)

@@ -4,7 +4,6 @@ Rows come from the driver's tables; what is wrong with a row follows from its nu
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from itertools import count
 
@@ -17,9 +16,11 @@ from gradewell.operators import attempts as A
 from gradewell.operators import episode_runs, episodes, gates, identity, journal, models, reports, tools, validation
 from gradewell.operators.scoring import score, score_records, with_gold
 from gradewell.plans.derived import cases, outputs, pick, table
-from gradewell.plans.oracles import _BASE, _EPISODES
+from gradewell.plans.oracles import _BASE, _EPISODES, _METRICS
 from gradewell.schemas import ATTEMPT_STATUSES, FAULT, TOOLS
 from gradewell.sources import readers, sinks
+from gradewell.sources.places import shared_folder
+from gradewell.streaming import runs
 
 def _n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each event, with its number."""
@@ -340,9 +341,7 @@ def gate_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new place for files, in the folder that driver and executors share, or a temporary one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/gradewell-files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/gradewell-files-{uuid.uuid4().hex}"
 
 
 def _gone(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
@@ -397,6 +396,43 @@ def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gone(spark, folder, lines.union(faults).union(manifest))
 
 
+def _streamed(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    """rows, written, and read as a stream."""
+    rows.write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+
+
+def _finished(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream appends until its input ends."""
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs arrive as a stream; their scores, reported."""
+    folder, c = _folder(spark), cases(spark, sf_dir)
+    stream = runs.scored_stream(_streamed(spark, outputs(c), folder), c.select("case_id", "expected_decision", "expected_answerability", "expected_tool"), F.col("run_id"))
+    return _gone(spark, folder, reports.metric_report(_finished(stream.select("case_id", "metric_id", "eligible", "value"), folder)))
+
+
+def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark)
+    kind = pick(("answer", "call", "invalid", "call", "invalid", "call", "answer"), (F.col("conv_id") * 3 + F.col("turn") * 5) % 7)
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("case_id"), F.col("turn").cast("int").alias("turn_index"), kind.alias("kind"))
+    return _gone(spark, folder, _finished(runs.episode_stream(_streamed(spark, turns, folder)), folder))
+
+
+def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case at most once, though they arrive twice, under two checkpoints."""
+    folder = _folder(spark)
+    n = _n(spark, sf_dir).where("n < 500").select("case_id")
+    arriving = _streamed(spark, n.union(n), folder)
+    for k in range(2):
+        runs.journaled(arriving, f"{folder}/intents", f"{folder}/receipts", lambda df: df.withColumn("raw_output", F.lit("x")), f"{folder}/state{k}").awaitTermination()
+    found = [spark.read.parquet(f"{folder}/{part}").groupBy("case_id").agg(F.count("*").alias(part)) for part in ("intents", "receipts")]
+    return _gone(spark, folder, found[0].join(found[1], "case_id", "full_outer"))
+
+
 _NUMBERS = "n AS (SELECT event_id AS n, event_id::VARCHAR AS case_id FROM events)"
 _BAD = lambda rules: _every({rule: f"n % {k} = 0" for rule, k in rules.items()}, "case_id", "n")
 _TOOL_SQL = f"""{_BASE}, q AS (SELECT case_id AS call_id, pos, k, (pos % 40)::VARCHAR AS c40, CASE k % 4 WHEN 0 THEN 'search_records' WHEN 1 THEN 'get_record' WHEN 2 THEN 'calculate' ELSE 'lookup_status' END AS tool FROM e),
@@ -451,6 +487,9 @@ CHECK_SQL = {
       UNION ALL SELECT 'upstream', key FROM d WHERE (n < 30 AND (n % 5 = 0 OR n % 11 = 5)) OR (n >= 30 AND n % 2 = 0 AND n % 11 <> 5)""",
     "gate_load": f"WITH {_NUMBERS} " + _BAD(_LOADED),
     "gate_round_trip": "SELECT '' AS rule, '' AS key WHERE false",
+    "stream_scores": _BASE + _METRICS,
+    "stream_episodes": f"SELECT case_id::VARCHAR AS case_id, terminal_status, turn_index, turns_used, calls_used, repairs_used FROM ({_EPISODES}) WHERE terminal_status <> 'open'",
+    "stream_journal": f"WITH {_NUMBERS} SELECT case_id, 1 AS intents, 1 AS receipts FROM n WHERE n < 500",
     "jsonl_round_trip": "SELECT n_name AS name, n_nationkey AS key, CASE WHEN r_regionkey <> 1 THEN r_name END AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
     "case_file": f"WITH {_NUMBERS} SELECT row_number() OVER (ORDER BY n) - 1 AS pos, case_id, 'CALL_TOOL' AS expected_decision FROM n WHERE n < 400 AND " + " AND ".join(f"n % {k} <> 0" for k in sorted(set(_CASE_FAULTS.values()))),
     "journal_files": _BASE + "SELECT case_id, family_id, sha256(case_id) AS case_sha256, NULL::VARCHAR AS run_id, '1.0' AS schema_version FROM e WHERE pos < 200",
@@ -462,6 +501,6 @@ CHECKS = {
     for f in (
         attempt_violations, score_violations, observation_violations, result_violations, episode_violations, receipt_violations, bound_violations, case_contract, contract_schemas, run_balance, summary_balanced, case_orders, tensor_totals, nucleus, run_names,
         receipts_rebuilt, position_faults, one_checksum, metric_lookup, resumed_run, model_calls, tool_results, input_gates, run_identities, intent_faults, receipt_faults, live_runtime, gate_revisions, gate_integrity, gate_load, gate_round_trip,
-        jsonl_round_trip, case_file, journal_files, bundle_round_trip,
+        jsonl_round_trip, case_file, journal_files, bundle_round_trip, stream_scores, stream_episodes, stream_journal,
     )
 } | {"episode_runs": episode_runs_query}

@@ -26,19 +26,25 @@ def metric_stream(outputs: DataFrame, gold: DataFrame, run: Column) -> DataFrame
     return metric_report(scored_stream(outputs, gold, run))
 
 
-def once_per_case(outputs: DataFrame) -> DataFrame:
-    """Later outputs of a case that has one are dropped."""
-    return outputs.dropDuplicates(["case_id"])
+def once_per_case(outputs: DataFrame, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Later outputs of a case that has one are dropped. event_time: a column of times; a case is forgotten once they are `delay` past its
+    first output. Without it every case is remembered for ever."""
+    return outputs.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["case_id"]) if event_time else outputs.dropDuplicates(["case_id"])
 
 
 EPISODE = "case_id string, terminal_status string, turn_index int, turns_used long, calls_used long, repairs_used long"
 
 
-def episode_stream(turns: DataFrame, max_turns: int = 4, max_calls: int = 2, max_repairs: int = 1) -> DataFrame:
+def episode_stream(turns: DataFrame, max_turns: int = 4, max_calls: int = 2, max_repairs: int = 1, idle: int | None = None) -> DataFrame:
     """A stream of turns (case_id, turn_index, kind) to one row for each episode, when it ends. Turns of an episode arrive in order
-    from batch to batch; the state is three counters and whether it has ended."""
+    from batch to batch; the state is three counters and whether it has ended. idle: milliseconds without a turn after which an episode is
+    forgotten, ended or not (for streams that go on: one that ends with its input waits for times that never come); without it every
+    episode is remembered for ever."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, calls, repairs, over = state.get if state.exists else (0, 0, 0, False)
         rows = pd.concat(list(batches)).sort_values("turn_index")
         for turn, kind in zip(rows.turn_index, rows.kind, strict=True):
@@ -59,24 +65,28 @@ def episode_stream(turns: DataFrame, max_turns: int = 4, max_calls: int = 2, max
                 over = True
                 yield pd.DataFrame([(key[0], status, turn, n, calls, repairs)], columns=["case_id", "terminal_status", "turn_index", "turns_used", "calls_used", "repairs_used"])
         state.update((n, calls, repairs, over))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
 
-    return turns.groupBy("case_id").applyInPandasWithState(fold, EPISODE, "turns long, calls long, repairs long, over boolean", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return turns.groupBy("case_id").applyInPandasWithState(fold, EPISODE, "turns long, calls long, repairs long, over boolean", "append", timeout)
 
 
 def journaled(cases: DataFrame, intents: str, receipts: str, execute: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Runs each case of a stream at most once: a batch writes the intents of cases that have none, runs those, writes their receipts.
     A case with an intent and no receipt is unresolved and not run again. All files are Parquet, and what a batch has written is kept."""
 
-    def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
+    def batch(whole: DataFrame, number: int) -> None:
+        spark, df = whole.sparkSession, whole.dropDuplicates(["case_id"]).persist()  # asked twice, read once
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(intents)
         known = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-        new = df.select("case_id").distinct()
+        new = df.select("case_id")
         if known:
             new = new.join(spark.read.parquet(intents).select("case_id"), "case_id", "left_anti")
         token = uuid.uuid4().hex  # of this attempt at the batch: one that is tried again runs nothing that it had begun
         new.select("case_id", F.lit(number).alias("batch"), F.lit(token).alias("token")).write.mode("append").parquet(intents)
         begun = spark.read.parquet(intents).where(F.col("token") == token).select("case_id")
-        execute(df.dropDuplicates(["case_id"]).join(begun, "case_id", "left_semi")).write.mode("append").parquet(receipts)
+        execute(df.join(begun, "case_id", "left_semi")).write.mode("append").parquet(receipts)
+        df.unpersist()
 
     return cases.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

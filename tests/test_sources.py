@@ -88,3 +88,62 @@ def test_objects_and_schemas(spark, tmp_path):
     assert json.loads((tmp_path / "schemas/case.schema.json").read_text())["type"] == "struct"
     with pytest.raises(FileExistsError):
         sinks.export_schemas(spark, str(tmp_path / "schemas"))
+
+
+@pytest.mark.parametrize(
+    ("change", "fault"),
+    [
+        (lambda c: c.update(more=1), "unknown more"), (lambda c: c["input"].update(more=1), "unknown input.more"), (lambda c: c["gold"]["expected_tool_call"].update(more=1), "unknown gold.expected_tool_call.more"), (lambda c: c.pop("license"), "missing license"),
+        (lambda c: c.update(source=""), "invalid source"), (lambda c: c["gold"].update(expected_decision="FLY"), "invalid gold.expected_decision"), (lambda c: c["gold"].update(expected_answerability="MAYBE"), "invalid gold.expected_answerability"),
+        (lambda c: c["gold"]["expected_tool_call"].update(tool="nope"), "invalid gold.expected_tool_call.tool"), (lambda c: c["input"]["messages"][0].update(role="robot"), "invalid input.messages"), (lambda c: c["input"].update(evaluation_time_utc="soon"), "invalid input.evaluation_time_utc"),
+        (lambda c: c["input"].update(family_id=5), "invalid input.family_id"), (lambda c: c.update(split="test"), "invalid split"), (lambda c: c["input"]["messages"][0].update(content="x" * 20001), "invalid input.messages"),
+    ],
+)
+def test_contract_of_cases(change, fault):
+    import copy
+
+    from gradewell.contracts import faults_of
+
+    c = copy.deepcopy(case("a"))
+    assert faults_of(json.dumps(c), "eval_case") == []
+    change(c)
+    assert any(f"{f} {p}".startswith(fault) for p, f in faults_of(json.dumps(c), "eval_case"))
+
+
+def test_left_out_lists_are_empty(spark, tmp_path):
+    c = case("a")
+    for name in ("evidence", "available_tools", "permitted_tools"):
+        c["input"].pop(name)
+    c["gold"].pop("permitted_tools")
+    c["gold"].pop("expected_tool_call")
+    c["gold"]["expected_decision"] = "RESPOND"
+    assert readers.read_cases(spark, write(tmp_path / "cases.json", [c])).count() == 1
+
+
+def test_contracts_as_json_schema(spark, tmp_path):
+    sinks.export_contracts(spark, str(tmp_path / "c"))
+    files = sorted(p.name for p in (tmp_path / "c").iterdir() if not p.name.startswith("."))
+    assert len(files) == 12
+    one = json.loads((tmp_path / "c/eval_case.schema.json").read_text())
+    assert one["additionalProperties"] is False and one["required"] == ["gold", "input", "license", "provenance", "review_status", "source"] and one["properties"]["input"]["properties"]["languages"]["minItems"] == 1
+
+
+def test_case_folding(spark):
+    some = ["Stra\u00dfe", "\u1e9eX", "\u039f\u0394\u039f\u03a3", "\ufb01n", "\u13a0\uab70", "\u0130", "Plain", "\u017fe", None]
+    from gradewell.functions.canonical import folded
+
+    got = [r["f"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(some)], "k int, t string").select("k", folded(F.col("t")).alias("f")).orderBy("k").collect()]
+    assert got == [None if t is None else t.casefold() for t in some]
+
+
+def test_large_files_are_hashed_in_blocks(spark, tmp_path):
+    data = bytes(range(256)) * 20_000
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/a b.bin").write_bytes(data)
+    assert [tuple(r) for r in readers.file_digests(spark, str(tmp_path / "f")).collect()] == [("a b.bin", hashlib.sha256(data).hexdigest(), len(data))]
+
+
+def test_what_is_no_json_is_not_published(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)malformed"):
+        sinks.write_lines(spark.createDataFrame([("{",)], "line string"), str(tmp_path / "x.json"), ["line"], True)
+    assert not (tmp_path / "x.json").exists() and not list(tmp_path.glob("x.json.part*"))

@@ -47,3 +47,15 @@ def test_at_most_once(spark, tmp_path):
     assert sorted(r["case_id"] for r in spark.read.parquet(str(tmp_path / "intents")).collect()) == ["a", "b"]
     assert sorted(r["case_id"] for r in spark.read.parquet(str(tmp_path / "receipts")).collect()) == ["a", "b"]
     assert runs.once_per_case(cases).count() == 2
+
+
+def test_cases_are_forgotten(spark, tmp_path):
+    """Within the delay a case comes once; its state goes when the watermark has passed."""
+    made = spark.createDataFrame([("a", 0), ("a", 60), ("b", 30)], "case_id string, at long").selectExpr("case_id", "timestamp_seconds(at) AS at")
+    made.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("z", 10**6)], "case_id string, at long").selectExpr("case_id", "timestamp_seconds(at) AS at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = runs.once_per_case(spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "at", "1 hour")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["case_id"] for r in spark.table("once").collect()) == ["a", "b", "z"]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
