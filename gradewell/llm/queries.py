@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import language, lines, mixing, neardup, quality, segmentation, token_counts, urls, vector_dedup, vector_search
+from gradewell.llm import language, lines, mixing, neardup, quality, repeats, segmentation, token_counts, urls, vector_dedup, vector_search
 from gradewell.llm.common import held_out
 
 
@@ -59,7 +59,12 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_line_dedup, op3_token_counts, op4_sentencepiece, op5_url_filter, op6_quality, op7_vector_dedup, op8_mixing, op9_language, op10_vector_search)}
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_line_dedup, op3_token_counts, op4_sentencepiece, op5_url_filter, op6_quality, op7_vector_dedup, op8_mixing, op9_language, op10_vector_search, op11_repeats)}
 
 #: Words and shingles compared by an equality join, and links closed by recursion: exact, and fit for small tables only.
 _OP1 = r"""
@@ -98,5 +103,21 @@ WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUB
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 20
 """
+#: Every position's 50 bytes as hexadecimal digits; what is left is put together from the gaps between the runs.
+_OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, doc_id, o, substr(h, 2 * o + 1, 1122) AS h FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49, 512)) AS o FROM d WHERE doc_id IS NOT NULL)),
+p AS (SELECT r, doc_id, o + i AS i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT r, doc_id, o, h, unnest(range(len(h) // 2 - 49)) AS i FROM b)),
+f AS (SELECT g, min(doc_id) AS m FROM p GROUP BY g),
+c AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM p JOIN f USING (g) WHERE m < doc_id),
+n AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM c),
+s AS (SELECT r, k, min(i) AS lo, max(i) + 50 AS hi FROM n GROUP BY r, k),
+w AS (SELECT r, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY lo) AS before FROM s),
+x AS (SELECT r, sum(hi - lo)::BIGINT AS gone, count(*) AS n, max(hi) AS last FROM w GROUP BY r),
+k AS (SELECT w.r, string_agg(substr(d.h, (2 * w.before + 1)::BIGINT, (2 * (w.lo - w.before))::BIGINT), '' ORDER BY w.lo) AS h FROM w JOIN d ON w.r = d.r GROUP BY w.r)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(x.gone, 0)::BIGINT AS n_removed, coalesce(x.n, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN x.r IS NULL THEN d.h ELSE k.h || substr(d.h, (2 * x.last + 1)::BIGINT) END)) AS kept_sha256
+FROM d LEFT JOIN x ON d.r = x.r LEFT JOIN k ON d.r = k.r
+"""
 
-ORACLES = {"op1_minhash": _OP1, "op2_line_dedup": _OP2, "op7_vector_dedup": _OP7, "op8_mixing": mixing.ORACLE, "op10_vector_search": _OP10}
+ORACLES = {"op1_minhash": _OP1, "op2_line_dedup": _OP2, "op7_vector_dedup": _OP7, "op8_mixing": mixing.ORACLE, "op10_vector_search": _OP10, "op11_repeats": _OP11}
