@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import language, lines, mixing, neardup, quality, repeats, segmentation, token_counts, urls, vector_dedup, vector_search
+from gradewell.llm import divergence, language, lines, mixing, neardup, quality, repeats, segmentation, token_counts, urls, vector_dedup, vector_search
 from gradewell.llm.common import held_out
 
 
@@ -64,7 +64,11 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_line_dedup, op3_token_counts, op4_sentencepiece, op5_url_filter, op6_quality, op7_vector_dedup, op8_mixing, op9_language, op10_vector_search, op11_repeats)}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_line_dedup, op3_token_counts, op4_sentencepiece, op5_url_filter, op6_quality, op7_vector_dedup, op8_mixing, op9_language, op10_vector_search, op11_repeats, op12_divergence)}
 
 #: Words and shingles compared by an equality join, and links closed by recursion: exact, and fit for small tables only.
 _OP1 = r"""
@@ -120,4 +124,4 @@ SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(x.gone, 0)::BIGINT
 FROM d LEFT JOIN x ON d.r = x.r LEFT JOIN k ON d.r = k.r
 """
 
-ORACLES = {"op1_minhash": _OP1, "op2_line_dedup": _OP2, "op7_vector_dedup": _OP7, "op8_mixing": mixing.ORACLE, "op10_vector_search": _OP10, "op11_repeats": _OP11}
+ORACLES = {"op1_minhash": _OP1, "op2_line_dedup": _OP2, "op7_vector_dedup": _OP7, "op8_mixing": mixing.ORACLE, "op10_vector_search": _OP10, "op11_repeats": _OP11, "op12_divergence": divergence.ORACLE}
