@@ -6,13 +6,18 @@ them with probability 1.6e-5 (0.9: 4e-9). Shared keys are only candidates:
 
 1. Documents with equal shingle sets become one class, kept by its smallest id.
 2. In each table entry that several classes share, every class is compared with the smallest and the largest id there, unless their
-   sizes differ too much: no entry's pairs are all written out, however many rows it has. Ends of entries, components and their sizes
+   sizes differ too much, so there are two rows a class. Ends of entries, components and their sizes
    are aggregates that combine before they are shuffled; they are stored before rows are joined with them, so a small one is sent to all
    tasks, and with a large one a hot key's rows are in a plain shuffle that Spark splits.
 3. Links found so far make components. Where an entry still holds classes of several components, pairs between these remain. A pair
    can't reach the threshold if sizes differ too much; if its Jaccard distances to the entry's smallest or largest id, where
    step 2 has computed them, differ by more than the threshold's distance (the triangle inequality); or if too few of its shingles are
-   left in its intersection with the smallest id and in documents that are still open, as no others can be in the pair's. Only what is left is compared.
+   left in its intersection with the smallest id and in documents that are still open, as no others can be in the pair's.
+4. What is left is compared. Where an entry holds few documents of small components (CROWD at most), and wherever a component is large, a
+   document asks for a component. In crowded entries, such as those of pages with a common frame that are no near-duplicates, documents
+   of small components fall into blocks of at most TILE by the smallest of their crowded entries; blocks that meet in an entry are
+   compared once, as wholes. So no row is written for a pair there: a set is shuffled once for each block that its own one meets, and what
+   grows with the square of an entry is the number of pairs of blocks.
 
 So no candidate that could join two components goes uncompared. Comparison is exact: intersections of the sets of 64-bit shingle
 hashes, of all words of the texts (a word's hash is XXH64's rounds over its bytes, a shingle's chains those of its words; two different
@@ -34,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import U64, Words, components, discard, mix, portions, scratch, slices, stored, texts_of, windows
+from gradewell.llm.vector_dedup import forest
 
 TILE = 256  # documents on a side of a tile
 GROUP = 2000  # documents, about, whose tiles are compared in one call
 ROOM = 4_000_000  # shingles, about, of the documents of one call, and half of them on a side of a tile; one document may have more
 BROADCAST_IDS = 500_000  # ids that may be sent to every task; more are joined by shuffling
+CROWD = 64  # documents of small components in an entry that may ask for each other one by one
 SALTS = 64  # parts into which the comparisons with one document fall
 
 
@@ -96,7 +103,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _tile(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Rows (tile, asks, id, set): in each tile every asking document against every other; (a, b), one for each a that has a link."""
+    """Rows (tile, asks, id, set): in each tile every asking document against every other; (a, b), a spanning forest of the tile's links."""
     tile, asks, sets = np.asarray(table.column("tile")), np.asarray(table.column("asks")), table.column("set").combine_chunks()
     ids, flat, at = table.column("id").combine_chunks(), np.asarray(sets.values), np.asarray(sets.offsets)
     size = np.diff(at)
@@ -119,10 +126,11 @@ def _tile(table: pa.Table, num: int, den: int) -> pa.Table:
                 m[o[part], k[part] - lo] = 1
             same += (mx @ my.T).astype(np.int64)
         total = size[x][:, None] + size[y][None, :] - same
-        link = same * den >= total * num
-        some = np.flatnonzero(link.any(1))
-        a.append(x[some])
-        b.append(y[link[some].argmax(1)])
+        i, j = np.nonzero(same * den >= total * num)
+        both, low = np.r_[x, y], forest(len(x) + len(y), i, j + len(x))
+        some = np.flatnonzero(low != np.arange(len(low)))
+        a.append(both[some])
+        b.append(both[low[some]])
     a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
     return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
 
@@ -135,7 +143,25 @@ def _tiled(asks: DataFrame, asked: DataFrame, weight: DataFrame, sets: DataFrame
     cuts = stored(parts(asks, "nx").join(parts(asked, "ny"), "to"), "cuts")
     x = asks.join(cuts, "to").select("id", "n", "to", F.pmod(F.xxhash64("id"), "nx").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"), F.lit(True).alias("asks"))
     y = asked.join(cuts, "to").select("id", "n", "to", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(F.xxhash64("id"), "ny").alias("by"), F.lit(False).alias("asks"))
-    rows = stored(x.union(y.select(x.columns)).select("id", "n", "asks", F.xxhash64("to", "bx", "by").alias("tile")), "tiles")
+    return _dealt(x.union(y.select(x.columns)).select("id", "n", "asks", F.xxhash64("to", "bx", "by").alias("tile")), sets, num, den, kind)
+
+
+def _crowded(rows: DataFrame, sets: DataFrame, num: int, den: int, kind: str) -> DataFrame:
+    """Rows (key, id, n) of crowded entries: all documents of an entry against each other, by blocks."""
+    homes = stored(rows.groupBy("id").agg(F.min("key").alias("home"), F.max("n").alias("n")), "homes")
+    cuts = stored(homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / (ROOM // 2))).cast("int").alias("k")), "cuts")
+    placed = stored(homes.join(cuts, "home").select("id", "n", F.xxhash64("home", F.pmod(F.xxhash64("id"), "k")).alias("block")), "placed")
+    met = stored(rows.join(placed.select("id", "block"), "id").select("key", "block").distinct(), "met")
+    meetings = stored(met.join(met.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct(), "meetings")
+    tile = F.xxhash64("block", "other").alias("tile")
+    x = placed.join(meetings, "block").select("id", "n", F.lit(True).alias("asks"), tile)
+    y = placed.withColumnRenamed("block", "other").join(meetings, "other").select("id", "n", F.lit(False).alias("asks"), tile)
+    return _dealt(x.union(y), sets, num, den, kind)
+
+
+def _dealt(tiles: DataFrame, sets: DataFrame, num: int, den: int, kind: str) -> DataFrame:
+    """Rows (id, n, asks, tile) compared tile by tile, some tiles in one call."""
+    rows = stored(tiles, "tiles")
     count, shingles = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     groups = max(1, count // GROUP, shingles // ROOM)
     dealt = rows.join(sets, "id").select("tile", "asks", "id", "set", F.pmod("tile", F.lit(groups)).alias("g"))
@@ -206,6 +232,12 @@ def _near_duplicates(docs: DataFrame, shingle: int, least: Fraction, m: int, r:
     # a document of one component and a component that it meets in an entry: the smaller component asks
     size = stored(inner.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("size")), "size")
     inner = stored(inner.join(size, "c"), "open")
+    crowd = stored(inner.where(f"size < {TILE}").groupBy("key").count().where(f"count > {CROWD}").select("key"), "crowd")
+    crowded = not crowd.isEmpty()
+    if crowded:
+        inner = stored(inner.join(crowd.withColumn("crowd", F.lit(True)), "key", "left").withColumn("dense", F.col("crowd").isNotNull() & (F.col("size") < TILE)).drop("crowd"), "open")
+    else:
+        inner = inner.withColumn("dense", F.lit(False))
 
     def asking(where: str, rows: DataFrame, big: bool) -> DataFrame:
         """Documents and components that meet at `where` and may hold a link."""
@@ -214,7 +246,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, least: Fraction, m: int, r:
             for d, low, high in (("d_lo", "lo0", "lo1"), ("d_hi", "hi0", "hi1"))
             for f, edge, name in ((F.min, 0.0, low), (F.max, 1.0, high))
         ]
-        ranges = stored(rows.where("size > 1" if big else "size = 1").groupBy(where, F.col("c").alias("to")).agg(
+        ranges = stored(rows.where("NOT dense").where("size > 1" if big else "size = 1").groupBy(where, F.col("c").alias("to")).agg(
             F.max("size").alias("to_size"), F.min("n").alias("to_n"), F.max("n").alias("to_most"), F.max("e").alias("to_e"),
             F.max(F.coalesce("s_lo", "n")).alias("to_s"), F.max(F.col("e") - F.coalesce("s_lo", F.lit(0))).alias("to_v"), *edges,
         ), "ranges")
@@ -223,7 +255,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, least: Fraction, m: int, r:
         needed = (F.col("n") + F.col("to_n")) * F.lit(num)
         return rows.join(
             ranges,
-            (rows[where] == ranges[where]) & ((F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("c") > F.col("to"))))
+            (rows[where] == ranges[where]) & (~F.col("dense") | (F.col("to_size") >= TILE)) & ((F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("c") > F.col("to"))))
             & (F.col("n") * F.lit(den) >= F.col("to_n") * F.lit(num)) & (F.col("to_most") * F.lit(den) >= F.col("n") * F.lit(num))
             & (F.least("e", "to_e") * F.lit(den + num) >= needed)
             # what both share with the smallest id, and what they may share beside it
@@ -232,10 +264,12 @@ def _near_duplicates(docs: DataFrame, shingle: int, least: Fraction, m: int, r:
         ).select("id", "to")
 
     # with components of several, wherever both are known from the same smallest id: an entry's documents are, and it is asked once
-    by_lo = inner.select("lo", "id", "n", "e", "c", "size", "d_lo", "s_lo", F.lit(None).cast("double").alias("d_hi")).distinct()
-    asks = stored(asking("lo", by_lo, True).union(asking("key", inner.where("size = 1"), False)).distinct(), "asks")
+    by_lo = inner.select("lo", "id", "n", "e", "c", "size", "d_lo", "s_lo", F.lit(None).cast("double").alias("d_hi"), "dense").distinct()
+    asks = stored(asking("lo", by_lo, True).union(asking("key", inner.where("size = 1 AND NOT dense"), False)).distinct(), "asks")
     asked = inner.select("id", F.col("c").alias("to")).distinct().join(asks.select("to").distinct(), "to", "left_semi").select("id", "to")
     more = _tiled(asks, asked, reps.groupBy("id").agg(F.sum("n").alias("n")), sets, num, den, kind)
+    if crowded:
+        more = more.union(_crowded(inner.where("dense").select("key", "id", "n"), sets, num, den, kind))
     found = components(links.union(more))
 
     group = reps.join(found, "id", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("c"))
