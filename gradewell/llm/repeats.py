@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from gradewell.llm.common import U64, discard, mix, scratch, slices, stored, texts_of
 
-CHUNK = 2 << 20  # bytes of text, about
+CHUNK = 1 << 20  # bytes of text, about
 GRAM = 20  # bytes of a trigger
 BUCKETS = 256  # at least
 BUCKET = 16 << 20  # bytes that a bucket is asked, about
 ORDERED = 40_000  # phrases that are ordered in one task, about
 WILD = 16  # phrases of a trigger in one chunk
 HOT = 20_000  # phrases of a trigger in a bucket
-_SEGMENT = 1 << 20  # positions that are parsed at once
+_SEGMENT = 1 << 15  # positions that are parsed at once: what stays in a core's cache
 _PLACE = U64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _NONE = np.iinfo(np.int64).max
@@ -61,7 +61,7 @@ def _grams(raw: np.ndarray, n: int) -> np.ndarray:
             out = now if out is None else out[: len(raw) - done - size + 1] * U64(factor) + now[done : done + len(raw) - done - size + 1]
             done += size
         if size * 2 > n:
-            return mix(out)
+            return (out ^ (out >> U64(29))) * U64(_BASE)
         now = now[:-size] * U64(factor) + now[size:]
         factor, size = factor * factor % 2**64, size * 2
 
