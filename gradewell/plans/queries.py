@@ -13,6 +13,7 @@ from gradewell.operators.attempts import attempts, resume_faults, resume_plan, s
 from gradewell.operators.scoring import labelled, score, with_gold
 from gradewell.plans.derived import TEXTS, cases, conversation_cases, outputs, pick, records, searches, table
 from gradewell.plans.checks import CHECK_SQL, CHECKS
+from gradewell.plans.job_queries import JOB_SQL, JOBS
 from gradewell.plans.oracles import ORACLES as _SQL
 from gradewell.schemas import TOOLS
 
@@ -207,5 +208,5 @@ QUERIES = {
     "journal_states": journal_states, "case_violations": case_violations, "duplicate_keys": duplicate_keys, "permission_sets": permission_sets, "tool_search_topk": tool_search_topk, "tool_get_first": tool_get_first, "tool_status": tool_status,
     "tool_calculate": tool_calculate, "tool_fault_precedence": tool_fault_precedence, "episode_terminal": episode_terminal, "episode_fold": episode_fold, "call_tracker": call_tracker, "call_ids": call_ids, "event_sequence": event_sequence,
     "case_digests": case_digests, "dataset_digest": dataset_digest, "checksum_diff": checksum_diff, "run_comparison": run_comparison, "ordered_selection": ordered_selection, "shape_mismatch": shape_mismatch, "prompt_text": prompt_text, "timing_csv": timing_csv, "report_table": report_table,
-} | CHECKS
-ORACLES = _SQL | CHECK_SQL
+} | CHECKS | JOBS
+ORACLES = _SQL | CHECK_SQL | JOB_SQL
