@@ -129,7 +129,7 @@ class Parse:
         best = best[i].astype(np.int64)
         new = np.r_[True, (best[1:] != best[:-1]) | (i[1:] != i[:-1] + 1)] if len(i) else np.zeros(0, bool)
         at = best[new]
-        return i[new] + lo, i[np.r_[new[1:], True]] + lo if len(i) else i, at + lo, h[at]
+        return i[new] + lo, i[np.r_[new[1:], True]] + lo if len(i) else i, at + lo, mix(h[at])  # least ones lie close together, buckets want them apart
 
     def wild(self, most: int) -> np.ndarray:
         """Of the distinct phrases, those whose trigger has more than `most` of them here."""
