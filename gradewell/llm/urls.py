@@ -187,16 +187,23 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["part", "n"])
 
 
+def _number(part: str) -> int:
+    """A part in 64 bits: what is joined by it need not carry its letters. Parts of equal numbers only share words that are then not found."""
+    return xxhash.xxh64_intdigest(part) - (1 << 63)
+
+
 def _url_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, url) to (key, part), parts by their numbers."""
     for batch in batches:
-        rows = [(url, part) for url in batch.column(0).to_pylist() for part in dict.fromkeys(parts_of(*split_url(url)))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["url", "part"])
+        rows = [(key, part) for key, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for part in {_number(p) for p in parts_of(*split_url(url))}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["key", "part"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], sizes: list[int], named: bool) -> Iterator[pa.RecordBatch]:
-    """Runs of letters that may be words: (hash, n), in how many pages' parts; or (part, hash)."""
+    """Runs of letters that may be words: (hash, n), in how many pages' parts; or (part, hash), a part by its number."""
     for batch in portions(batches, 5000):
-        runs = _Runs(batch.column(0).to_pylist())
+        texts = batch.column(0).to_pylist()
+        runs, numbers = _Runs(texts), np.fromiter(map(_number, texts), np.int64, len(texts))
         n, owner = np.asarray(batch.column(1)), np.repeat(np.arange(batch.num_rows), runs.sizes)
         left = np.repeat(runs.begin + runs.sizes, runs.sizes) - np.arange(len(owner))
         for size in sizes:
@@ -204,7 +211,7 @@ def _runs(batches: Iterator[pa.RecordBatch], sizes: list[int], named: bool) -> I
             if not len(at):
                 break
             if named:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[at])), pa.array(runs.hash(at, size))], ["part", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[owner[at]]), pa.array(runs.hash(at, size))], ["part", "hash"])
             else:
                 found, of = np.unique(runs.hash(at, size), return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(of, n[owner[at]]).astype(np.int64))], ["hash", "n"])
@@ -271,11 +278,12 @@ def _with_words(pages: DataFrame, rows: DataFrame, html_col: str, vocabulary: in
     counts = {r["word"]: r["n"] for r in found.where(F.col("power") >= least).select("word", "n").collect()}  # at most vocabulary
     others = found.where(F.col("power") < least)
     if not others.isEmpty():
-        of_part = parts.mapInArrow(lambda it: _runs(it, sizes, True), "part string, hash long").join(others, "hash").groupBy("part").agg(F.collect_set(F.struct("word", "n")).alias("own"))
+        of_part = parts.mapInArrow(lambda it: _runs(it, sizes, True), "part long, hash long").join(others, "hash").groupBy("part").agg(F.collect_set(F.struct("word", "n")).alias("own"))
         of_part = stored(of_part, "of-part")
-        of_url = rows.where("url IS NOT NULL").select("url").distinct().mapInArrow(_url_parts, "url string, part string").join(of_part, "part").groupBy("url").agg(F.flatten(F.collect_list("own")).alias("own"))
+        key = F.xxhash64("url").alias("key")  # equal keys of other urls only share words, as parts do
+        of_url = rows.where("url IS NOT NULL").select(key, "url").distinct().mapInArrow(_url_parts, "key long, part long").join(of_part, "part").groupBy("key").agg(F.flatten(F.collect_list("own")).alias("own"))
         own = stored(of_url, "own")
-        known = rows.where("url IS NOT NULL").join(own, "url", "left").select("page_id", "url", "own")
+        known = rows.where("url IS NOT NULL").select("*", key).join(own, "key", "left").select("page_id", "url", "own")
         rows = known.union(rows.where("url IS NULL").withColumn("own", F.lit(None).cast(own.schema["own"].dataType)))
     return rows, (counts, n_words, n_distinct)
 
