@@ -7,11 +7,11 @@ and `pieces`. What a stage returns is written as Parquet and read again by the n
 - lines: repeated lines go, exact and one word edit away; the text and n_chars are what is left. A document of which nothing but white
   space is left goes, one that was empty before stays.
 - near_duplicates: shingles of five words, similarity of 0.8 or more; the document with the smallest id of each group stays, once.
-  Rows without an id, and of repeated ids, are compared row by row. An id stays once: of different texts under one id that no row of
-  another id is near to, only the one with the least hash stays.
+  Rows without an id, and of repeated ids, are compared row by row: an id with a text is a document, so different texts under one id
+  that are no near duplicates all stay, each once.
 - mixing: each document as often as the mix takes it.
-- pieces: a sampled segmentation of each text, seeded by its doc_id. The stage's rows don't say which copy of a document they are, so
-  copies get the same pieces.
+- pieces: a sampled segmentation of each text, seeded by its doc_id and, as the stage's rows don't say which copy of a document they are,
+  by a number that rows of one id and text get here: copies are segmented each in its own way.
 
 Operators see doc_id, text and what they work on; all other columns wait in a struct, so columns of any names come out as they went in (the
 last stage alone adds one, `pieces`, in the place of one of that name). Tables between stages, and all that a stage stores, are deleted as
@@ -20,7 +20,7 @@ sampling, so there is no ORACLE_SQL; tests hold the stages against brute force."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewell.llm import language, lines, mixing, neardup, segmentation
@@ -64,9 +64,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = ranked.select("row", "rank", F.struct("rank", id_, F.xxhash64("text").alias("hash")).alias("key"), "text")
     found = neardup.near_duplicates(keyed, id_col="key").where("NOT kept").select(F.col("doc_id").alias("key")).distinct()
     left = keyed.join(found, "key", "left_anti")
-    # one row for each id, and for each text without one: the least by hash, then by its columns
-    one = left.where("rank > 0").groupBy("key.id", "rank", F.when(F.col("rank") == 1, F.col("key.hash")).alias("h"))
-    one = one.agg(F.min_by("row", F.struct("key.hash", F.to_json("row"))).alias("row"))
+    # one row for each id and text: the least by its columns
+    one = left.where("rank > 0").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return left.where("rank = 0").select("row.*").union(one.select("row.*"))
 
 
@@ -75,7 +74,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return segmentation.encode(docs)
+    rows = _packed(docs, "text").withColumn("hash", F.xxhash64("text"))
+    same = Window.partitionBy("doc_id", "hash").orderBy(F.xxhash64("row"), "text")
+    coded = segmentation.encode(rows.withColumn("copy", F.row_number().over(same)), copy_col="copy")
+    own = docs.select(*[c for c in docs.columns if c.lower() != "pieces"])
+    return coded.select(*[(F.col("text") if c.lower() == "text" else F.col("row").getField(c)).alias(c) for c in own.columns], "pieces")
 
 
 STAGES = [("language", language_stage), ("lines", line_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("pieces", pieces_stage)]
