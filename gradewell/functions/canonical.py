@@ -76,12 +76,25 @@ def dataset_digest(rows: DataFrame, pos: str, text: str, by: tuple[str, ...] = (
 FOLDS = {c: c.casefold() for c in map(chr, chain(range(0x80, 0xD800), range(0xE000, 0x2FA20))) if c.lower() == c != c.casefold()}
 
 
+def _ranges(chars: list[str], gap: int = 0x200) -> str:
+    """A class for Java patterns that holds these characters, and few others: runs of them with gaps as wide as this in one range."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and c < 0x250 and c - out[-1][1] > 1 or not out or c - out[-1][1] > gap:
+            out.append([c, c])
+        out[-1][1] = c
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+_MAY_FOLD = _ranges(list(FOLDS))
+
+
 def folded(text: Column) -> Column:
-    """Case folding by built-ins: lower case, then the characters above; those that become several are replaced in the few texts that have some."""
-    several = {c: x for c, x in FOLDS.items() if len(x) > 1}
-    one = F.translate(F.lower(text), "".join(FOLDS.keys() - several.keys()), "".join(FOLDS[c] for c in FOLDS.keys() - several.keys()))
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(x).alias("x")) for c, x in several.items()])
-    return F.when(one.rlike("[" + "".join(several) + "]"), F.aggregate(pairs, one, lambda t, p: F.replace(t, p["c"], p["x"]))).otherwise(one)
+    """Case folding by built-ins: lower case, then the characters above. One pass looks for what may be one of them; of those that a text
+    has, each is replaced, and most texts have none."""
+    lower, table = F.lower(text), F.create_map(*[F.lit(x) for pair in FOLDS.items() for x in pair])
+    found = F.filter(F.array_distinct(F.regexp_extract_all(lower, F.lit(_MAY_FOLD), F.lit(0))), lambda c: table[c].isNotNull())
+    return F.when(lower.rlike(_MAY_FOLD), F.aggregate(found, lower, lambda t, c: F.replace(t, c, table[c]))).otherwise(lower)
 
 
 def run_id(prefix: str, hash_: Column, length: int) -> Column:

@@ -4,17 +4,17 @@ A call is judged in this order: a tool that isn't available, one that isn't perm
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.functions.canonical import canonical, folded, payload_digest
 from gradewell.schemas import TOOLS
+from gradewell.sources.places import written
 
-#: How many queries may be sent to every task of a search.
-BROADCAST_ROWS = 50_000
+#: Characters of the blocks that a search is indexed by, at most.
+GRAM = 8
 
 
 def permission_flags(permitted: Column) -> list[Column]:
@@ -29,37 +29,47 @@ def first_match(calls: DataFrame, table: DataFrame, call_key: str, table_key: st
     return calls.join(first, F.col(call_key) == F.col("__key"), "left").drop("__key")
 
 
-def _hits(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows whose last column holds some of the words, once for each, with the word in that column's place."""
-    import ahocorasick
+def _blocks(text: Column, size: int) -> Column:
+    """The distinct ones of the blocks of this many characters that a text falls into; what is left at its end is none."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s).{{{size}}}"), F.lit(0)))
 
-    tree = ahocorasick.Automaton()
-    for w in words:
-        tree.add_word(w, w)
-    tree.make_automaton()
-    for batch in batches:
-        found = [(k, w) for k, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()) if text for w in sorted({w for _, w in tree.iter(text)})]
-        at = pa.array([k for k, _ in found], pa.int64())
-        yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[:-1]], pa.array([w for _, w in found], pa.string())], batch.schema.names)
+
+def search_index(queries: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """queries (query), not empty; records (record_id, text). Wherever a query stands in a text, each run of 2 * size - 1 of its characters
+    holds a whole block of the text. So two tables do, both written: (query, size, at, gram), the runs of `size` characters from each
+    place of a query, size being GRAM, or what a short query allows; (gram, record_id), the records that have one as a block."""
+    sized = queries.distinct().withColumn("size", F.least(F.lit(GRAM), F.floor((F.length("query") + 1) / 2)).cast("int"))
+    places = F.transform(F.sequence(F.lit(1), F.length("query") - F.col("size") + 1), lambda i: F.substring(F.col("query"), i, F.col("size")))
+    asked = written(sized.select("query", "size", F.posexplode(places).alias("at", "gram")))
+    some = asked.select("size", "gram").distinct()
+    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # GRAM numbers at most
+    rows = [records.select("record_id", F.explode(_blocks(F.col("text"), n)).alias("gram")).join(some.where(F.col("size") == n), "gram", "left_semi").select("gram", "record_id") for n in sizes]
+    return asked, written(reduce(DataFrame.union, rows, records.where("false").select(F.col("text").alias("gram"), "record_id")))
+
+
+def rarest(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(query, gram): of each query the `size` grams in a row that fewest records have, together; one of them is in every text it is in."""
+    counted = asked.join(index.groupBy("gram").count(), "gram", "left").withColumn("n", F.coalesce("count", F.lit(0)))
+    lists = counted.groupBy("query", "size").agg(F.array_sort(F.collect_list(F.struct("at", "n", "gram"))).alias("grams"))  # a query's own length
+    total = lambda i: F.aggregate(F.slice("grams", i, F.col("size")), F.lit(0).cast("long"), lambda s, g: s + g["n"])
+    starts = F.transform(F.sequence(F.lit(1), F.size("grams") - F.col("size") + 1), lambda i: F.struct(total(i).alias("n"), i.alias("at")))
+    best = F.slice("grams", F.array_min(starts)["at"], F.col("size"))
+    return lists.select("query", F.explode(F.array_distinct(F.transform(best, lambda g: g["gram"]))).alias("gram"))
 
 
 def search_matches(calls: DataFrame, records: DataFrame) -> DataFrame:
     """calls (call_id, query, as_of_date, limit) by records (record_id, text, observed_at, ..): ranked hits, newest first, then by id
-    descending, at most `limit` for each call (5 where null). Texts are read once for all queries: distinct ones make an automaton that
-    finds them all in one pass over a text; BROADCAST_ROWS of them make one, so many calls take more passes, never more pairs. An empty
-    query is in every text. Hits meet their calls by the query, and a call keeps its best rows before anything is shuffled."""
+    descending, at most `limit` for each call (5 where null). Records meet queries in an index of blocks of characters (gram, record): each
+    query takes the records of its rarest grams, and these are asked whether they hold the whole of it. An empty query is in every text. All
+    steps are joins by equality; no query reaches the driver. Distinct queries are searched once, and a call keeps its best rows before
+    they are shuffled. The blocks of a text are one array in its task."""
     c = calls.select("call_id", folded(F.col("query")).alias("__q"), "as_of_date", F.coalesce("limit", F.lit(5)).alias("__limit"))
-    r = records.withColumn("__q", folded(F.col("text")))
-    queries = c.select("__q").where("__q <> ''").distinct()
-    parts = max(1, -(-queries.count() // BROADCAST_ROWS))
-    every = r.where("text IS NOT NULL").withColumn("__q", F.lit(""))
-    for k in range(parts):
-        words = [x["__q"] for x in queries.where(F.pmod(F.xxhash64("__q"), F.lit(parts)) == k).collect()]
-        if words:
-            sent = r.sparkSession.sparkContext.broadcast(words)
-            every = every.union(r.mapInArrow(lambda it, sent=sent: _hits(it, sent.value), r.schema))
-    if c.where("__q = ''").isEmpty():
-        every = every.where("__q <> ''")
+    r = records.where("text IS NOT NULL").withColumn("__text", folded(F.col("text")))
+    asked, index = search_index(c.where("__q <> ''").select(F.col("__q").alias("query")), r.select("record_id", F.col("__text").alias("text")))
+    found = rarest(asked, index).join(index, "gram").select(F.col("query").alias("__q"), F.col("record_id").alias("__id")).distinct()
+    every = r.join(found, F.col("record_id").eqNullSafe(F.col("__id"))).where(F.contains("__text", "__q")).drop("__id", "__text")
+    if not c.where("__q = ''").isEmpty():
+        every = every.unionByName(r.drop("__text").withColumn("__q", F.lit("")))
     hit = every.join(c, "__q").where(F.col("as_of_date").isNull() | (F.col("observed_at") <= F.col("as_of_date")))
     ranked = hit.withColumn("rank", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc("observed_at"), F.desc("record_id"))))
     return ranked.where((F.col("rank") <= F.col("__limit")) & (F.col("rank") <= 10)).drop("__q", "__limit")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +27,22 @@ def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed: what comes after doesn't run it again, also if an executor is lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back: computed once, where checkpoint() computes it twice. It goes when the driver ends."""
+    path = f"{shared_folder(df.sparkSession)}/gradewell-table-{uuid.uuid4().hex}"
+    _written.append((df.sparkSession, path))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    for spark, place in _written:
+        with contextlib.suppress(Exception):  # the session may have ended
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gradewell.functions.canonical import canonical, dataset_digest, digest
 from gradewell.functions.prompt import prompt
 from gradewell.operators.validation import case_rules, violations
-from gradewell.sources.places import cut
+from gradewell.sources.places import written
 from jobs.common import log, main, read, write
 
 
@@ -49,12 +49,12 @@ def run(spark: SparkSession, settings: dict, conversations: str, documents: str,
     turns = read(spark, conversations, settings["conversations"]).where("conv_id IS NOT NULL")
     long = turns.groupBy("conv_id").count().where(F.col("count") > settings["max_turns"]).select("conv_id")
     # kept: what follows asks for it several times
-    found = cut(candidates(turns.join(long, "conv_id", "left_anti"), read(spark, documents, settings["documents"]), settings))
+    found = written(candidates(turns.join(long, "conv_id", "left_anti"), read(spark, documents, settings["documents"]), settings))
     rules = {name: rule for name, rule in case_rules().items() if name in settings["rules"]} | {"prompt_chars": F.col("n_chars") <= settings["max_prompt_chars"]}
     broken = violations(found, "case_id", rules)
     good = found.join(broken.select(F.col("key").alias("case_id")).distinct(), "case_id", "left_anti")
     # the smallest number of each prompt, then a join by number: cases that many share don't meet in one task
-    first = cut(good.groupBy("prompt_sha256").agg(F.min("conv_id").alias("conv_id")).select("conv_id"))
+    first = written(good.groupBy("prompt_sha256").agg(F.min("conv_id").alias("conv_id")).select("conv_id"))
     kept, again = good.join(first, "conv_id", "left_semi"), good.join(first, "conv_id", "left_anti")
     rejected = broken.union(long.select(F.lit("turns"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")))).union(again.select(F.lit("duplicate"), "case_id"))
     parts = kept.select("split", F.substring("prompt_sha256", 1, 1).alias("part"), F.col("conv_id").alias("pos"), canonical(F.struct("case_id", "prompt_sha256")).alias("json"))
