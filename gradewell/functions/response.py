@@ -1,226 +1,282 @@
 """Strict parsing of raw model outputs into typed decisions.
 
 JSON syntax is that of a lenient decoder that no Spark parser matches (last of repeated keys wins, NaN is a number, nothing may follow the
-document), so a row that isn't blank crosses to Python once, in Arrow batches; there its fields are checked against the contract as well,
-and it comes back as typed columns. Blank rows never cross. A text that breaks rules yields the first code of: any unknown field,
-an unknown tool, an error under the arguments, anything else. An unknown or missing decision ends the descent at once."""
+document), so a row that isn't blank crosses to Python once, in Arrow batches, and comes back as plain JSON. Blank rows never cross. All else
+is expressions over VARIANT, made from the tables of fields below: types, bounds, defaults, what lax fields take, unknown fields. A text that
+breaks rules yields the first code of: any unknown field, an unknown tool, an error under the arguments, anything else. An unknown or missing
+decision ends the descent at once."""
 
 from __future__ import annotations
 
-import datetime
+import functools
 import json
 import math
-import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.schemas import ANSWERABILITIES, FAILURE, OPERATIONS, RESPONSE, TOOLS
+from gradewell.schemas import ANSWERABILITIES, CLAIMS, FAILURE, OPERATIONS, RESPONSE, TOOL_CALL, TOOLS
 
 PARSED = f"struct<response:{RESPONSE},failure:{FAILURE}>"
+_SPACE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: What counts as white space around a text, as a class for Java patterns.
-BLANK = r"^[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]*$"
+BLANK = rf"^[{_SPACE}]*$"
 
-_BAD = object()
-Check = Callable[[object], object]
+#: A check takes a variant to its value, null if it is wrong.
+Check = Callable[[Column], Column]
 
 
-def _text(least: int = 1, most: float = math.inf) -> Check:
-    return lambda x: x if isinstance(x, str) and least <= len(x) <= most else _BAD
+def _yes(x: Column) -> Column:
+    return F.coalesce(x, F.lit(False))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is made once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _string(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def _is(v: Column, kind: str) -> Column:
+    return _yes(F.schema_of_variant(v) == kind)
+
+
+def _fields_of(v: Column) -> Column:
+    """An object's fields, null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _items_of(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _text(least: int = 1, most: int | None = None) -> Check:
+    fits = lambda s: (F.length(s) >= least) & (F.length(s) <= most) if most else F.length(s) >= least
+    return lambda v: _let(F.when(_is(v, "STRING"), _string(v)), lambda s: F.when(fits(s), s))
 
 
 def _one_of(*values: str) -> Check:
-    return lambda x: x if isinstance(x, str) and x in values else _BAD
+    return lambda v: _let(F.when(_is(v, "STRING"), _string(v)), lambda s: F.when(s.isin(*values), s))
 
 
-def _number(x: object) -> object:
-    if isinstance(x, str):
-        try:
-            x = float(x.strip().replace("_", "x"))
-        except ValueError:
-            return _BAD
-    if not isinstance(x, (int, float)):
-        return _BAD
-    try:
-        x = float(x)
-    except OverflowError:
-        return _BAD
-    return x if math.isfinite(x) else _BAD
+def _as_double(v: Column, pattern: str, booleans: bool = True, strip: bool = True) -> Column:
+    """A number, a boolean, or a text that spells a number as the pattern says; else null."""
+    s = F.regexp_replace(_string(v), rf"^[{_SPACE}]+|[{_SPACE}]+\z", "") if strip else _string(v)
+    spelled = _let(F.when(_is(v, "STRING"), s), lambda t: F.when(t.rlike(pattern), t.try_cast("double")))
+    plain = F.schema_of_variant(v).rlike(r"^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)" if booleans else r"^(BIGINT|DOUBLE|DECIMAL)")
+    return _let(F.when(plain, F.try_variant_get(v, "$", "double")).otherwise(spelled), lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x))
+
+
+def _number(v: Column) -> Column:
+    return _as_double(v, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z")
 
 
 def _whole(least: int, most: int) -> Check:
-    def check(x: object) -> object:
-        if isinstance(x, str):
-            x = x.strip()
-            if not re.fullmatch(r"[+-]?\d+(\.0*)?", x, re.ASCII):
-                return _BAD
-            x = int(x.partition(".")[0])
-        if isinstance(x, float):
-            if not math.isfinite(x) or x != int(x):
-                return _BAD
-            x = int(x)
-        return int(x) if isinstance(x, int) and least <= x <= most else _BAD
-
-    return check
-
-
-def _day(x: object) -> object:
+    return lambda v: _let(_as_double(v, r"^[+-]?\d+(\.0*)?\z"), lambda x: F.when((x == F.floor(x)) & (x >= least) & (x <= most), x.try_cast("int")))
+
+
+def _day(v: Column) -> Column:
     """An ISO day; a midnight of seconds since 1970 as a number or digits; a date and time at midnight."""
-    if x is None:
-        return None
-    if isinstance(x, str):
-        if re.fullmatch(r"\d{4}-\d\d-\d\d", x, re.ASCII):
-            try:
-                return datetime.date.fromisoformat(x).isoformat()
-            except ValueError:
-                return _BAD
-        if m := re.fullmatch(r"(\d{4}-\d\d-\d\d)[T ]00:00(:00(\.0+)?)?(Z|[+-]00:?00)?", x, re.ASCII):
-            return _day(m[1])
-        if not re.fullmatch(r"[+-]?\d+(\.\d+)?", x, re.ASCII) or len(x) == 8:
-            return _BAD
-        x = float(x)
-    if isinstance(x, bool) or not isinstance(x, (int, float)) or not math.isfinite(x) or x % 86400:
-        return _BAD
-    if abs(x) > 2e10:
-        x /= 1000
-    try:
-        return (datetime.date(1970, 1, 1) + datetime.timedelta(days=x / 86400)).isoformat()
-    except OverflowError:
-        return _BAD
 
+    def counted(x: Column) -> Column:
+        days = F.when(x % 86400 == 0, F.floor(F.when(F.abs(x) > 2e10, x / 1000).otherwise(x) / 86400))
+        return _let(days, lambda n: F.when(n.between(-719162, 2932896), F.date_add(F.lit("1970-01-01").cast("date"), n.try_cast("int")).cast("string")))
 
-def _many(item: Check) -> Check:
-    def check(x: object) -> object:
-        if not isinstance(x, list):
-            return _BAD
-        out = [item(v) for v in x]
-        return _BAD if any(v is _BAD for v in out) else out
+    def of(s: Column) -> Column:
+        iso = s.rlike(r"^\d{4}-\d\d-\d\d([T ]00:00(:00(\.0+)?)?(Z|[+-]00:?00)?)?\z")
+        named = _let(F.substring(s, 1, 10), lambda d: F.when(~d.startswith("0000") & d.try_cast("date").isNotNull(), d))
+        number = F.when(s.isNull() | (F.length(s) != 8), _as_double(v, r"^[+-]?\d+(\.\d+)?\z", booleans=False, strip=False))
+        return F.when(iso, named).otherwise(_let(number, counted))
 
-    return check
+    return _let(F.when(_is(v, "STRING"), _string(v)), of)
 
 
-_REFS = _many(_text())
+def _many(item: Check) -> Check:
+    return lambda v: _let(F.transform(_items_of(v), item), lambda found: F.when(F.forall(found, lambda x: x.isNotNull()), found))
+
+
+_REFS, _TEXTS = _many(_text()), "array<string>"
 _REQUIRED = object()
-# field: (check, default); _REQUIRED has none
-ARGUMENT_FIELDS = {
-    "search_records": {"query": (_text(1, 500), _REQUIRED), "as_of_date": (_day, None), "limit": (_whole(1, 10), 5)},
+# field: (check, default as (value, type)), null beside its check where null is right; _REQUIRED has no default
+ARGUMENT_FIELDS: dict[str, dict] = {
+    "search_records": {"query": (_text(1, 500), _REQUIRED), "as_of_date": (_day, (None, "string")), "limit": (_whole(1, 10), (5, "int"))},
     "get_record": {"record_id": (_text(), _REQUIRED)},
     "calculate": {"operation": (_one_of(*OPERATIONS), _REQUIRED), "left": (_number, _REQUIRED), "right": (_number, _REQUIRED)},
     "lookup_status": {"subject_id": (_text(), _REQUIRED)},
 }
-_COMMON = {"schema_version": (_one_of("1.0"), "1.0"), "status": (_one_of("OK"), "OK"), "answerability": (_one_of(*ANSWERABILITIES), _REQUIRED)}
-DECISION_FIELDS = {
-    "RESPOND": {"answer": (_text(), _REQUIRED), "claims": (None, []), "citations": (_REFS, [])},
-    "CALL_TOOL": {"tool_call": (None, _REQUIRED)},
+CLAIM_FIELDS = {"claim": (_text(), _REQUIRED), "evidence_refs": (_REFS, ([], _TEXTS))}
+COMMON_FIELDS = {"schema_version": (_one_of("1.0"), ("1.0", "string")), "status": (_one_of("OK"), ("OK", "string")), "answerability": (_one_of(*ANSWERABILITIES), _REQUIRED)}
+# claims and tool_call are looked at on their own
+DECISION_FIELDS: dict[str, dict] = {
+    "RESPOND": {"answer": (_text(), _REQUIRED), "claims": None, "citations": (_REFS, ([], _TEXTS))},
+    "CALL_TOOL": {"tool_call": None},
     "ASK_CLARIFICATION": {"question": (_text(), _REQUIRED)},
     "REFUSE": {"reason": (_text(), _REQUIRED)},
 }
+_NULLABLE = ("as_of_date",)
+_NAMES = ("answer", "answerability", "citations", "claims", "decision", "question", "reason", "schema_version", "status", "tool_call")
+_ARGUMENTS = ("as_of_date", "left", "limit", "operation", "query", "record_id", "right", "subject_id")
+
+
+def _field(m: Column, name: str, check: Check, default: object) -> Column:
+    """struct<bad, value> of a field of an object."""
+    there = F.map_contains_key(m, name)
+    absent = None if default is _REQUIRED else (F.array() if default[0] == [] else F.lit(default[0])).cast(default[1])
+    bad = lambda x: x.isNull() & ~_is(m[name], "VOID") if name in _NULLABLE else x.isNull()
+    found = _let(check(m[name]), lambda x: F.struct(bad(x).alias("bad"), x.alias("value")))
+    return F.when(there, found).otherwise(F.struct(F.lit(default is _REQUIRED).alias("bad"), (F.lit(None) if absent is None else absent).alias("value")))
+
+
+def _unknown(m: Column, names: Column) -> Column:
+    return _yes(F.size(F.array_except(F.map_keys(m), names)) > 0)
+
+
+def _names(*names: str) -> Column:
+    return F.array(*[F.lit(n) for n in names])
+
+
+def _one_kind(kind: Column, m: Column, kinds: dict[str, dict]) -> Column:
+    """A struct of the fields of all kinds, each struct<bad, value>: null but for those of the kind that it is."""
+    return F.struct(*[F.when(kind == k, _field(m, name, *field)).alias(name) for k, own in kinds.items() for name, field in own.items() if field is not None])
+
+
+def _any_bad(fields: Column, names: list[str]) -> Column:
+    return F.exists(F.array(*[F.coalesce(fields[n]["bad"], F.lit(False)) for n in names]), lambda x: x)
 
 
-class _Faults:
-    """What was found wrong, by the rank of its code."""
-
-    def __init__(self) -> None:
-        self.unknown = self.tool = self.argument = self.other = False
-
-    @property
-    def code(self) -> str | None:
-        return "UNKNOWN_FIELD" if self.unknown else "INVALID_TOOL" if self.tool else "ARGUMENT_INVALID" if self.argument else "PARSE_ERROR" if self.other else None
-
-    def fields(self, found: dict, wanted: dict, kind: str) -> dict:
-        out = {}
-        self.unknown |= bool(found.keys() - wanted.keys() - ({"decision"} if kind == "other" else set()))
-        for name, (check, default) in wanted.items():
-            if check is None:
-                continue
-            value = check(found[name]) if name in found else default
-            if value is _BAD or value is _REQUIRED:
-                setattr(self, kind, True)
-            else:
-                out[name] = value
-        return out
-
-    def claims(self, found: object) -> list | None:
-        if not isinstance(found, list):
-            self.other = True
-            return None
-        out = []
-        for item in found:
-            if not isinstance(item, dict):
-                self.other = True
-                continue
-            inner = _Faults()
-            out.append(inner.fields(item, {"claim": (_text(), _REQUIRED), "evidence_refs": (_REFS, [])}, "inner"))
-            self.unknown |= inner.unknown
-            self.other |= getattr(inner, "inner", False)
-        return out
-
-    def call(self, found: object) -> dict | None:
-        if not isinstance(found, dict) or "tool" not in found:
-            self.other = True
-            return None
-        if not isinstance(found["tool"], str) or found["tool"] not in TOOLS:
-            self.tool = True
-            return None
-        self.unknown |= bool(found.keys() - {"tool", "arguments"})
-        if not isinstance(found.get("arguments"), dict):
-            self.argument = True
-            return None
-        return {"tool": found["tool"], "arguments": self.fields(found["arguments"], ARGUMENT_FIELDS[found["tool"]], "argument")}
-
-
-def parse_text(raw: str) -> tuple[dict | None, str | None, str | None]:
-    """(response, code, message); a message is for people and not part of the contract."""
-    if not raw.strip():
-        return None, "PARSE_ERROR", "The output is blank."
+def _claims(v: Column) -> Column:
+    """struct<unknown, other, value> of claims."""
+
+    def one(m: Column) -> Column:
+        def told(f: Column) -> Column:
+            return F.struct(_unknown(m, _names(*CLAIM_FIELDS)).alias("unknown"), (m.isNull() | _any_bad(f, list(CLAIM_FIELDS))).alias("other"), F.struct(*[f[n]["value"].alias(n) for n in CLAIM_FIELDS]).alias("value"))
+
+        return _let(F.struct(*[_field(m, n, *CLAIM_FIELDS[n]).alias(n) for n in CLAIM_FIELDS]), told)
+
+    whole = lambda c: F.struct(_yes(F.exists(c, lambda x: x["unknown"])).alias("unknown"), (c.isNull() | _yes(F.exists(c, lambda x: x["other"]))).alias("other"), F.transform(c, lambda x: x["value"]).alias("value"))
+    return _let(F.transform(_items_of(v), lambda x: _let(_fields_of(x), one)), whole)
+
+
+def _call(v: Column) -> Column:
+    """struct<unknown, tool, argument, other, value> of a tool call: what is wrong with it ends the look at it where the contract says so."""
+    names = [n for own in ARGUMENT_FIELDS.values() for n in own]
+    known = F.create_map(*[x for t, own in ARGUMENT_FIELDS.items() for x in (F.lit(t), _names(*own))])
+
+    def one(m: Column) -> Column:
+        def called(tool: Column) -> Column:
+            def told(a: Column) -> Column:
+                def verdict(f: Column) -> Column:
+                    lacking = m.isNull() | ~_yes(F.map_contains_key(m, "tool"))
+                    wrong = ~lacking & tool.isNull()
+                    right = tool.isNotNull()
+                    call = F.struct(F.struct(*[f[n]["value"].alias(n) for n in _ARGUMENTS]).alias("arguments"), tool.alias("tool")).cast(TOOL_CALL)
+                    more = right & (_unknown(m, _names("tool", "arguments")) | _unknown(a, known[tool]))
+                    return F.struct(more.alias("unknown"), wrong.alias("tool"), (right & (a.isNull() | _any_bad(f, names))).alias("argument"), lacking.alias("other"), call.alias("value"))
+
+                return _let(_one_kind(tool, a, ARGUMENT_FIELDS), verdict)
+
+            return _let(_fields_of(m["arguments"]), told)
+
+        return _let(_one_of(*TOOLS)(m["tool"]), called)
+
+    return _let(_fields_of(v), one)
+
+
+def _judged(m: Column) -> Column:
+    """struct<response, code> of an object's fields; null if the decision is missing or unknown."""
+    known = F.create_map(*[x for d, own in DECISION_FIELDS.items() for x in (F.lit(d), _names("decision", *COMMON_FIELDS, *own))])
+    names = [*COMMON_FIELDS, *[n for own in DECISION_FIELDS.values() for n, f in own.items() if f is not None]]
+
+    def decided(decision: Column) -> Column:
+        own = _one_kind(decision, m, DECISION_FIELDS)
+        claims = F.when((decision == "RESPOND") & F.map_contains_key(m, "claims"), _claims(m["claims"]))
+        call = F.when(decision == "CALL_TOOL", _call(m["tool_call"]))
+        common = F.struct(*[_field(m, n, *field).alias(n) for n, field in COMMON_FIELDS.items()])
+
+        def verdict(x: Column) -> Column:
+            claims, call, own, common = (x[n] for n in ("claims", "call", "own", "common"))
+            bad = _any_bad(common, list(COMMON_FIELDS)) | _any_bad(own, [n for n in names if n not in COMMON_FIELDS])
+            code = (
+                F.when(_unknown(m, known[decision]) | _yes(claims["unknown"]) | _yes(call["unknown"]), "UNKNOWN_FIELD").when(_yes(call["tool"]), "INVALID_TOOL").when(_yes(call["argument"]), "ARGUMENT_INVALID")
+                .when(bad | _yes(claims["other"]) | _yes(call["other"]), "PARSE_ERROR")
+            )
+            values = {n: (common if n in COMMON_FIELDS else own)[n]["value"] for n in names} | {"decision": decision, "tool_call": call["value"]}
+            values["claims"] = F.when(decision == "RESPOND", F.coalesce(claims["value"], F.array().cast(CLAIMS)))
+            response = F.struct(*[values[n].alias(n) for n in _NAMES]).cast(RESPONSE)
+            return _let(code, lambda c: F.struct(F.when(c.isNull(), response).alias("response"), c.alias("code")))
+
+        return F.when(decision.isNotNull(), _let(F.struct(claims.alias("claims"), call.alias("call"), own.alias("own"), common.alias("common")), verdict))
+
+    return _let(_one_of(*DECISION_FIELDS)(m["decision"]), decided)
+
+
+_NO_NUMBER: dict = {}
+
+
+def _whole_number(s: str) -> object:
+    x = int(s)
+    if -(2**63) <= x < 2**63:
+        return x
     try:
-        found = json.loads(raw)
-    except (ValueError, RecursionError) as e:
-        return None, "PARSE_ERROR", f"The output is not JSON: {getattr(e, 'msg', 'nested too deep')}"
-    if not isinstance(found, dict):
-        return None, "PARSE_ERROR", "The output is JSON but not an object."
-    decision = found.get("decision")
-    if not isinstance(decision, str) or decision not in DECISION_FIELDS:
-        return None, "PARSE_ERROR", "The decision is missing or unknown."
-    faults = _Faults()
-    wanted = _COMMON | DECISION_FIELDS[decision]
-    out = {"decision": decision} | faults.fields(found, wanted, "other")
-    if decision == "RESPOND":
-        out["claims"] = faults.claims(found["claims"]) if "claims" in found else []
-    if decision == "CALL_TOOL":
-        out["tool_call"] = faults.call(found.get("tool_call"))
-    if faults.code:
-        return None, faults.code, "The output breaks the response contract."
-    return out, None, None
-
-
-def _parse(raw: pd.Series) -> pd.DataFrame:
-    names = ("answer", "answerability", "citations", "claims", "decision", "question", "reason", "schema_version", "status", "tool_call")
-    arguments = ("as_of_date", "left", "limit", "operation", "query", "record_id", "right", "subject_id")
-    responses, failures = [], []
+        return float(x)
+    except OverflowError:
+        return _NO_NUMBER
+
+
+def _plain(raw: str) -> str:
+    """JSON that any parser reads. A number that is none, or has no place in a double, becomes an object, which is wrong wherever a number is."""
+    found = json.loads(raw, parse_constant=lambda _: _NO_NUMBER, parse_int=_whole_number, parse_float=lambda s: x if math.isfinite(x := float(s)) else _NO_NUMBER)
+    found = None if found is _NO_NUMBER else found
+    return json.dumps(found, ensure_ascii=False).encode("utf-8", "replace").decode()
+
+
+def _syntax(raw: pd.Series) -> pd.DataFrame:
+    out = []
     for text in raw:
-        response, code, message = parse_text(text) if text is not None else (None, None, None)
-        if response is not None:
-            response = {n: response.get(n) for n in names}
-            if call := response["tool_call"]:
-                response["tool_call"] = {"arguments": {n: call["arguments"].get(n) for n in arguments}, "tool": call["tool"]}
-        responses.append(response)
-        failures.append({"code": code, "message": message} if code else None)
-    return pd.DataFrame({"response": pd.Series(responses, dtype=object), "failure": pd.Series(failures, dtype=object)})
+        try:
+            out.append((None, None) if text is None else (_plain(text), None))
+        except (ValueError, RecursionError) as e:
+            out.append((None, f"The output is not JSON: {getattr(e, 'msg', 'nested too deep')}"))
+    return pd.DataFrame(out, columns=["json", "fault"], dtype=object)
 
 
 def is_blank(raw: Column) -> Column:
     return raw.rlike(BLANK)
 
 
-def parse_response(raw: Column) -> Column:
-    """struct<response, failure>: exactly one is set; both are null for a null text. Python gets null for blank texts."""
+def read_json(raw: Column) -> Column:
+    """struct<json, fault>: the text as plain JSON, or what is wrong with its syntax. Blank texts don't cross to Python."""
+    return F.pandas_udf(_syntax, "struct<json:string,fault:string>")(F.when(~is_blank(raw), raw))
+
+
+def parse_response(raw: Column, read: Column) -> Column:
+    """struct<response, failure>: exactly one is set; null for a null text. read: a column that holds read_json(raw)."""
     blank = is_blank(raw)
-    parsed = F.pandas_udf(_parse, PARSED)(F.when(~blank, raw))
-    failed = F.struct(F.lit("PARSE_ERROR").alias("code"), F.lit("The output is blank.").alias("message"))
-    return F.struct(
-        F.when(~blank & parsed["response"]["decision"].isNotNull(), parsed["response"]).alias("response"),
-        F.when(blank, failed).when(parsed["failure"]["code"].isNotNull(), parsed["failure"]).alias("failure"),
-    )
+
+    def whole(m: Column) -> Column:
+        return F.struct(m.isNotNull().alias("object"), F.when(m.isNotNull(), _judged(m)).alias("judged"))
+
+    def verdict(x: Column) -> Column:
+        code = x["judged"]["code"]
+        message = F.when(blank, "The output is blank.").when(read["fault"].isNotNull(), read["fault"]).when(~x["object"], "The output is JSON but not an object.").when(x["judged"].isNull(), "The decision is missing or unknown.").when(code.isNotNull(), "The output breaks the response contract.")
+        failure = F.when(message.isNotNull(), F.struct(F.when(blank | code.isNull(), "PARSE_ERROR").otherwise(code).alias("code"), message.alias("message")))
+        return F.when(raw.isNotNull(), F.struct(x["judged"]["response"].alias("response"), failure.alias("failure")).cast(PARSED))
+
+    # not taken apart and put together here: the optimizer would then make it anew for each field that is asked for
+    return _let(_let(_fields_of(F.try_parse_json(read["json"])), whole), verdict)
+
+
+@functools.lru_cache(maxsize=1)
+def _parser(context: SparkContext) -> Column:
+    """parse_response() of the columns __text and __read: a large expression, so it is made once."""
+    return parse_response(F.col("__text"), F.col("__read"))
+
+
+def with_response(df: DataFrame, raw: Column, name: str) -> DataFrame:
+    """df with the parsed text as a column; two steps, as Python can't be called within expressions that name a value twice."""
+    return df.select("*", raw.alias("__text"), read_json(raw).alias("__read")).withColumn(name, _parser(df.sparkSession.sparkContext)).drop("__text", "__read")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.functions.canonical import attempt_id
-from gradewell.functions.response import parse_response
+from gradewell.functions.response import with_response
 
 #: How a model's failure becomes an attempt: failure -> (status, error code).
 FAILURES = {"timeout": ("timeout", "TIMEOUT"), "context_overflow": ("execution_error", "CONTEXT_OVERFLOW"), "budget": ("execution_error", "BUDGET_EXHAUSTED"), "error": ("execution_error", "EXECUTION_ERROR")}
@@ -16,7 +16,7 @@ def attempts(outputs: DataFrame, run: Column) -> DataFrame:
     """outputs: case_id, family_id, raw_output, failure (a key of FAILURES or null), and any column passed on. A row that has
     neither text nor failure is a model that returned no string: an execution error."""
     failure = F.coalesce("failure", F.when(F.col("raw_output").isNull(), F.lit("error")))
-    parsed = outputs.withColumn("__failure", failure).withColumn("__raw", F.when(F.col("__failure").isNull(), F.col("raw_output"))).withColumn("__parsed", parse_response(F.col("__raw")))
+    parsed = with_response(outputs.withColumn("__failure", failure).withColumn("__raw", F.when(F.col("__failure").isNull(), F.col("raw_output"))), F.col("__raw"), "__parsed")
     code = F.create_map(*[F.lit(x) for k, (_, c) in FAILURES.items() for x in (k, c)])
     state = F.create_map(*[F.lit(x) for k, (s, _) in FAILURES.items() for x in (k, s)])
     return parsed.select(

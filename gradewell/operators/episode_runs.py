@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.functions.canonical import canonical
-from gradewell.functions.response import parse_response
+from gradewell.functions.response import with_response
 from gradewell.operators.tools import simulate
+from gradewell.schemas import RESPONSE
 from gradewell.sources.places import cut
 
 
@@ -39,11 +40,11 @@ def run_episodes(cases: DataFrame, generate: Callable[[DataFrame], DataFrame], r
     done, turns, results = [], [], []
     for turn in range(1, max_turns + 2):
         if turn > max_turns:
-            failed = parse_response(F.col("failed_output"))["failure"]
-            done.append(state.select("case_id", F.lit("budget_exhausted").alias("terminal_status"), F.lit("BUDGET_EXHAUSTED").alias("error_code"), failed.alias("parse_failure"), parse_response(none)["response"].alias("response"), "turns", "calls", "repairs"))
+            ended = with_response(state, F.col("failed_output"), "p")
+            done.append(ended.select("case_id", F.lit("budget_exhausted").alias("terminal_status"), F.lit("BUDGET_EXHAUSTED").alias("error_code"), F.col("p.failure").alias("parse_failure"), F.lit(None).cast(RESPONSE).alias("response"), "turns", "calls", "repairs"))
             break
         said = generate(state.select(*own, "results", "repairing", "failed_output")).select("case_id", "raw_output")
-        seen = cut(state.join(said, "case_id").withColumn("p", parse_response(F.col("raw_output"))).withColumn("turns", F.col("turns") + 1))
+        seen = cut(with_response(state.join(said, "case_id"), F.col("raw_output"), "p").withColumn("turns", F.col("turns") + 1))
         turns.append(seen.select("case_id", F.lit(turn).alias("turn_index"), F.when(F.col("repairing"), "repair").otherwise("generate").alias("kind"), "raw_output", F.col("p.response").alias("response"), F.col("p.failure").alias("parse_failure")))
         bad, call = F.col("p.response.decision").isNull(), F.col("p.response.decision") == "CALL_TOOL"
         status = F.when(bad & (F.col("repairs") >= max_repairs), "budget_exhausted").when(~bad & ~call, "completed").when(call & (F.col("calls") >= max_calls), "budget_exhausted")

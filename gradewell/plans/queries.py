@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradewell.functions import canonical as C
 from gradewell.functions.prompt import prompt
-from gradewell.functions.response import parse_response
+from gradewell.functions.response import with_response
 from gradewell.operators import episodes, journal, reports, tools, validation
 from gradewell.operators.attempts import attempts, resume_faults, resume_plan, select_cases
 from gradewell.operators.scoring import labelled, score, with_gold
@@ -56,7 +56,7 @@ def pilot_failure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = cases(spark, sf_dir).select("case_id", parse_response(pick(tuple(t for t, _ in TEXTS), F.col("pos") % len(TEXTS))).alias("p"))
+    shown = with_response(cases(spark, sf_dir).select("case_id", pick(tuple(t for t, _ in TEXTS), F.col("pos") % len(TEXTS)).alias("raw")), F.col("raw"), "p")
     return shown.select("case_id", F.coalesce("p.failure.code", F.lit("OK")).alias("code"), F.col("p.response.decision").alias("decision"))
 
 

@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gradewell.functions.response import parse_response, parse_text
+from gradewell.functions.response import with_response
+from plain_parser import parse_text
 
 
 def respond(**more):
@@ -75,9 +76,45 @@ def test_anything_gets_a_code_or_a_response(value):
     assert (response is None) != (code is None)
 
 
+SCALARS = [None, True, False, 0, 1, 5, 10, 11, 5.0, 5.5, -1, 86400, 1704067200, 1704067200000, 10**30, 1e400, float("nan"), "", " ", "x", "5", " 5 ", "5.0", "5.", "+3", "1e3", ".5", "1_0", "abc", "2024-12-31", "2024-02-30", "0000-01-01", "2024-12-31T00:00:00Z", "2024-12-31 00:00",
+           "2024-12-31\n", "20241231", "1704067200", "-86400", "86400.0", "q" * 501, "add", "OK", "1.0", "SUPPORTED", "RESPOND", "get_record", [], {}, [""], ["d"], [1], {"claim": "c"}, [{"claim": "c", "evidence_refs": ["d"]}], [{"claim": "", "x": 1}], [{"claim": "c", "evidence_refs": [None]}], [[]]]
+
+
+def odd_texts():
+    """Every field of every decision and tool with every one of these values, alone and beside an unknown field, and what is no JSON."""
+    import random
+
+    rng = random.Random(1)
+    arguments = {"search_records": {"query": "q"}, "get_record": {"record_id": "r"}, "calculate": {"operation": "add", "left": 1, "right": 2}, "lookup_status": {"subject_id": "s"}}
+    whole = [("RESPOND", {"answer": "x"}), ("ASK_CLARIFICATION", {"question": "q"}), ("REFUSE", {"reason": "r"})] + [("CALL_TOOL", {"tool_call": {"tool": t, "arguments": a}}) for t, a in arguments.items()]
+    for decision, own in whole:
+        base = {"decision": decision, "answerability": "SUPPORTED", **own}
+        for name in ("decision", "answerability", "schema_version", "status", "answer", "claims", "citations", "question", "reason", "tool_call", "more"):
+            for value in SCALARS:
+                yield json.dumps(base | {name: value} | ({"extra": 1} if rng.random() < 0.1 else {}))
+            yield json.dumps({k: v for k, v in base.items() if k != name})
+        if decision == "CALL_TOOL":
+            call_ = own["tool_call"]
+            for value in SCALARS:
+                for name in ("query", "as_of_date", "limit", "record_id", "operation", "left", "right", "subject_id", "more"):
+                    yield json.dumps(base | {"tool_call": call_ | {"arguments": call_["arguments"] | {name: value}}})
+                yield json.dumps(base | {"tool_call": call_ | {"arguments": value}})
+                yield json.dumps(base | {"tool_call": call_ | {"tool": value}})
+                yield json.dumps(base | {"tool_call": call_ | {"more": value}})
+    yield from ("[" * 20000, '{"a":' * 500 + "1" + "}" * 500, "1" * 5000, '{"decision":"REFUSE","answerability":"SUPPORTED","reason":"\\ud83d\\ude00 \\u0000"}', "\x1c", "\u3000", "\u200b")
+
+
 def test_spark_agrees(spark):
-    rows = [(i, raw, code) for i, (raw, code) in enumerate(CODES)] + [(-1, None, None)]
-    got = spark.createDataFrame(rows, "i int, raw string, code string").select("i", "code", parse_response(F.col("raw")).alias("p")).collect()
+    """With the plain parser on all of these: codes, and responses to the last value."""
+    texts = [raw for raw, _ in CODES] + list(odd_texts()) + [None]
+    got = with_response(spark.createDataFrame(list(enumerate(texts)), "i int, raw string").repartition(4), F.col("raw"), "p").collect()
+    clean = lambda x: {k: clean(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else [clean(v) for v in x] if isinstance(x, list) else x
+    valid = 0
     for r in got:
-        assert (r["p"]["failure"]["code"] if r["p"]["failure"] else None) == r["code"]
-        assert (r["p"]["response"] is not None) == (r["code"] is None and r["i"] >= 0)
+        response, code, message = parse_text(r["raw"]) if r["raw"] is not None else (None, None, None)
+        p = r["p"].asDict(recursive=True) if r["p"] else {"response": None, "failure": None}
+        assert (p["failure"] or {}).get("code") == code, (r["raw"], p)
+        assert (p["failure"] or {}).get("message") == message, (r["raw"], p)
+        assert clean(p["response"]) == clean(response), r["raw"]
+        valid += response is not None
+    assert len(got) > 5000 and valid > 300
