@@ -5,13 +5,13 @@ Documents are JSON texts in columns, one row for each run, so a table of runs is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.functions.canonical import canonical, digest, run_id
 from gradewell.operators.episode_runs import run_episodes
 from gradewell.operators.journal import digest_faults
-from gradewell.schemas import FAULT, RECORD, STATUS
+from gradewell.schemas import FAULT, STATUS
 
 
 def at(document: str, path: str) -> Column:
@@ -122,14 +122,12 @@ def revision_rules(pins: dict[str, str]) -> dict[str, Column]:
     return {part: same(at("identity", f"{part}.revision"), F.lit(revision)) for part, revision in pins.items()}
 
 
-def integrity_faults(records: DataFrame, files: DataFrame, verified: tuple[str, ...], unverified: tuple[str, ...]) -> DataFrame:
-    """records (file, local_sha256, upstream_sha256, matches_upstream) against files (path, sha256). Those `verified` must match upstream;
-    those `unverified` have no upstream digest; all of these are there as they were recorded."""
-    names = F.array(*map(F.lit, (*verified, *unverified)))
-    wanted = records.sparkSession.range(1).select(F.explode(names).alias("path"))
+def integrity_faults(records: DataFrame, files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """records (file, local_sha256, upstream_sha256, matches_upstream) against files (path, sha256), of the files that are wanted (path,
+    verified). Verified ones must match upstream; others have no upstream digest; all of these are there as they were recorded."""
     some = wanted.join(records.withColumnRenamed("file", "path"), "path", "left")
     local = digest_faults(some.select("path", F.col("local_sha256").alias("sha256")), files.join(wanted, "path", "left_semi"))
-    upstream = some.where((F.col("path").isin(*verified) & ~F.coalesce("matches_upstream", F.lit(False))) | (F.col("path").isin(*unverified) & F.col("upstream_sha256").isNotNull()))
+    upstream = some.where(F.when(F.col("verified"), ~F.coalesce("matches_upstream", F.lit(False))).otherwise(F.col("upstream_sha256").isNotNull()))
     return local.select(F.col("fault").alias("rule"), F.col("path").alias("key")).union(upstream.select(F.lit("upstream").alias("rule"), F.col("path")))
 
 
@@ -161,14 +159,14 @@ def expected_faults(rows: DataFrame, key: str, expected: DataFrame) -> DataFrame
     return joined.where(~F.col("value").cast("double").eqNullSafe(F.col("__value"))).select(F.col("name").alias("rule"), F.col(key).cast("string").alias("key"))
 
 
-def round_trip_faults(spark: SparkSession) -> DataFrame:
-    """The third gate's episode: a call of a record, its result, an answer: two turns, one result, no repair."""
+def round_trip_faults(cases: DataFrame, records: DataFrame) -> DataFrame:
+    """The third gate's episode for each case (case_id): a call of the record `gate`, its result, an answer: two turns, one result, no
+    repair. records: as episodes take them. A model that gets no result says nothing."""
     call = '{"decision":"CALL_TOOL","answerability":"NOT_APPLICABLE","tool_call":{"tool":"get_record","arguments":{"record_id":"gate"}}}'
     answer = '{"decision":"RESPOND","answerability":"SUPPORTED","answer":"found"}'
-    case = spark.range(1).select(F.lit("gate").alias("case_id"), *[F.array(F.lit("get_record")).alias(c) for c in ("available", "permitted")])
-    record = spark.createDataFrame([("gate", 0, "gate", "text", None, True)], RECORD)
+    spark, case = cases.sparkSession, cases.select("case_id", *[F.array(F.lit("get_record")).alias(c) for c in ("available", "permitted")])
     said = lambda asked: asked.select("case_id", F.when(F.size("results") == 0, call).when(F.element_at("results", -1).contains('"success":true'), answer).alias("raw_output"))
-    done, turns, results = run_episodes(case, said, record, spark.createDataFrame([], STATUS), spark.createDataFrame([], FAULT))
-    counts = done.crossJoin(turns.agg(F.count("*").alias("n_turns"))).crossJoin(results.agg(F.count("*").alias("n_results"), F.count_if("success").alias("good")))  # one row each
+    done, turns, results = run_episodes(case, said, records, spark.createDataFrame([], STATUS), spark.createDataFrame([], FAULT))
+    counts = done.join(turns.groupBy("case_id").agg(F.count("*").alias("n_turns")), "case_id", "left").join(results.groupBy("case_id").agg(F.count("*").alias("n_results"), F.count_if("success").alias("good")), "case_id", "left")
     ok = (F.col("terminal_status") == "completed") & (F.col("n_turns") == 2) & (F.col("n_results") == 1) & (F.col("good") == 1) & (F.col("repairs") == 0)
-    return counts.where(~ok).select(F.lit("round trip").alias("rule"), F.col("case_id").alias("key"))
+    return counts.where(~F.coalesce(ok, F.lit(False))).select(F.lit("round trip").alias("rule"), F.col("case_id").alias("key"))

@@ -14,14 +14,15 @@ def metric_report(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def run_summary(attempts: DataFrame, expected: Column | int, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Attempts by status; a status without attempts counts 0. `balanced`: they add up and every case is there once."""
+def run_summary(attempts: DataFrame, expected: Column | int | DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Attempts by status; a status without attempts counts 0. `balanced`: they add up and every case is there once. expected: how many
+    cases there should be: one number for all, or a table (by, expected_cases)."""
     n = lambda s: F.count_if(F.col("status") == s)
     counts = attempts.groupBy(*by).agg(
         F.count("*").alias("attempted_cases"), n("completed").alias("completed"), n("invalid_response").alias("invalid_responses"), n("timeout").alias("timeouts"), n("execution_error").alias("execution_errors"), F.countDistinct("case_id").alias("__ids")
     )
-    expected = F.lit(expected) if isinstance(expected, int) else expected
-    return counts.withColumn("expected_cases", expected.cast("long")).withColumn("score_rows", F.col("attempted_cases") * 4).withColumn(
+    known = counts.join(expected, list(by), "left") if isinstance(expected, DataFrame) else counts.withColumn("expected_cases", F.lit(expected) if isinstance(expected, int) else expected)
+    return known.withColumn("expected_cases", F.col("expected_cases").cast("long")).withColumn("score_rows", F.col("attempted_cases") * 4).withColumn(
         "balanced", (F.col("expected_cases") == F.col("attempted_cases")) & (F.col("completed") + F.col("invalid_responses") + F.col("timeouts") + F.col("execution_errors") == F.col("attempted_cases")) & (F.col("__ids") == F.col("attempted_cases"))
     ).drop("__ids")
 

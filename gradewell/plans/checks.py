@@ -10,7 +10,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.contracts import ALL, json_schema
+from gradewell.contracts import json_schema
 from gradewell.functions import canonical as C
 from gradewell.operators import attempts as A
 from gradewell.operators import episode_runs, episodes, gates, identity, journal, models, reports, tools, validation
@@ -19,7 +19,7 @@ from gradewell.plans.derived import cases, outputs, pick, table
 from gradewell.plans.oracles import _BASE, _EPISODES, _METRICS
 from gradewell.schemas import ATTEMPT_STATUSES, FAULT, TOOLS
 from gradewell.sources import readers, sinks
-from gradewell.sources.places import shared_folder
+from gradewell.sources.places import shared_folder, until_exit
 from gradewell.streaming import runs
 
 def _n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,18 +111,24 @@ def case_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contract_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = spark.createDataFrame([(n, json_schema(n)) for n in ALL], "name string, text string")
-    return made.select("name", F.coalesce(F.size(F.from_json(F.get_json_object("text", "$.properties"), "map<string,string>")), F.lit(0)).cast("int").alias("n_fields"), F.coalesce(F.json_array_length(F.get_json_object("text", "$.oneOf")), F.lit(0)).alias("n_kinds"))
+    """The exported schemas of a case and its two parts against all cases: each field that is declared, or that cases have, with whether it
+    is declared, whether it is required, and how many cases have it."""
+    parts = {"eval_case": "$", "eval_input": "$.input", "eval_gold": "$.gold"}
+    made = spark.createDataFrame([(n, json_schema(n)) for n in parts], "contract string, text string")
+    required = F.coalesce(F.from_json(F.get_json_object("text", "$.required"), "array<string>"), F.array().cast("array<string>"))
+    declared = made.select("contract", F.explode(F.map_keys(F.from_json(F.get_json_object("text", "$.properties"), "map<string,string>"))).alias("field"), required.alias("r"))
+    declared = declared.select("contract", "field", F.array_contains("r", F.col("field")).alias("required"), F.lit(True).alias("declared"))
+    keys = F.array(*[F.struct(F.lit(n).alias("contract"), F.json_object_keys(F.get_json_object("json", path)).alias("fields")) for n, path in parts.items()])
+    found = _full_cases(spark, sf_dir).select(F.explode(keys).alias("k")).select("k.contract", F.explode("k.fields").alias("field")).groupBy("contract", "field").agg(F.count("*").alias("n_cases"))
+    return declared.join(found, ["contract", "field"], "full_outer").select("contract", "field", F.coalesce("declared", F.lit(False)).alias("declared"), F.coalesce("required", F.lit(False)).alias("required"), F.coalesce("n_cases", F.lit(0)).alias("n_cases"))
 
 
 def run_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run's summary against the number of cases it should have; run-2 has an attempt twice, and run-1 one case less."""
     made = A.attempts(outputs(cases(spark, sf_dir)), F.col("run_id")).select("run_id", "case_id", "pos", "status")
     first = made.where("run_id = 'run-2'").orderBy("pos").limit(1)
-    counted = reports.run_summary(made.union(first), 0).drop("expected_cases", "balanced")
-    known = cases(spark, sf_dir).groupBy("run_id").agg((F.count("*") - F.when(F.col("run_id") == "run-1", 1).otherwise(0)).alias("expected"), F.countDistinct("case_id").alias("ids"))
-    n = F.col("completed") + F.col("invalid_responses") + F.col("timeouts") + F.col("execution_errors")
-    return counted.join(known, "run_id").select("run_id", "attempted_cases", ((F.col("expected") == F.col("attempted_cases")) & (n == F.col("attempted_cases")) & (F.col("ids") == F.col("attempted_cases"))).alias("balanced"))
+    known = cases(spark, sf_dir).groupBy("run_id").agg((F.count("*") - F.when(F.col("run_id") == "run-1", 1).otherwise(0)).alias("expected_cases"))
+    return reports.run_summary(made.union(first), known).select("run_id", "attempted_cases", "balanced")
 
 
 def summary_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,10 +314,9 @@ def gate_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gate_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of this gate are documents: records of what they hashed to, against what they hash to now."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 40").select(F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
-    records = d.where("n % 11 <> 5").select(F.col("path").alias("file"), _unless(7, F.col("sha256"), "changed").alias("local_sha256"), F.when((F.col("n") < 30) | (F.col("n") % 2 == 0), F.col("sha256")).alias("upstream_sha256"), (F.col("n") % 5 != 0).alias("matches_upstream"))
-    names = lambda lo, hi: tuple(str(k) for k in range(lo, hi))
-    return identity.integrity_faults(records, d.where("n % 13 <> 6"), names(0, 30), names(30, 40))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), (F.col("doc_id") % 4 != 2).alias("verified"))
+    records = d.where("n % 11 <> 5").select(F.col("path").alias("file"), _unless(7, F.col("sha256"), "changed").alias("local_sha256"), F.when(F.col("verified") | (F.col("n") % 3 == 0), F.col("sha256")).alias("upstream_sha256"), (F.col("n") % 5 != 0).alias("matches_upstream"))
+    return identity.integrity_faults(records, d.where("n % 13 <> 6").select("path", "sha256"), d.select("path", "verified"))
 
 
 _LOADED = {
@@ -337,7 +342,9 @@ def gate_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.round_trip_faults(spark)
+    """Each document is the record of a case of its own; every seventh is not to be found."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("case_id"), F.lit(0).alias("pos"), F.lit("gate").alias("record_id"), "text", F.lit(None).cast("date").alias("observed_at"), F.lit(True).alias("authoritative"))
+    return identity.round_trip_faults(d.select("case_id"), d.where("n % 7 <> 0").drop("n"))
 
 
 def _folder(spark: SparkSession) -> str:
@@ -345,11 +352,9 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _gone(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
-    """found, read before its files are deleted: these are small."""
-    rows = spark.createDataFrame(found.collect(), found.schema)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return rows
+    """found, whose files stay until the driver ends."""
+    until_exit(spark, folder)
+    return found
 
 
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,24 +368,25 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def case_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases as one JSON array, read by the strict reader."""
     folder = _folder(spark)
-    right = _full_cases(spark, sf_dir).where(" AND ".join(f"n % {k} <> 0" for k in sorted(set(_CASE_FAULTS.values())))).where("n < 400")
-    one = right.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "json"))), lambda x: x["json"]), ","), F.lit("]")).alias("line"))
-    sinks.write_lines(one, f"{folder}/cases.json", ["line"], True)
+    right = _full_cases(spark, sf_dir).where(" AND ".join(f"n % {k} <> 0" for k in sorted(set(_CASE_FAULTS.values())))).select("n", "json")
+    ends = right.agg(F.min("n").alias("first"), F.max("n").alias("last"))  # one row
+    lines = right.join(F.broadcast(ends), F.lit(True)).select("n", F.concat(F.when(F.col("n") == F.col("first"), "[").otherwise(""), "json", F.when(F.col("n") == F.col("last"), "]").otherwise(",")).alias("line"))
+    sinks.write_lines(lines, f"{folder}/cases.json", ["n"])
     return _gone(spark, folder, readers.read_cases(spark, f"{folder}/cases.json").select(F.col("pos").cast("long").alias("pos"), "case_id", F.col("gold.expected_decision").alias("expected_decision")))
 
 
 def journal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
-    wrote = cases(spark, sf_dir).where("pos < 200").select("case_id", "family_id", F.sha2("case_id", 256).alias("case_sha256"), F.lit("1.0").alias("schema_version"))
+    wrote = cases(spark, sf_dir).select("case_id", "family_id", F.sha2("case_id", 256).alias("case_sha256"), F.lit("1.0").alias("schema_version"))
     for k in range(2):
         sinks.write_jsonl(wrote.where(F.col("case_id").cast("long") % 2 == k), f"{folder}/part{k}.json", ["case_id"])
     return _gone(spark, folder, readers.read_intents(spark, folder).select("case_id", "family_id", "case_sha256", "run_id", "schema_version"))
 
 
 def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eleven files of a run over 60 cases; what is listed, with lines; and what the gate finds: nothing."""
+    """The eleven files of a run over all cases; what is listed, with lines; and what the gate finds: nothing."""
     folder = _folder(spark)
-    c = cases(spark, sf_dir).where("pos < 60")
+    c = cases(spark, sf_dir)
     made = A.attempts(outputs(c), F.lit("r"))
     scored = score(with_gold(made, c.select("case_id", "expected_decision", "expected_answerability", "expected_tool")))
     one = spark.range(1).select(F.lit("x").alias("name"))
@@ -425,7 +431,7 @@ def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each case at most once, though they arrive twice, under two checkpoints."""
     folder = _folder(spark)
-    n = _n(spark, sf_dir).where("n < 500").select("case_id")
+    n = _n(spark, sf_dir).select("case_id")
     arriving = _streamed(spark, n.union(n), folder)
     for k in range(2):
         runs.journaled(arriving, f"{folder}/intents", f"{folder}/receipts", lambda df: df.withColumn("raw_output", F.lit("x")), f"{folder}/state{k}").awaitTermination()
@@ -457,7 +463,13 @@ CHECK_SQL = {
     "receipt_violations": f"WITH {_NUMBERS} " + _every({"V19": "n % 3 = 0 OR n % 5 = 0 OR n % 7 = 0"}, "case_id", "n"),
     "bound_violations": f"WITH {_NUMBERS} " + _every({"V22": "n % 3 = 0 OR n % 5 = 0", "V23": "n % 7 = 0 OR n % 4 = 0 OR n % 6 = 0 OR n % 6 = 5"}, "case_id", "n"),
     "case_contract": f"WITH {_NUMBERS} " + _BAD(_CASE_FAULTS),
-    "contract_schemas": "SELECT * FROM (VALUES ('score_record', 15, 0), ('model_response', 0, 4), ('tool_call', 0, 4), ('tool_result', 7, 0), ('eval_input', 9, 0), ('eval_gold', 8, 0), ('eval_case', 8, 0), ('attempt_record', 10, 0), ('attempt_observation', 18, 0), ('run_summary', 10, 0), ('episode_event', 8, 0), ('tool_episode_result', 9, 0)) t(name, n_fields, n_kinds)",
+    "contract_schemas": f"""WITH {_NUMBERS}, f(contract, field, declared, required, rule) AS (VALUES
+      ('eval_case', 'gold', true, true, 0), ('eval_case', 'input', true, true, 0), ('eval_case', 'license', true, true, 29), ('eval_case', 'provenance', true, true, 0), ('eval_case', 'review_status', true, true, 0), ('eval_case', 'schema_version', true, false, -1),
+      ('eval_case', 'source', true, true, 0), ('eval_case', 'split', true, false, 0), ('eval_input', 'available_tools', true, false, 0), ('eval_input', 'case_id', true, true, 0), ('eval_input', 'evaluation_time_utc', true, true, 13), ('eval_input', 'evidence', true, false, -1),
+      ('eval_input', 'family_id', true, true, 0), ('eval_input', 'languages', true, true, 0), ('eval_input', 'messages', true, true, 0), ('eval_input', 'permitted_tools', true, false, 0), ('eval_input', 'schema_version', true, false, -1), ('eval_input', 'more', false, false, -17),
+      ('eval_gold', 'case_id', true, true, 0), ('eval_gold', 'expected_answerability', true, true, 0), ('eval_gold', 'expected_claims', true, false, -1), ('eval_gold', 'expected_decision', true, true, 0), ('eval_gold', 'expected_tool_call', true, false, 0),
+      ('eval_gold', 'permitted_tools', true, false, 0), ('eval_gold', 'rubric', true, true, 0), ('eval_gold', 'schema_version', true, false, -1))
+      SELECT contract, field, declared, required, (SELECT count(*) FROM n WHERE CASE rule WHEN 0 THEN true WHEN -1 THEN false WHEN 29 THEN n % 29 <> 0 WHEN 13 THEN n % 13 <> 0 ELSE n % 17 = 0 END) AS n_cases FROM f""",
     "run_balance": _BASE + "SELECT run_id, count(*) + CASE WHEN run_id = 'run-2' THEN 1 ELSE 0 END AS attempted_cases, run_id = 'run-0' AS balanced FROM a GROUP BY run_id",
     "summary_balanced": _BASE + "SELECT run_id, (SELECT count(*) FROM a WHERE run_id = 'run-0') AS expected_cases, count(*) = (SELECT count(*) FROM a WHERE run_id = 'run-0') AS balanced FROM a GROUP BY run_id",
     "case_orders": _BASE + "SELECT family_id, string_agg(case_id, ',' ORDER BY pos DESC) AS case_ids FROM e GROUP BY family_id",
@@ -482,19 +494,19 @@ CHECK_SQL = {
     "receipt_faults": f"WITH {_NUMBERS} " + _every({"implementation_commit": "n % 13 = 0", "case_sha256": "n % 19 = 0", "case_id": "n % 19 = 0", "family_id": "n % 17 = 0 OR n % 19 = 0", "prompt_sha256": "n % 3 = 0 OR (n % 2 = 0 AND n % 19 = 0)", "runtime_device": "n % 5 = 0", "parameter_dtype": "n % 7 = 0", "attention_mode": "n % 11 = 0"}, "case_id", "n"),
     "live_runtime": f"WITH {_NUMBERS} " + _BAD({"python_version": 2, "torch_version": 3, "cuda_visible_devices": 5, "cuda_available": 7, "device_count": 11, "accelerator": 13}),
     "gate_revisions": f"WITH {_NUMBERS} " + _BAD({"primary_model": 2, "base_comparator": 3, "upstream_gguf": 5}),
-    "gate_integrity": """WITH d AS (SELECT doc_id AS n, doc_id::VARCHAR AS key FROM documents WHERE doc_id < 40)
-      SELECT CASE WHEN n % 13 = 6 AND n % 11 <> 5 THEN 'missing' WHEN n % 11 = 5 THEN 'unexpected' ELSE 'mismatch' END AS rule, key FROM d WHERE (n % 13 = 6) <> (n % 11 = 5) OR (n % 7 = 0 AND n % 13 <> 6 AND n % 11 <> 5)
-      UNION ALL SELECT 'upstream', key FROM d WHERE (n < 30 AND (n % 5 = 0 OR n % 11 = 5)) OR (n >= 30 AND n % 2 = 0 AND n % 11 <> 5)""",
+    "gate_integrity": """WITH d AS (SELECT doc_id AS n, doc_id::VARCHAR AS key FROM documents)
+      SELECT CASE WHEN n % 13 = 6 THEN 'missing' WHEN n % 11 = 5 THEN 'unexpected' ELSE 'mismatch' END AS rule, key FROM d WHERE n % 13 = 6 OR n % 11 = 5 OR n % 7 = 0
+      UNION ALL SELECT 'upstream', key FROM d WHERE (n % 4 <> 2 AND (n % 5 = 0 OR n % 11 = 5)) OR (n % 4 = 2 AND n % 3 = 0 AND n % 11 <> 5)""",
     "gate_load": f"WITH {_NUMBERS} " + _BAD(_LOADED),
-    "gate_round_trip": "SELECT '' AS rule, '' AS key WHERE false",
+    "gate_round_trip": "SELECT 'round trip' AS rule, doc_id::VARCHAR AS key FROM documents WHERE doc_id % 7 = 0",
     "stream_scores": _BASE + _METRICS,
     "stream_episodes": f"SELECT case_id::VARCHAR AS case_id, terminal_status, turn_index, turns_used, calls_used, repairs_used FROM ({_EPISODES}) WHERE terminal_status <> 'open'",
-    "stream_journal": f"WITH {_NUMBERS} SELECT case_id, 1 AS intents, 1 AS receipts FROM n WHERE n < 500",
+    "stream_journal": f"WITH {_NUMBERS} SELECT case_id, 1 AS intents, 1 AS receipts FROM n",
     "jsonl_round_trip": "SELECT n_name AS name, n_nationkey AS key, CASE WHEN r_regionkey <> 1 THEN r_name END AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "case_file": f"WITH {_NUMBERS} SELECT row_number() OVER (ORDER BY n) - 1 AS pos, case_id, 'CALL_TOOL' AS expected_decision FROM n WHERE n < 400 AND " + " AND ".join(f"n % {k} <> 0" for k in sorted(set(_CASE_FAULTS.values()))),
-    "journal_files": _BASE + "SELECT case_id, family_id, sha256(case_id) AS case_sha256, NULL::VARCHAR AS run_id, '1.0' AS schema_version FROM e WHERE pos < 200",
-    "bundle_round_trip": _BASE + """, t AS (SELECT count(*) AS n FROM a WHERE pos < 60), u AS (SELECT * FROM (VALUES ('resolved_config.json', 0, 1), ('environment.json', 0, 1), ('manifest.json', 0, 1), ('inputs_manifest.json', 0, 1), ('metrics.json', 0, 1), ('outputs.jsonl', 1, 0), ('scores.jsonl', 4, 0), ('events.jsonl', 1, 0), ('timing.csv', 1, 1), ('checksums.sha256', 0, 10)) x(path, each, more))
-      SELECT path, n * each + more AS n_lines FROM u, t UNION ALL SELECT 'failures.jsonl', count(*) FROM w JOIN a USING (case_id) WHERE pos < 60 UNION ALL SELECT sha256('{"case_id":"' || case_id || '","family_id":"' || family_id || '"}' || chr(10)), 0 FROM e WHERE pos < 60""",
+    "case_file": f"WITH {_NUMBERS} SELECT row_number() OVER (ORDER BY n) - 1 AS pos, case_id, 'CALL_TOOL' AS expected_decision FROM n WHERE " + " AND ".join(f"n % {k} <> 0" for k in sorted(set(_CASE_FAULTS.values()))),
+    "journal_files": _BASE + "SELECT case_id, family_id, sha256(case_id) AS case_sha256, NULL::VARCHAR AS run_id, '1.0' AS schema_version FROM e",
+    "bundle_round_trip": _BASE + """, t AS (SELECT count(*) AS n FROM a), u AS (SELECT * FROM (VALUES ('resolved_config.json', 0, 1), ('environment.json', 0, 1), ('manifest.json', 0, 1), ('inputs_manifest.json', 0, 1), ('metrics.json', 0, 1), ('outputs.jsonl', 1, 0), ('scores.jsonl', 4, 0), ('events.jsonl', 1, 0), ('timing.csv', 1, 1), ('checksums.sha256', 0, 10)) x(path, each, more))
+      SELECT path, n * each + more AS n_lines FROM u, t UNION ALL SELECT 'failures.jsonl', count(*) FROM w JOIN a USING (case_id) UNION ALL SELECT sha256('{"case_id":"' || case_id || '","family_id":"' || family_id || '"}' || chr(10)), 0 FROM e""",
 }
 CHECKS = {
     f.__name__: f

@@ -40,6 +40,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def until_exit(spark: SparkSession, folder: str) -> None:
+    """The folder goes when the driver ends."""
+    _written.append((spark, folder))
+
+
 @atexit.register
 def _at_exit() -> None:
     for spark, place in _written:
