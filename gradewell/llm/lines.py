@@ -259,7 +259,8 @@ def _dropped_lines(docs: DataFrame, min_words: int, id_col: str, text_col: str)
     earliest = stored(fine.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a < z").select("key", "a"), "earliest")
     pairs = stored(fine.join(earliest, "key").where(place > F.col("a")).select("doc", "rk", "line", "a").distinct(), "pairs")
     discard(earliest)
-    texts = near.select(place.alias("s"), "words").dropDuplicates(["s"])
+    # stored, so that pairs meet words in plain shuffles: a line that very many are near to is split among tasks
+    texts = stored(near.select(place.alias("s"), "words").dropDuplicates(["s"]), "texts")
     checked = pairs.join(texts.select(F.col("s").alias("a"), F.col("words").alias("of_a")), "a").withColumn("s", place).join(texts, "s")
     gone = checked.select("doc", "rk", "line", "words", "of_a").mapInArrow(_verify, f"doc {kind}, rk long, line int").distinct().withColumn("near", F.lit(True))
 
