@@ -14,7 +14,7 @@ from gradewell.contracts import json_schema
 from gradewell.functions import canonical as C
 from gradewell.operators import attempts as A
 from gradewell.operators import episode_runs, episodes, gates, identity, journal, models, reports, tools, validation
-from gradewell.operators.scoring import score, score_records, with_gold
+from gradewell.operators.scoring import labelled, score, score_records, with_gold
 from gradewell.plans.derived import cases, outputs, pick, table
 from gradewell.plans.oracles import _BASE, _EPISODES, _METRICS
 from gradewell.schemas import ATTEMPT_STATUSES, FAULT, TOOLS
@@ -402,6 +402,34 @@ def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gone(spark, folder, lines.union(faults).union(manifest))
 
 
+def pilot_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight files of a journaled run over all cases: how many lines each has, whether those in a list are in order, how many cases the
+    manifest says, read as one object, and that a second run into the folder is refused."""
+    folder, c = _folder(spark), cases(spark, sf_dir)
+    gold = c.select("case_id", "expected_decision", "expected_answerability", "expected_tool")
+    made = A.attempts(outputs(c), F.col("run_id"))
+    rows = with_gold(made, gold)
+    scored, failed = score(rows), reports.failed(labelled(rows), True)
+    parts = {
+        "manifest": c.agg(F.count("*").alias("n_cases")), "receipts": made.select("case_id", "status", "attempt_id"), "scores": score_records(scored, F.lit("d"), F.lit("m"), "s", F.lit("harness_only")), "metrics": reports.metric_report(scored),
+        "failures": failed, "timing": sinks.timing_reference(made), "report": reports.report_lines(reports.metric_report(scored), failed),
+    }
+    sinks.write_pilot_bundle(spark, f"{folder}/pilot", **parts)
+    refused = 0
+    try:
+        sinks.write_pilot_bundle(spark, f"{folder}/pilot", **parts)
+    except FileExistsError:
+        refused = 1
+    none = F.lit(None).cast("boolean")
+    lines = spark.read.text(f"{folder}/pilot").select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("path")).groupBy("path").agg(F.count("*").alias("n")).withColumn("in_order", none)
+    metric = spark.read.text(f"{folder}/pilot/metrics.json").select(F.transform(F.from_json("value", "array<struct<metric_id:string>>"), lambda m: m["metric_id"]).alias("names"))
+    listed = spark.read.text(f"{folder}/pilot/checksums.sha256", wholetext=True).select(F.transform(F.split(F.rtrim("value", F.lit("\n")), "\n"), lambda x: F.substring_index(x, "  ", -1)).alias("names"))
+    ordered = lambda df, name: df.select(F.lit(name), F.size("names").cast("long"), F.col("names") == F.array_sort("names"))
+    said = readers.read_object(spark, f"{folder}/pilot/run_manifest.json", "n_cases long").select(F.lit("cases of the manifest"), "n_cases", none)
+    again = c.limit(1).select(F.lit("refused"), F.lit(refused).cast("long"), none)
+    return _gone(spark, folder, lines.union(ordered(metric, "metrics")).union(ordered(listed, "checksums")).union(said).union(again))
+
+
 def _streamed(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
     """rows, written, and read as a stream."""
     rows.write.parquet(f"{folder}/in")
@@ -499,6 +527,9 @@ CHECK_SQL = {
       UNION ALL SELECT 'upstream', key FROM d WHERE (n % 4 <> 2 AND (n % 5 = 0 OR n % 11 = 5)) OR (n % 4 = 2 AND n % 3 = 0 AND n % 11 <> 5)""",
     "gate_load": f"WITH {_NUMBERS} " + _BAD(_LOADED),
     "gate_round_trip": "SELECT 'round trip' AS rule, doc_id::VARCHAR AS key FROM documents WHERE doc_id % 7 = 0",
+    "pilot_bundle": _BASE + """, t AS (SELECT count(*) AS n, (SELECT count(*) FROM w) AS f FROM a)
+      SELECT path, each * n + fails * f + more AS n, NULL::BOOLEAN AS in_order FROM t, (VALUES ('run_manifest.json', 0, 0, 1), ('case_receipts.jsonl', 1, 0, 0), ('scores.jsonl', 4, 0, 0), ('metrics.json', 0, 0, 1), ('failures.jsonl', 0, 1, 0), ('timing.csv', 1, 0, 1), ('BASELINE_REPORT.md', 0, 1, 8), ('checksums.sha256', 0, 0, 7), ('cases of the manifest', 1, 0, 0), ('refused', 0, 0, 1)) x(path, each, fails, more)
+      UNION ALL SELECT 'metrics', 4, true UNION ALL SELECT 'checksums', 7, true""",
     "stream_scores": _BASE + _METRICS,
     "stream_episodes": f"SELECT case_id::VARCHAR AS case_id, terminal_status, turn_index, turns_used, calls_used, repairs_used FROM ({_EPISODES}) WHERE terminal_status <> 'open'",
     "stream_journal": f"WITH {_NUMBERS} SELECT case_id, 1 AS intents, 1 AS receipts FROM n",
@@ -513,6 +544,6 @@ CHECKS = {
     for f in (
         attempt_violations, score_violations, observation_violations, result_violations, episode_violations, receipt_violations, bound_violations, case_contract, contract_schemas, run_balance, summary_balanced, case_orders, tensor_totals, nucleus, run_names,
         receipts_rebuilt, position_faults, one_checksum, metric_lookup, resumed_run, model_calls, tool_results, input_gates, run_identities, intent_faults, receipt_faults, live_runtime, gate_revisions, gate_integrity, gate_load, gate_round_trip,
-        jsonl_round_trip, case_file, journal_files, bundle_round_trip, stream_scores, stream_episodes, stream_journal,
+        jsonl_round_trip, case_file, journal_files, bundle_round_trip, pilot_bundle, stream_scores, stream_episodes, stream_journal,
     )
 } | {"episode_runs": episode_runs_query}
