@@ -9,7 +9,7 @@ and `select` (SQL). Outputs become attempts, attempts four scores each.
 Two streams: scores are appended, Parquet by run_id, without state; metrics are sums in a state of one row for each run and metric, and what a batch changes
 replaces the run's partition. Both go on from their checkpoints after a failure, and a batch that is tried again writes the same: scores by
 the file sink's own log, metrics by overwriting. An output that comes twice, in two files, is two outputs: producers must not send
-it again under another name. Rows without a case_id or run_id are left out and counted in the log."""
+it again under another name. Rows without a case_id or run_id are left out."""
 
 from __future__ import annotations
 
