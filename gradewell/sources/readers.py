@@ -6,21 +6,19 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.contracts import contract_faults
 from gradewell.operators.validation import case_rules, exactly_one, refuse, repeated, violations
 from gradewell.schemas import CASE, INTENT, RECEIPT
+from gradewell.sources.arrays import array_items
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of cases (UTF-8, byte order mark allowed) in file order, with `pos` and `case_id`. Any fault of a case against its
-    contract (unknown and missing fields, unknown names, values out of bounds) and any broken rule refuses the file.
-
-    One document can't be split, so its text is one row; its cases are rows from there on, and are checked as such."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("t"))
-    whole = text.select(F.posexplode(F.from_json("t", "array<string>", {"mode": "FAILFAST"})).alias("pos", "json"))
+    contract (unknown and missing fields, unknown names, values out of bounds) and any broken rule refuses the file."""
+    whole = array_items(spark, path)
     key = F.coalesce(F.get_json_object("json", "$.input.case_id"), F.concat(F.lit("#"), F.col("pos").cast("string")))
     cases = lambda mode: whole.select("pos", F.from_json("json", f"struct<{CASE}>", {"mode": mode}).alias("c")).select("pos", "c.*", F.col("c.input.case_id").alias("case_id"))
     loose, rows = cases("PERMISSIVE"), cases("FAILFAST")
@@ -41,7 +39,8 @@ def read_object(spark: SparkSession, path: str, schema: str | None = None) -> Da
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """One file, a folder of its parts, or a folder of such."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
 
 
 def read_intents(spark: SparkSession, path: str) -> DataFrame:
@@ -77,12 +76,29 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(1)], ["path", "sha256", "length"])
 
 
+def _under(folder: str, path: Column) -> Column:
+    """The name, in folder, of the file that a path is or is a part of."""
+    return F.regexp_extract(path, rf"^.*/\Q{folder.rstrip('/').rpartition('/')[2]}\E/([^/]+?)(/part-\d+)?$", 1)
+
+
+def line_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, n_lines) of the text files in a folder, each of which ends with a line feed. They are read in pieces that end at commas, so
+    that one long line is no row."""
+    text = spark.read.text(folder, lineSep=",", recursiveFileLookup=True)
+    return text.select(_under(folder, F.col("_metadata.file_path")).alias("path"), F.regexp_count("value", F.lit("\n")).alias("n")).groupBy("path").agg(F.sum("n").alias("n_lines"))
+
+
 def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, sha256, length) of the files in a folder, by name. Files on disks that every executor sees are read a megabyte at a time, so
-    a file may be of any size; those on other stores are read by Spark, whole, one a row (2 GB at most)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    named = F.regexp_extract("path", "([^/]+)$", 1).alias("path")
+    a file may be of any size; those on other stores are read by Spark, whole, one a row (2 GB at most). A folder of parts counts as one
+    file; its digest is that of the lines `digest  part` of its parts, in order, so parts are hashed side by side."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
-        return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length").mapInArrow(lambda it: _digest(it), "path string, sha256 string, length long").select(named, "sha256", "length")
-    return files.select(named, F.sha2("content", 256).alias("sha256"), "length")
+        files = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length").mapInArrow(lambda it: _digest(it), "path string, sha256 string, length long")
+    else:
+        files = files.select("path", F.sha2("content", 256).alias("sha256"), "length")
+    named = files.select(_under(where.toString(), F.col("path")).alias("__name"), F.regexp_extract("path", "([^/]+)$", 1).alias("part"), "sha256", "length").where("__name <> ''")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "sha256"))), lambda p: F.concat(p["sha256"], F.lit("  "), p["part"], F.lit("\n"))), "")
+    digest = F.when(F.first("part") == F.col("__name"), F.first("sha256")).otherwise(F.sha2(lines, 256))
+    return named.groupBy("__name").agg(digest.alias("sha256"), F.sum("length").alias("length")).withColumnRenamed("__name", "path")
