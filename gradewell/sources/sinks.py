@@ -1,6 +1,7 @@
 """Writers of report bundles: canonical JSON lines, CSV, checksums, Markdown, schemas; staged, then published as a whole.
 
 Every file is written by Spark into a part folder and then renamed on its file system, so paths may be on any store that Spark writes.
+What is larger than a part becomes a folder of the file's name, with numbered parts; no task writes, and none reads, a whole large file.
 Two runs over the same rows write the same bytes."""
 
 from __future__ import annotations
@@ -27,24 +28,65 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+#: Bytes of one part, about. A file of more is a folder of its name, with parts part-00000, part-00001, .. which, one after another, are the file.
+PART_BYTES = 64 << 20
+
+
+def _publish(spark: SparkSession, folder: str, path: str) -> None:
+    """The parts that Spark wrote into folder, as one file at path, or as a folder of numbered parts."""
+    fs, target = _hadoop(spark, path)
+    _, source = _hadoop(spark, folder)
+    parts = sorted((f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName()) if fs.exists(source) else []
+    if not parts:
+        fs.create(target, False).close()  # fails if someone else was first
+        return
+    if len(parts) > 1:
+        _, parent = _hadoop(spark, f"{folder}.parts")
+        fs.mkdirs(parent)
+        for k, p in enumerate(parts):
+            if not fs.rename(p, _hadoop(spark, f"{folder}.parts/part-{k:05d}")[1]):
+                raise OSError(f"could not publish {path}")
+    if fs.exists(target) or not fs.rename(parts[0] if len(parts) == 1 else parent, target):
+        raise FileExistsError(path)
+
+
+def _in_parts(spark: SparkSession, lines: DataFrame, folder: str, order: list[str]) -> tuple[DataFrame, int, int]:
+    """lines with their number `rank` in order, the number of lines, and how many make a part. They are sorted into many files of a table in
+    folder; a line's number is its place in its file, behind the files before. So parts are cut by rows alone, and two runs cut the same.
+    Rows that order leaves equal go by a hash of their lines."""
+    lines.orderBy(*order, F.xxhash64("line")).select("line").write.parquet(folder)
+    placed = spark.read.schema("line string").parquet(folder).select("line", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = placed.groupBy("__file").agg(F.count("*").alias("n"), F.sum(F.octet_length("line")).alias("bytes")).orderBy("__file").collect()  # a row for each task that wrote
+    before, n = [], 0
+    for r in sizes:
+        before.append((r["__file"], n))
+        n += r["n"]
+    each = max(1, PART_BYTES * n // max(1, sum((r["bytes"] or 0) + r["n"] for r in sizes)))
+    ranked = placed.join(F.broadcast(spark.createDataFrame(before, "__file string, __before long")), "__file").select("line", (F.col("__before") + F.col("__row")).alias("rank"))
+    return ranked, n, each
+
+
+def _write_parts(ranked: DataFrame, n: int, each: int, folder: str, sep: str = "\n") -> None:
+    """Lines as parts of `each`, a task and a file each."""
+    ranked.repartitionById(-(-n // each), F.floor(F.col("rank") / each).cast("int")).sortWithinPartitions("rank").select("line").write.option("lineSep", sep).text(folder)
+
+
 def write_lines(lines: DataFrame, path: str, order: list[str], parse: bool = False) -> None:
-    """The column `line`, in order, as one text file at path; refuses to overwrite. A single file in order is written by one task. parse: each
+    """The column `line`, in order, as one text file at path, or as a folder of parts if there is much; refuses to overwrite. parse: each
     line is JSON, and is read again before the file gets its name."""
     spark = lines.sparkSession
     fs, target = _hadoop(spark, path)
     if fs.exists(target):
         raise FileExistsError(path)
     part = f"{path}.part-{uuid.uuid4().hex}"
-    lines.orderBy(*order).select("line").coalesce(1).write.mode("errorifexists").text(part)
     _, folder = _hadoop(spark, part)
     try:
-        written = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
-        if parse:  # what is published must parse: it is read again before it gets its name
-            spark.read.schema("gradewell_any string").option("mode", "FAILFAST").json(part).agg(F.count("gradewell_any")).collect()
-        if not written:
-            fs.create(target, False).close()  # fails if someone else was first
-        elif fs.exists(target) or not fs.rename(written[0], target):
-            raise FileExistsError(path)
+        ranked, n, each = _in_parts(spark, lines, f"{part}/rows", order)
+        if n:
+            _write_parts(ranked, n, each, f"{part}/text")
+            if parse:  # what is published must parse: it is read again before it gets its name
+                spark.read.schema("gradewell_any string").option("mode", "FAILFAST").json(f"{part}/text").agg(F.count("gradewell_any")).collect()
+        _publish(spark, f"{part}/text", path)
     finally:
         fs.delete(folder, True)
 
@@ -61,10 +103,29 @@ def write_object(row: DataFrame, path: str, keep_nulls: bool = False) -> None:
 
 
 def write_array(rows: DataFrame, path: str, order: list[str], keep_nulls: bool = True) -> None:
-    """Rows as one JSON array."""
-    item = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": str(not keep_nulls).lower()})
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, item.alias("__item")))), lambda x: x["__item"])
-    write_lines(rows.agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("line")), path, ["line"])
+    """Rows as one JSON array, on one line. If there is much, its parts are items with a comma after each; the last item is a part of its own."""
+    spark = rows.sparkSession
+    fs, target = _hadoop(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    part = f"{path}.part-{uuid.uuid4().hex}"
+    _, folder = _hadoop(spark, part)
+    try:
+        items = rows.withColumn("line", F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": str(not keep_nulls).lower()}))
+        ranked, n, each = _in_parts(spark, items, f"{part}/rows", order)
+        line = F.concat(F.when(F.col("rank") == 0, "[").otherwise(""), "line", F.when(F.col("rank") == n - 1, "]").otherwise(""))
+        if n <= each:  # fits one part
+            ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"])
+            ranked.agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("line")).coalesce(1).write.text(f"{part}/text")
+        else:
+            _write_parts(ranked.withColumn("line", line).where(F.col("rank") < n - 1), n - 1, each, f"{part}/text", ",")
+            ranked.withColumn("line", line).where(F.col("rank") == n - 1).select("line").coalesce(1).write.text(f"{part}/last")
+            last = next(f.getPath() for f in fs.listStatus(_hadoop(spark, f"{part}/last")[1]) if f.getPath().getName().startswith("part-"))
+            if not fs.rename(last, _hadoop(spark, f"{part}/text/part-{-(-(n - 1) // each):05d}")[1]):
+                raise OSError(f"could not publish {path}")
+        _publish(spark, f"{part}/text", path)
+    finally:
+        fs.delete(folder, True)
 
 
 def write_csv(rows: DataFrame, path: str, order: list[str], columns: list[str]) -> None:
