@@ -19,7 +19,8 @@ from gradewell.plans.derived import cases, outputs, pick, table
 from gradewell.plans.oracles import _BASE, _EPISODES, _METRICS
 from gradewell.schemas import ATTEMPT_STATUSES, FAULT, TOOLS
 from gradewell.sources import readers, sinks
-from gradewell.sources.places import shared_folder, until_exit
+from gradewell.sources.arrays import array_items
+from gradewell.sources.places import shared_folder, until_exit, written
 from gradewell.streaming import runs
 
 def _n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,7 +388,7 @@ def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eleven files of a run over all cases; what is listed, with lines; and what the gate finds: nothing."""
     folder = _folder(spark)
     c = cases(spark, sf_dir)
-    made = A.attempts(outputs(c), F.lit("r"))
+    made = written(A.attempts(outputs(c), F.lit("r")))  # several files are made of them
     scored = score(with_gold(made, c.select("case_id", "expected_decision", "expected_answerability", "expected_tool")))
     one = spark.range(1).select(F.lit("x").alias("name"))
     text = c.select("case_id", "family_id", C.canonical(F.struct("case_id", "family_id")).alias("json"))
@@ -396,9 +397,9 @@ def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, f"{folder}/run", config=one, environment=one, manifest=one, inputs=sinks.inputs_manifest(text), outputs=plain, scores=score_records(scored, F.lit("d"), F.lit("m"), "s", F.lit("harness_only")), metrics=reports.metric_report(scored),
         events=reports.event_rows(made, c, "model", "frozen").drop("run_id", "time_source"), failures=reports.failure_rows(made, scored), timing=sinks.timing_reference(made),
     )
-    lines = spark.read.text(f"{folder}/run").select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("path")).groupBy("path").agg(F.count("*").alias("n_lines"))
+    lines = readers.line_counts(spark, f"{folder}/run")
     faults = gates.bundle_faults(spark, f"{folder}/run").select(F.concat_ws(" ", "rule", "key").alias("path"), F.lit(-1).cast("long").alias("n_lines"))
-    manifest = spark.read.text(f"{folder}/run/inputs_manifest.json").select(F.explode(F.from_json("value", "array<struct<sha256:string>>")).alias("m")).select(F.col("m.sha256").alias("path"), F.lit(0).cast("long").alias("n_lines"))
+    manifest = array_items(spark, f"{folder}/run/inputs_manifest.json").select(F.from_json("json", "sha256 string", {"mode": "FAILFAST"})["sha256"].alias("path"), F.lit(0).cast("long").alias("n_lines"))
     return _gone(spark, folder, lines.union(faults).union(manifest))
 
 
