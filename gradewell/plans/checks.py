@@ -408,7 +408,7 @@ def pilot_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest says, read as one object, and that a second run into the folder is refused."""
     folder, c = _folder(spark), cases(spark, sf_dir)
     gold = c.select("case_id", "expected_decision", "expected_answerability", "expected_tool")
-    made = A.attempts(outputs(c), F.col("run_id"))
+    made = written(A.attempts(outputs(c), F.col("run_id")))  # several files are made of them
     rows = with_gold(made, gold)
     scored, failed = score(rows), reports.failed(labelled(rows), True)
     parts = {
@@ -422,7 +422,7 @@ def pilot_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     except FileExistsError:
         refused = 1
     none = F.lit(None).cast("boolean")
-    lines = spark.read.text(f"{folder}/pilot").select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("path")).groupBy("path").agg(F.count("*").alias("n")).withColumn("in_order", none)
+    lines = readers.line_counts(spark, f"{folder}/pilot").select("path", F.col("n_lines").alias("n"), none.alias("in_order"))
     metric = spark.read.text(f"{folder}/pilot/metrics.json").select(F.transform(F.from_json("value", "array<struct<metric_id:string>>"), lambda m: m["metric_id"]).alias("names"))
     listed = spark.read.text(f"{folder}/pilot/checksums.sha256", wholetext=True).select(F.transform(F.split(F.rtrim("value", F.lit("\n")), "\n"), lambda x: F.substring_index(x, "  ", -1)).alias("names"))
     ordered = lambda df, name: df.select(F.lit(name), F.size("names").cast("long"), F.col("names") == F.array_sort("names"))
