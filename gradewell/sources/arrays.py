@@ -79,6 +79,20 @@ def _starts(splits: list) -> dict[tuple[str, int], tuple[int, bool, int, bool]]:
     return out
 
 
+def _unpacked(spark: SparkSession, path: str, splits: list) -> list:
+    """The splits, with the size of the text for that of a packed file. Its bytes, cut at braces and each piece with a brace behind it, are one
+    more than the text's unless that ends with a brace; then they are one less than those of the text that is cut at commas in this way."""
+    jvm = spark.sparkContext._jvm
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration())
+    packed = {p for p in {s["path"] for s in splits} if codecs.getCodec(jvm.org.apache.hadoop.fs.Path(p)) is not None}
+    if not packed:
+        return splits
+    commas = spark.read.text(path, lineSep=",").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
+    cut = dict(map(tuple, commas.collect()))  # a row for each file
+    braces = {p: sum(s["bytes"] for s in splits if s["path"] == p) for p in packed}
+    return [s.asDict() | {"size": braces[p] - (braces[p] >= cut[p])} if (p := s["path"]) in packed else s for s in splits]
+
+
 def _cut(batches: Iterator[pa.RecordBatch], starts: dict[tuple[str, int], tuple[int, bool, int, bool]]) -> Iterator[pa.RecordBatch]:
     """Pieces of the text, numbered within their split, with the bracket or comma that ended each; none ended the last of a split."""
     key, held, n = None, [], 0
@@ -123,7 +137,7 @@ def array_items(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.encode(F.concat("value", F.lit("}")), "UTF-8").alias("text")
         )
         splits = text.mapInArrow(_survey, "path string, start long, size long, bytes long, quotes long, outside long, inside long").collect()  # a row for each split
-        starts = _starts(sorted(splits, key=lambda s: (s["path"], s["start"])))
+        starts = _starts(sorted(_unpacked(spark, path, splits), key=lambda s: (s["path"], s["start"])))
         pieces = written(text.mapInArrow(lambda batches: _cut(batches, starts), "split int, k long, mark string, text string"))
     finally:
         if kept is None:

@@ -7,9 +7,12 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where none is set, a temporary one in local mode, as in tests, and an error on a cluster."""
@@ -23,6 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextlib.contextmanager
+def unshuffled(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for a table or file that is written within goes as soon as that is written, not when the driver next collects garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed: what comes after doesn't run it again, also if an executor is lost."""
     shared_folder(df.sparkSession)
@@ -36,7 +50,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: computed once, where checkpoint() computes it twice. It goes when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/gradewell-table-{uuid.uuid4().hex}"
     _written.append((df.sparkSession, path))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -78,7 +78,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _under(folder: str, path: Column) -> Column:
     """The name, in folder, of the file that a path is or is a part of."""
-    return F.regexp_extract(path, rf"^.*/\Q{folder.rstrip('/').rpartition('/')[2]}\E/([^/]+?)(/part-\d+)?$", 1)
+    return F.regexp_extract(path, rf"^.*/\Q{folder.rstrip('/').rpartition('/')[2]}\E/([^/]+?)(/part-\d+(\.gz)?)?$", 1)
 
 
 def line_counts(spark: SparkSession, folder: str) -> DataFrame:
