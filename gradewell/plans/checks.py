@@ -389,7 +389,7 @@ def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     c = cases(spark, sf_dir)
     made = written(A.attempts(outputs(c), F.lit("r")))  # several files are made of them
-    scored = score(with_gold(made, c.select("case_id", "expected_decision", "expected_answerability", "expected_tool")))
+    scored = score(written(with_gold(made, c.select("case_id", "expected_decision", "expected_answerability", "expected_tool"))))  # what is joined isn't shuffled again with each file
     one = spark.range(1).select(F.lit("x").alias("name"))
     text = c.select("case_id", "family_id", C.canonical(F.struct("case_id", "family_id")).alias("json"))
     plain = made.select("pos", "case_id", "status", "attempt_id")
@@ -409,7 +409,7 @@ def pilot_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, c = _folder(spark), cases(spark, sf_dir)
     gold = c.select("case_id", "expected_decision", "expected_answerability", "expected_tool")
     made = written(A.attempts(outputs(c), F.col("run_id")))  # several files are made of them
-    rows = with_gold(made, gold)
+    rows = written(with_gold(made, gold))  # what is joined isn't shuffled again with each file
     scored, failed = score(rows), reports.failed(labelled(rows), True)
     parts = {
         "manifest": c.agg(F.count("*").alias("n_cases")), "receipts": made.select("case_id", "status", "attempt_id"), "scores": score_records(scored, F.lit("d"), F.lit("m"), "s", F.lit("harness_only")), "metrics": reports.metric_report(scored),

@@ -50,7 +50,8 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: computed once, where checkpoint() computes it twice. It goes when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/gradewell-table-{uuid.uuid4().hex}"
     _written.append((df.sparkSession, path))
-    df.write.option("compression", "zstd").parquet(path)
+    with unshuffled(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

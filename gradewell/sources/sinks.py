@@ -184,11 +184,11 @@ class Bundle:
 def write_run_bundle(spark: SparkSession, target: str, *, config: DataFrame, environment: DataFrame, manifest: DataFrame, inputs: DataFrame, outputs: DataFrame, scores: DataFrame, metrics: DataFrame, events: DataFrame, failures: DataFrame, timing: DataFrame) -> None:
     """The eleven files of a run. outputs and events carry `pos` for their order, which is not written."""
     b = Bundle(spark, target)
+    write_jsonl(scores, b.path("scores.jsonl"), ["case_id", "metric_id"], packed=True)  # the largest, while the others take no disk
     for name, row in (("resolved_config.json", config), ("environment.json", environment), ("manifest.json", manifest)):
         write_object(row, b.path(name))
     write_array(inputs.drop("pos"), b.path("inputs_manifest.json"), ["case_id"], packed=True)
     write_jsonl(outputs, b.path("outputs.jsonl"), ["pos"], [c for c in outputs.columns if c != "pos"], packed=True)
-    write_jsonl(scores, b.path("scores.jsonl"), ["case_id", "metric_id"], packed=True)
     write_array(metrics, b.path("metrics.json"), ["metric_id"])
     write_jsonl(events, b.path("events.jsonl"), ["sequence"], packed=True)
     write_lines(failures.withColumn("line", F.to_json(F.struct(*sorted(failures.columns)), {"ignoreNullFields": "false"})), b.path("failures.jsonl"), ["case_id"], packed=True)
